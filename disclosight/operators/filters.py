@@ -28,6 +28,14 @@ def of_politician(df: DataFrame, who: tuple[str, str, str] | None) -> DataFrame:
     return df if who is None else df.filter(is_politician(*who))
 
 
+def of_politicians(df: DataFrame, who: DataFrame) -> DataFrame:
+    """Rows of any person in ``who(state_district, first_name, last_name)``, names ignoring case."""
+    keys = who.select("state_district", F.lower("first_name").alias("_first"),
+                      F.lower("last_name").alias("_last")).distinct()
+    named = df.withColumn("_first", F.lower("first_name")).withColumn("_last", F.lower("last_name"))
+    return named.join(keys, ["state_district", "_first", "_last"], "left_semi").drop("_first", "_last").select(*df.columns)
+
+
 def filings_of_state(filings: DataFrame, state: str | None) -> DataFrame:
     """Prefix match on the upper-cased input; ``%`` and ``_`` in it stay wildcards."""
     return filings if state is None else filings.filter(

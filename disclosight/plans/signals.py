@@ -109,13 +109,16 @@ SUMMARY = ["id", "type", "label", "ticker", "asset_name", "transaction_count", "
 
 
 def clusters(transactions: DataFrame, filings: DataFrame, as_of, rules: tuple[ClusterRule, ...] = (BUY,),
-             ticker: str | None = None, politician: tuple[str, str, str] | None = None,
+             ticker: str | None = None, politicians: DataFrame | None = None,
              span_days_max: int | None = None, start=None, end=None) -> DataFrame:
-    """Cluster summaries, narrowed by the optional filters."""
+    """Cluster summaries, narrowed by the optional filters.
+
+    ``politicians(state_district, first_name, last_name)`` keeps clusters with a trade by any of them.
+    """
     member_rows = members(transactions, filings, rules, as_of)
     table = cluster_table(member_rows, rules)
-    if politician is not None:
-        named = filters.of_politician(member_rows, politician).select(*BURST)
+    if politicians is not None:
+        named = filters.of_politicians(member_rows, politicians).select(*BURST)
         table = table.join(named, BURST, "left_semi")
     table = filters.ticker_is(table, ticker.strip() if ticker and ticker.strip() else None)
     table = filters.span_at_most(table, span_days_max)
