@@ -49,14 +49,13 @@ def resolve_person_ids(person_ids: DataFrame, filings: DataFrame) -> DataFrame:
     one key give one deterministic representative, the smallest.
     """
     persons = (
-        filings.groupBy("state_district", name_key(F.col("first_name"), F.col("last_name")).alias("name_key"))
-        .agg(F.min(F.struct("first_name", "last_name")).alias("who"))
+        filings.groupBy(F.col("state_district").alias("_sd"),
+                        name_key(F.col("first_name"), F.col("last_name")).alias("_name_key"))
+        .agg(F.min(F.struct("first_name", "last_name")).alias("_who"))
     )
     district, rest = split_person_id(F.col("person_id"))
     wanted = person_ids.withColumn("_district", district).withColumn("_rest", rest)
-    return (
-        wanted.join(persons, (wanted["_district"] == persons["state_district"])
-                    & (wanted["_rest"] == persons["name_key"]), "left")
-        .select(*[wanted[c] for c in person_ids.columns], persons["state_district"],
-                F.col("who.first_name").alias("first_name"), F.col("who.last_name").alias("last_name"))
-    )
+    same = (F.col("_district") == F.col("_sd")) & (F.col("_rest") == F.col("_name_key"))
+    return wanted.join(persons, same, "left").select(
+        *person_ids.columns, F.col("_sd").alias("state_district"),
+        F.col("_who.first_name").alias("first_name"), F.col("_who.last_name").alias("last_name"))

@@ -165,15 +165,13 @@ def c1_page(spark, d):
     return ordering.page(found, order, 50).select(*SUMMARY)
 
 
-@query("c2_cluster_detail", cluster_sql(30, 30) + f""" select {SUMMARY_SQL} from clusters
-    where ticker in (select ticker from numbered group by ticker having count(*) > 5)""", FT)
+@query("c2_cluster_detail", cluster_sql(30, 30) + f" select {SUMMARY_SQL} from clusters", FT)
 def c2_detail(spark, d):
     t, f = tf(spark, d)
-    busy = t.transform(lambda x: signals.clustered_trades(x, WIDE, AS_OF)).groupBy("ticker").count().filter("count > 5")
-    # ids as a caller would hold them: in upper case, beside ids of an unknown form
-    known = signals.clusters(t, f, AS_OF, WIDE).join(busy, "ticker", "left_semi")
+    # ids as a caller may hold them: tickers in upper case, beside ids of an unknown form
+    known = signals.clusters(t, f, AS_OF, WIDE)
     ids = known.select(F.concat(F.substring("id", 1, 3), F.upper(F.expr("substring(id, 4)"))).alias("signal_id"))
-    ids = ids.unionByName(busy.select(F.concat(F.lit("xx_"), "ticker").alias("signal_id")))
+    ids = ids.unionByName(known.select(F.concat(F.lit("xx_"), "id").alias("signal_id")))
     return signals.cluster_detail(t, f, ids, AS_OF, WIDE)[0].select(*SUMMARY)
 
 
