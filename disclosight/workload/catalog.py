@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_browse, q_signals  # noqa: F401  (register their queries)
+from . import q_browse, q_quality, q_scalars, q_signals  # noqa: F401  (register their queries)
 from .registry import QUERIES
 
 
