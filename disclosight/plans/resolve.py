@@ -74,6 +74,29 @@ def _attach(filers: DataFrame, summary: DataFrame, key: list[str]) -> DataFrame:
     return filers.join(right, same, "left").drop(*[f"_k_{c}" for c in key])
 
 
+def _house_pairs(filers: DataFrame, members: DataFrame) -> DataFrame:
+    spellings = F.concat(F.array("last_name"), F.col("last_name_alts"))
+    roster = _member_tokens(members, names.house_surname, spellings)
+    wanted = _filer_tokens(filers.filter(F.length("state") == 2), HOUSE_KEY, names.house_surname)
+    return wanted.join(roster, ["state", "surname", "token"])
+
+
+HOUSE_KEY = ["state", "last", "first", "filing_date"]
+
+
+def _with_state(filers: DataFrame) -> DataFrame:
+    state = F.upper(F.substring(F.trim(F.coalesce("state_district", F.lit(""))), 1, 2))
+    return filers.withColumn("state", state)
+
+
+def serving_matches(filers: DataFrame, members: DataFrame) -> DataFrame:
+    """Per filed document the smallest and largest id of matching members in service that day."""
+    keyed = _with_state(filers)
+    summary = _match_summary(_house_pairs(keyed, members), HOUSE_KEY).filter(F.col("hit_low").isNotNull())
+    return _attach(keyed, summary, HOUSE_KEY).filter(F.col("hit_low").isNotNull()).select(
+        "doc_id", F.col("hit_low.bioguide_id").alias("low"), F.col("hit_high.bioguide_id").alias("high"))
+
+
 def resolve_house(filers: DataFrame, members: DataFrame, strict: bool = False) -> DataFrame:
     """Adds ``status`` and ``bioguide_id`` to House filers.
 
@@ -81,14 +104,8 @@ def resolve_house(filers: DataFrame, members: DataFrame, strict: bool = False) -
     ended before the filing date resolves as post-service. ``strict`` fails the job on the first
     filer that is not resolved.
     """
-    key = ["state", "last", "first", "filing_date"]
-    state = F.upper(F.substring(F.trim(F.coalesce("state_district", F.lit(""))), 1, 2))
-    keyed = filers.withColumn("state", state)
-    spellings = F.concat(F.array("last_name"), F.col("last_name_alts"))
-    roster = _member_tokens(members, names.house_surname, spellings)
-    wanted = _filer_tokens(keyed.filter(F.length("state") == 2), key, names.house_surname)
-    pairs = wanted.join(roster, ["state", "surname", "token"])
-    joined = _attach(keyed, _match_summary(pairs, key), key)
+    keyed = _with_state(filers)
+    joined = _attach(keyed, _match_summary(_house_pairs(keyed, members), HOUSE_KEY), HOUSE_KEY)
     one_hit, one_ident = _one("hit_low", "hit_high"), _one("ident_low", "ident_high")
     status = (F.when(F.length("state") < 2, "no_state").when(one_hit, "resolved")
               .when(~_none("hit_low"), "ambiguous").when(_none("ident_low"), "no_match")

@@ -10,3 +10,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, body)`` of text or HTML files; the id is the file name without extension."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(?:\.[A-Za-z]+)?\z", 1)
     return spark.read.text(path, wholetext=True).select(name.alias("doc_id"), F.col("value").alias("body"))
+
+
+def read_document_table(spark: SparkSession, path: str) -> DataFrame:
+    """Documents landed as a parquet table, the form to use for very many small documents."""
+    return spark.read.schema("doc_id string, body string").parquet(path)

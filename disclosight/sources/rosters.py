@@ -48,26 +48,27 @@ def check_members(members: DataFrame, house: bool) -> DataFrame:
         F.transform("terms", lambda t: F.struct(*fields(t))).alias("terms"))
 
 
-def _read_snapshot(spark: SparkSession, path: str, house: bool) -> DataFrame:
+def _read_snapshot(spark: SparkSession, path: str, house: bool, multi_line: bool) -> DataFrame:
     term = schema.HOUSE_TERM if house else schema.SENATE_TERM
-    raw = (spark.read.schema(schema.roster_snapshot(term)).option("multiLine", True).json(path))
+    raw = spark.read.schema(schema.roster_snapshot(term)).option("multiLine", multi_line).json(path)
     usable = F.col("_corrupt_record").isNull() & (F.coalesce(F.size("members"), F.lit(0)) > 0)
     snapshot = fail_closed(raw, usable, "roster snapshot is malformed or holds no members")
     return check_members(snapshot.select(F.inline("members")), house)
 
 
-def read_house_roster(spark: SparkSession, path: str) -> DataFrame:
-    return _read_snapshot(spark, path, house=True)
+def read_house_roster(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Members of snapshot files; ``multi_line=False`` reads one snapshot object per line."""
+    return _read_snapshot(spark, path, True, multi_line)
 
 
-def read_senate_roster(spark: SparkSession, path: str) -> DataFrame:
-    return _read_snapshot(spark, path, house=False)
+def read_senate_roster(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return _read_snapshot(spark, path, False, multi_line)
 
 
-def read_raw_records(spark: SparkSession, historical: str, current: str) -> DataFrame:
-    """Raw legislator records of both files (JSON arrays), tagged by origin."""
+def read_raw_records(spark: SparkSession, historical: str, current: str, multi_line: bool = True) -> DataFrame:
+    """Raw legislator records of both files (JSON arrays, or one record per line), by origin."""
     def read(path: str, origin: int) -> DataFrame:
-        raw = spark.read.schema(schema.RAW_RECORD).option("multiLine", True).json(path)
+        raw = spark.read.schema(schema.RAW_RECORD).option("multiLine", multi_line).json(path)
         checked = fail_closed(raw, F.col("_corrupt_record").isNull(), f"{path} is not an array of records")
         return checked.drop("_corrupt_record").withColumn("origin", F.lit(origin))
     return read(historical, 0).unionByName(read(current, 1))

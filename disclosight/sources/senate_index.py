@@ -34,8 +34,9 @@ def listing_rows(pages: DataFrame) -> DataFrame:
         problem.alias("problem"))
 
 
-def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    pages = spark.read.schema(schema.SENATE_LISTING).option("multiLine", True).json(path)
+def read_listing(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Rows of landed pages: one page per file, or one per line."""
+    pages = spark.read.schema(schema.SENATE_LISTING).option("multiLine", multi_line).json(path)
     return listing_rows(pages)
 
 

@@ -104,6 +104,27 @@ FILERS = {
 }
 FILERS_FROM = FILINGS_FROM
 
+_FIRST, _ID6 = _GIVEN, "c_custkey % 6"
+RECORDS = {
+    "bioguide_id": "concat('C', lpad(cast(c_custkey as string), 9, '0'))",
+    "first": _FIRST,
+    "middle": f"case when {_ID6} = 4 then 'Lee' end",
+    "last": f"case when {_ID6} = 3 then concat('McClain Peña', {_FAMILY}) else concat('Peña', {_FAMILY}) end",
+    "official_full": f"case {_ID6} when 0 then concat({_FIRST}, ' Peña', {_FAMILY})"
+                     f" when 1 then concat({_FIRST}, ' Q. Peña', {_FAMILY}, ', Jr.')"
+                     f" when 2 then concat({_FIRST}, ' Pena Smith', {_FAMILY})"
+                     f" when 3 then concat({_FIRST}, ' McClain Peña', {_FAMILY})"
+                     f" when 5 then concat({_FIRST}, ' Paul Peña', {_FAMILY}, ' Extra III') end",
+    "shape": f"cast({_ID6} as int)",
+    "family": _FAMILY,
+    "state": "substr(r_name, 1, 2)",
+    "early": "case when c_custkey % 2 = 0 then 'rep' else 'sen' end",
+    "late": "case when c_custkey % 3 = 0 then 'rep' else 'sen' end",
+    "late_end": "case when c_custkey % 5 = 0 then '' else '2005-01-03' end",
+    "district": "c_custkey % 50",
+    "party": "case when c_custkey % 2 = 0 then 'R' else '' end",
+}
+
 _SQL_WORDS = {"array": "list_value", "no_flags": "cast([] as varchar[])"}
 _SPARK_WORDS = {"array": "array", "no_flags": "cast(array() as array<string>)"}
 
@@ -112,6 +133,7 @@ VIEWS = {
     "transactions": (TRANSACTIONS, TRANSACTIONS_FROM),
     "members": (MEMBERS, MEMBERS_FROM),
     "filers": (FILERS, FILERS_FROM),
+    "records": (RECORDS, MEMBERS_FROM),
 }
 
 
@@ -160,10 +182,17 @@ def transactions(spark: SparkSession, sf_dir: str, assets: bool = False) -> Data
     return lines.selectExpr(*_columns(view, _SPARK_WORDS))
 
 
+def _member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, nation, region = (table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
+    return (customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"])
+            .join(region, nation["n_regionkey"] == region["r_regionkey"]))
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer seen as a roster member, both terms side by side."""
-    t = lambda name: table(spark, sf_dir, name)
-    customer, nation, region = t("customer"), t("nation"), t("region")
-    rows = (customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"])
-            .join(region, nation["n_regionkey"] == region["r_regionkey"]))
-    return rows.selectExpr(*_columns(MEMBERS, _SPARK_WORDS))
+    return _member_rows(spark, sf_dir).selectExpr(*_columns(MEMBERS, _SPARK_WORDS))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer seen as a raw legislator record, not yet nested."""
+    return _member_rows(spark, sf_dir).selectExpr(*_columns(RECORDS, _SPARK_WORDS))
