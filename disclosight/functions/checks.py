@@ -16,6 +16,16 @@ def fail_closed(df: DataFrame, holds: Column, message: str | Column) -> DataFram
     return df.filter(F.when(passed, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
 
 
+def settle(df: DataFrame, keep: Column) -> DataFrame:
+    """Rows where ``keep`` holds, with every column worked out exactly once.
+
+    A plain filter over long derived columns would be pushed below them, and Catalyst would copy
+    their whole definition into the pushed condition. A generator stops that.
+    """
+    row = F.array(F.struct(*[F.col(c) for c in df.columns]))
+    return df.select(F.inline(F.when(keep, row)))
+
+
 def blank_to_null(col: Column) -> Column:
     return F.nullif(F.trim(col), F.lit(""))
 

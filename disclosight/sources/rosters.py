@@ -40,7 +40,8 @@ def check_members(members: DataFrame, house: bool) -> DataFrame:
         F.lit("roster member "), F.coalesce("bioguide_id", F.lit("?")), F.lit(": "), F.coalesce(problem, F.lit(""))))
     fields = lambda t: [_iso(t["start"]).alias("start"), _iso(t["end"]).alias("end"),
                         *([t["district"].alias("district")] if house else [])]
-    alts = [F.transform(F.coalesce("last_name_alts", F.array().cast("array<string>")), F.trim).alias("last_name_alts")]
+    alts = [F.transform(F.coalesce("last_name_alts", F.array().cast("array<string>")),
+                        lambda a: F.trim(a)).alias("last_name_alts")]
     return checked.select(
         "bioguide_id", "last_name", "first_name",
         F.coalesce(F.nullif("given_name", F.lit("")), "first_name").alias("given_name"),

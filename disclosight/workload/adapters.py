@@ -92,7 +92,7 @@ MEMBERS_FROM = "customer join nation on c_nationkey = n_nationkey join region on
 
 FILERS = {
     "doc_id": "cast(o_orderkey as string)",
-    "last": f"case o_orderkey % 4 when 0 then concat('PENA', {_FAMILY}) when 1 then concat('Peña', {_FAMILY}, ', M.D.')"
+    "last": f"case o_orderkey % 4 when 0 then concat('PENA', {_FAMILY}) when 1 then concat('Peña', {_FAMILY}, ', MD.')"
             f" when 2 then concat('Peña', {_FAMILY}, ' II') else concat('Alt', cast(c_custkey as string)) end",
     "first": f"case o_orderkey % 3 when 0 then {_GIVEN} when 1 then {_SHORT} else concat('X. ', {_GIVEN}, ' Jr.') end",
     "given": f"case o_orderkey % 3 when 1 then {_SHORT} else {_GIVEN} end",
@@ -155,24 +155,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _filing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Scanned rows over all cores when the files give fewer splits than there are cores.
+
+    For work that is heavy per row, such as parsing; large tables have enough splits already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _filing_rows(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
     orders, customer, nation, region = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region"))
+    orders = spread(orders) if spread_out else orders
     return (orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
             .join(nation, customer["c_nationkey"] == nation["n_nationkey"])
             .join(region, nation["n_regionkey"] == region["r_regionkey"]))
 
 
-def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filing_rows(spark, sf_dir).selectExpr(*_columns(FILINGS, _SPARK_WORDS))
+def filings(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    return _filing_rows(spark, sf_dir, spread_out).selectExpr(*_columns(FILINGS, _SPARK_WORDS))
 
 
 def filers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filing_rows(spark, sf_dir).selectExpr(*_columns(FILERS, _SPARK_WORDS))
 
 
-def transactions(spark: SparkSession, sf_dir: str, assets: bool = False) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, assets: bool = False, spread_out: bool = False) -> DataFrame:
     """Trade lines; the asset name costs a join with ``part`` and is left out unless asked for."""
     lines = table(spark, sf_dir, "lineitem")
+    lines = spread(lines) if spread_out else lines
     view = TRANSACTIONS
     if assets:
         part = table(spark, sf_dir, "part")

@@ -259,11 +259,11 @@ def x30(spark, d):
     return pairs.select("doc_id", names.given_names_agree(fold("first"), fold("first_name"), fold("given_name")).alias("agree"))
 
 
-@query("x36_house_surname", """select doc_id, strip_accents(lower(case when contains(last, 'M.D.') then string_split(last, ',')[1] else last end)) as surname
+@query("x36_house_surname", """select doc_id, strip_accents(lower(case when contains(last, 'MD.') then string_split(last, ',')[1] else last end)) as surname
     from filers""", ("filers",))
 def x36(spark, d):
     from .adapters import filers
-    md = F.regexp_replace("last", r", M\.D\.", ", MD., FACS;")
+    md = F.regexp_replace("last", r", MD\.", ", MD., FACS;")
     return filers(spark, d).select("doc_id", names.house_surname(names.fold_name(md)).alias("surname"))
 
 

@@ -309,7 +309,7 @@ PAIRS_SQL = f"""with {NICK_SQL},
         min(bioguide_id) filter (where serving) as hit_id, min(state) as any_state, min(state) filter (where serving) as hit_state,
         bool_and(ended) as ended from pairs group by doc_id)"""
 HOUSE_ANCHOR = """f.state_district[1:2] = m.state and length(f.state_district) >= 2 and
-    strip_accents(lower(regexp_replace(f.last, ', M.D.$', ''))) in (strip_accents(lower(m.last_name)), coalesce(strip_accents(lower(m.alternate)), ''))"""
+    strip_accents(lower(regexp_replace(f.last, ', MD.$', ''))) in (strip_accents(lower(m.last_name)), coalesce(strip_accents(lower(m.alternate)), ''))"""
 SENATE_ANCHOR = "strip_accents(lower(regexp_replace(f.last, ' II$', ''))) = strip_accents(lower(m.last_name))"
 
 
