@@ -34,7 +34,8 @@ def store(spark: SparkSession, root: str, new_filings: DataFrame, new_lines: Dat
 
     Lines must carry the ``order`` columns of the filing version they belong to.
     """
-    stored = tables.read_table(spark, root, "filings", schema.FILINGS)
+    # a repeated batch must not meet its own rows
+    stored = tables.read_table(spark, root, "filings", schema.FILINGS, before=batch_no)
     kept = survivors(new_filings, stored, order)
     numbered = with_batch_ids(kept, ["doc_id"], batch_no)
     for name in ("prefix", "suffix"):

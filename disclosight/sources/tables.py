@@ -26,8 +26,9 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(COMMIT).parquet(f"{path}/*").dropDuplicates(["batch_no"])
 
 
-def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
-    """Committed rows of ``filings`` or ``transactions``."""
+def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType,
+               before: int | None = None) -> DataFrame:
+    """Committed rows of a stored table, optionally only of batches numbered below ``before``."""
     path = f"{root}/{name}"
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
@@ -35,6 +36,8 @@ def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType)
     rows = spark.read.schema(with_batch).parquet(path)
     # one row per ingestion run
     done = commits(spark, root).select("batch_no")
+    if before is not None:
+        done = done.filter(F.col("batch_no") < before)
     return rows.join(done, "batch_no", "left_semi").drop("batch_no")
 
 
