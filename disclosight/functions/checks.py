@@ -1,4 +1,4 @@
-"""Fail-closed checks that Catalyst cannot prune away."""
+"""Checks and filters that Catalyst can neither prune away nor copy."""
 
 from __future__ import annotations
 
@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def fail_closed(df: DataFrame, holds: Column, message: str | Column) -> DataFrame:
-    """Keep ``df`` unchanged, or fail the job at the first row where ``holds`` is not true.
+    """``df`` unchanged, or a failed job at the first row where ``holds`` is not true.
 
-    The check is a filter, so it stays in the plan whichever columns a caller selects.
+    The check sits in a generator: it stays in the plan whichever columns a caller selects, and
+    no later filter can drop an offending row before it is seen.
     """
     text = F.lit(message) if isinstance(message, str) else message
-    passed = F.coalesce(holds, F.lit(False))
-    return df.filter(F.when(passed, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+    return settle(df, F.when(F.coalesce(holds, F.lit(False)), F.lit(True))
+                  .otherwise(F.raise_error(text).cast("boolean")))
 
 
 def settle(df: DataFrame, keep: Column) -> DataFrame:

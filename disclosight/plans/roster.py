@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import names
-from ..functions.checks import fail_closed
+from ..functions.checks import fail_closed, settle
 
 
 def _text(path: str) -> Column:
@@ -38,13 +38,14 @@ def _members(records: DataFrame, kind: str, as_of, history_start: str) -> DataFr
         F.col("name.official_full").alias("_full"), "terms",
         overlapping_terms(F.col("terms"), kind, history_start, end).alias("_kept"))
     identified = (F.col("bioguide_id") != "") & (F.col("first_name") != "") & (F.col("last_name") != "")
-    checked = fail_closed(base, identified, F.concat(F.lit("record without id or name: "), "bioguide_id"))
     dated = F.forall("_kept", lambda t: t["start"].rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"))
     if kind == "rep":
         dated = dated & F.forall("_kept", lambda t: t["district"].isNotNull())
-    checked = fail_closed(checked, dated, F.concat(F.lit("unusable term of "), "bioguide_id"))
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), "bioguide_id")).cast("boolean")
+    keep = (F.when(~identified, fail("record without id or name: ")).when(~dated, fail("unusable term of "))
+            .otherwise(F.size("_kept") > 0))
     sample = F.try_element_at(F.filter("terms", lambda t: t["type"] == kind), F.lit(1))
-    return (checked.filter(F.size("_kept") > 0)
+    return (settle(base, keep)
             .withColumn("state", F.trim(F.coalesce(sample["state"], F.lit(""))))
             .withColumn("party", F.nullif(F.trim(F.coalesce(sample["party"], F.lit(""))), F.lit(""))))
 

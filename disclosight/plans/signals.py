@@ -26,7 +26,7 @@ from .. import fixed_values as fv
 from ..functions.dates import as_date, six_months_before
 from ..functions.identity import full_name, person_key
 from ..operators import bursts, filters, joins, ordering
-from ..operators.aggregates import most_common, open_ended_sum
+from ..operators.aggregates import open_ended_sum
 
 PERSON = ("doc_id", "first_name", "last_name", "state_district")
 
@@ -85,20 +85,27 @@ def members(transactions: DataFrame, filings: DataFrame, rules: tuple[ClusterRul
 def cluster_table(member_rows: DataFrame, rules: tuple[ClusterRule, ...]) -> DataFrame:
     """One row per qualifying burst.
 
-    People are counted by grouping per person first, so a busy ticker is pre-aggregated twice
-    and never held as a set.
+    Every trade counts once under its person and once under its asset name; both are combined on
+    the map side in one pass. People, totals and the most common name then follow from those
+    counts, so neither a set nor a second look at the trades is needed.
     """
-    per_person = member_rows.groupBy(*SPAN, "person_key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount_min").alias("low"),
-        open_ended_sum(F.col("amount_max")).alias("high"))
-    totals = per_person.groupBy(*SPAN).agg(
-        F.sum("n").alias("transaction_count"), F.count(F.lit(1)).alias("politician_count"),
-        F.sum("low").alias("total_min"), open_ended_sum(F.col("high")).alias("total_max"))
+    facets = F.array(F.struct(F.lit("person").alias("facet"), F.col("person_key").alias("value")),
+                     F.struct(F.lit("asset").alias("facet"), F.col("asset_name").alias("value")))
+    counted = (member_rows.select(*SPAN, "amount_min", "amount_max", F.inline(facets))
+               .groupBy(*SPAN, "facet", "value").agg(
+                   F.count(F.lit(1)).alias("n"), F.sum("amount_min").alias("low"),
+                   F.sum("amount_max").alias("high"), F.count_if(F.col("amount_max").isNull()).alias("open")))
+    person, asset = F.col("facet") == "person", (F.col("facet") == "asset") & F.col("value").isNotNull()
+    of_people = lambda c: F.sum(F.when(person, F.col(c)))
+    totals = counted.groupBy(*SPAN).agg(
+        of_people("n").alias("transaction_count"), F.count_if(person).alias("politician_count"),
+        of_people("low").alias("total_min"), F.when(of_people("open") == 0, of_people("high")).alias("total_max"),
+        # most frequent name, the smallest on ties
+        F.min(F.when(asset, F.struct((-F.col("n")).alias("n"), "value"))).alias("_name"))
     enough = totals.filter(F.col("politician_count") >= per_type(rules, lambda r: r.min_politicians))
-    names = most_common(member_rows, BURST, "asset_name")
     signal_id = F.concat(per_type(rules, lambda r: r.id_prefix), F.lower("ticker"), F.lit("_"),
                          F.date_format("start_date", "yyyy-MM-dd"))
-    return (enough.join(names, BURST, "left")
+    return (enough.withColumn("asset_name", F.col("_name.value")).drop("_name")
             .withColumn("id", signal_id).withColumn("type", per_type(rules, lambda r: r.type))
             .withColumn("label", per_type(rules, lambda r: r.label))
             .withColumn("span_days", F.datediff("end_date", "start_date")))

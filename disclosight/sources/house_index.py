@@ -64,7 +64,7 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     A leading byte-order mark is removed by the reader and undecodable bytes are replaced.
     """
     # header only: the reader takes the names from the first line
-    raw = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("quote", "\"").csv(path)
+    raw = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
     names = {c.lstrip("﻿"): c for c in raw.columns}
     missing = [tag for tag in TAGS if tag not in names]
     if missing:

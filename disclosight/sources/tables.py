@@ -1,8 +1,9 @@
 """The stored tables: append-only batches that become visible once committed.
 
-A batch writes its filings and its lines into folders of its own and then one commit row.
-Readers take committed batches only, so the two tables change together, a failed batch leaves
-nothing visible, and repeating a batch number replaces the same folders.
+A batch writes its filings and its lines into folders of its own and then one commit file.
+Readers take the latest committed version of every batch only, so the tables change together, a
+failed batch leaves nothing visible, and repeating a batch replaces the same folders. Rewriting
+part of a table commits a new version of just the batches concerned.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COMMIT = T.StructType([T.StructField("batch_no", T.LongType()), T.StructField("committed_at", T.TimestampType())])
+COMMIT = T.StructType([T.StructField("table", T.StringType()), T.StructField("batch_no", T.LongType()),
+                       T.StructField("version", T.LongType()), T.StructField("committed_at", T.TimestampType())])
+PLACE = T.StructType([T.StructField("batch_no", T.LongType()), T.StructField("version", T.LongType())])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -20,34 +23,54 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
+    """Latest version per table and batch."""
     path = f"{root}/commits"
     if not _exists(spark, path):
-        return spark.createDataFrame([], COMMIT)
-    return spark.read.schema(COMMIT).parquet(f"{path}/*").dropDuplicates(["batch_no"])
+        return spark.createDataFrame([], COMMIT).drop("committed_at")
+    rows = spark.read.schema(COMMIT).parquet(f"{path}/*")
+    return rows.groupBy("table", "batch_no").agg(F.max("version").alias("version"))
 
 
-def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType,
-               before: int | None = None) -> DataFrame:
-    """Committed rows of a stored table, optionally only of batches numbered below ``before``."""
+def read_batches(spark: SparkSession, root: str, name: str, schema: T.StructType,
+                 before: int | None = None) -> DataFrame:
+    """Committed rows of a stored table with their ``batch_no`` and ``version``."""
+    placed = T.StructType([*schema.fields, *PLACE.fields])
     path = f"{root}/{name}"
     if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    with_batch = T.StructType([*schema.fields, T.StructField("batch_no", T.LongType())])
-    rows = spark.read.schema(with_batch).parquet(path)
+        return spark.createDataFrame([], placed)
     # one row per ingestion run
-    done = commits(spark, root).select("batch_no")
+    latest = commits(spark, root).filter(F.col("table") == name).select("batch_no", "version")
     if before is not None:
-        done = done.filter(F.col("batch_no") < before)
-    return rows.join(done, "batch_no", "left_semi").drop("batch_no")
+        latest = latest.filter(F.col("batch_no") < before)
+    return spark.read.schema(placed).parquet(path).join(latest, ["batch_no", "version"], "left_semi").select(*placed.names)
+
+
+def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType,
+               before: int | None = None) -> DataFrame:
+    """Committed rows, optionally only of batches numbered below ``before``."""
+    return read_batches(spark, root, name, schema, before).drop("batch_no", "version")
+
+
+def _commit(rows: DataFrame, path: str) -> None:
+    rows.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def write_batch(spark: SparkSession, root: str, batch_no: int, **frames: DataFrame) -> None:
-    """Write every named table of the batch, then commit it."""
+    """Write every named table of the batch, then commit them together."""
     for name, frame in frames.items():
-        frame.write.mode("overwrite").parquet(f"{root}/{name}/batch_no={batch_no}")
-    (spark.range(1).select(F.lit(batch_no).cast("long").alias("batch_no"),
-                           F.current_timestamp().alias("committed_at"))
-     .coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/batch-{batch_no}"))
+        frame.write.mode("overwrite").parquet(f"{root}/{name}/batch_no={batch_no}/version=0")
+    done = spark.createDataFrame([(name, batch_no, 0) for name in frames], "table string, batch_no long, version long")
+    _commit(done, f"{root}/commits/batch-{batch_no}")
+
+
+def rewrite_batches(rows: DataFrame, root: str, name: str, version: int) -> None:
+    """Commit ``version`` of the batches in ``rows``, which holds each of them completely."""
+    spark = rows.sparkSession
+    out = rows.withColumn("version", F.lit(version).cast("long"))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_no", "version").parquet(f"{root}/{name}"))
+    written = spark.read.schema(PLACE).parquet(f"{root}/{name}").filter(F.col("version") == version).distinct()
+    _commit(written.select(F.lit(name).alias("table"), "batch_no", "version"), f"{root}/commits/{name}-version-{version}")
 
 
 def next_batch_no(spark: SparkSession, root: str) -> int:
@@ -55,6 +78,11 @@ def next_batch_no(spark: SparkSession, root: str) -> int:
     return 0 if last is None else last + 1
 
 
+def next_version(spark: SparkSession, root: str, name: str) -> int:
+    last = commits(spark, root).filter(F.col("table") == name).agg(F.max("version")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

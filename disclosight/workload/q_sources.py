@@ -188,7 +188,7 @@ def w6(spark, d):
 @query("w7_page_columns", """select doc_id, cast(page as int) as page, page = 2 as inherited, 100.0 as asset, 490.0 as amount from filings
     cross join (values (1), (2)) v(page)""", ("filings",))
 def w7(spark, d):
-    found = report_layout.page_columns(report_layout.visual_rows(landing.report_words(spark, d)))
+    found = report_layout.page_columns(report_layout.page_rows(landing.report_words(spark, d)))
     return found.select("doc_id", "page", "inherited", F.col("at.asset").cast("decimal(4,1)").alias("asset"),
                         F.col("at.amount").cast("decimal(4,1)").alias("amount"))
 

@@ -6,6 +6,7 @@ from disclosight import schema
 from disclosight.functions.ids import with_batch_ids
 from disclosight.operators import curation, filters, quality, store
 from disclosight.plans import ingest
+from disclosight.plans.recompute import recompute
 from disclosight.sources import tables
 from disclosight.streaming import bursts
 
@@ -102,10 +103,31 @@ def test_store_first_wins_and_replay_changes_nothing(spark, tmp_path):
     assert sorted(r["asset_name"] for r in t.collect()) == ["av1", "av1", "bv1"]
     assert quality.orphans(t, f).count() == 0
     # an uncommitted batch is invisible
-    f.limit(1).write.parquet(f"{root}/filings/batch_no=9")
+    f.limit(1).write.parquet(f"{root}/filings/batch_no=9/version=0")
     assert tables.read_table(spark, root, "filings", schema.FILINGS).count() == 2
 
 
+def test_recompute_rewrites_only_changed_batches(spark, tmp_path):
+    root = str(tmp_path / "store")
+    late = ("b", 1, 0, "b", "P", D(2024, 6, 1), D(2024, 1, 2), 1, "$1", [])
+    store.store(spark, root, spark.createDataFrame([report("a", "x", 1)], REPORT), spark.createDataFrame([line("a", 1, 0)], LINE), 0, ["version"])
+    store.store(spark, root, spark.createDataFrame([report("b", "x", 1)], REPORT), spark.createDataFrame([late], LINE), 1, ["version"])
+    before = tables.read_table(spark, root, "transactions", schema.TRANSACTIONS).select("id", "asset_name").collect()
+    dry = recompute(spark, root, D(2024, 7, 1), dry_run=True)
+    assert (dry.examined, dry.changed) == (2, 2)
+    assert tables.next_version(spark, root, "transactions") == 1
+    done = recompute(spark, root, D(2024, 7, 1))
+    assert [r[0] for r in done.affected_documents.collect()] == ["a", "b"]
+    flags = {r["asset_name"]: r["quality_flags"] for r in tables.read_table(spark, root, "transactions", schema.TRANSACTIONS).collect()}
+    assert flags == {"av1": ["notification_date_after_filing"],
+                     "b": ["transaction_date_after_notification", "transaction_date_after_filing", "notification_date_after_filing"]}
+    assert sorted(before) == sorted(tables.read_table(spark, root, "transactions", schema.TRANSACTIONS).select("id", "asset_name").collect())
+    assert recompute(spark, root, D(2024, 7, 1)).changed == 0
+    assert recompute(spark, root, D(2024, 5, 1)).changed == 1
+    versions = {(r["batch_no"], r["version"]) for r in tables.commits(spark, root).filter("table = 'transactions'").collect()}
+    assert versions == {(0, 1), (1, 2)}
+
+
 def test_ingest_run(spark, tmp_path):
     from disclosight.plans import report_html, report_text
     index = spark.createDataFrame([
