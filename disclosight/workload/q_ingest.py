@@ -205,8 +205,7 @@ def trades(spark, d):
 
 def run_bursts(spark, source, checkpoint, out):
     stream = spark.readStream.schema(TRADE).parquet(source)
-    (bursts.burst_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    bursts.write_closed_bursts(stream, out, checkpoint).awaitTermination()
 
 
 BURSTS_SQL = f"""with trades as (select txn_type, ticker, txn_date, {sql_key()} as person_key from transactions t join filings f on f.id = t.filing_id
@@ -215,7 +214,7 @@ BURSTS_SQL = f"""with trades as (select txn_type, ticker, txn_date, {sql_key()}
     numbered as (select *, sum(opens) over (partition by txn_type, ticker order by txn_date) as burst_id from stepped),
     found as (select txn_type, ticker, min(txn_date) as start_date, max(txn_date) as end_date,
       cast(max(txn_date) - min(txn_date) as int) as span_days, cast(count(*) as bigint) as transaction_count,
-      cast(count(distinct person_key) as int) as politician_count from numbered group by txn_type, ticker, burst_id)
+      cast(count(distinct person_key) as bigint) as politician_count from numbered group by txn_type, ticker, burst_id)
     select * from found where end_date + 7 <= (select max(txn_date) - 45 from transactions where ticker is not null)"""
 
 
@@ -224,7 +223,7 @@ def t2(spark, d):
     source = landing.land_parquet(trades(spark, d), "trades")
     out = scratch_path(spark, "bursts")
     run_bursts(spark, source, scratch_path(spark, "bursts-checkpoint"), out)
-    return spark.read.parquet(out)
+    return bursts.with_people(spark.read.parquet(out), spark.read.schema(TRADE).parquet(source))
 
 
 LATE_SQL = "and (txn_type <> 'E' or txn_date + 7 > (select max(txn_date) - 45 from transactions where ticker is not null and txn_type <> 'E' and txn_date <= date '2000-01-01'))"
@@ -239,4 +238,4 @@ def t3(spark, d):
     for part in (rows.filter(early), rows.filter(~early)):
         part.write.mode("append").parquet(source)
         run_bursts(spark, source, checkpoint, out)
-    return spark.read.parquet(out)
+    return bursts.with_people(spark.read.parquet(out), spark.read.schema(TRADE).parquet(source))

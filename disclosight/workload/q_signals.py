@@ -107,6 +107,20 @@ def a6(spark, d):
     return signals.people(t, f, signals.clusters(t, f, AS_OF, WIDE), AS_OF, WIDE)
 
 
+@query("j9_leading_person", cluster_sql(30, 30) + """,
+    per as (select c.id as signal_id, n.person_key, cast(case when count(*) = count(n.amount_max) then sum(n.amount_max) end as bigint) as amount_max
+      from clusters c join numbered n using (txn_type, ticker, burst_id) group by c.id, n.person_key)
+    select signal_id, person_key as leading, amount_max from per
+    qualify row_number() over (partition by signal_id order by amount_max desc nulls last, person_key) = 1""", FT)
+def j9(spark, d):
+    """The first person in list order of every cluster, as a minimum that combines on the map side."""
+    t, f = tf(spark, d)
+    rows = signals.people(t, f, signals.clusters(t, f, AS_OF, WIDE), AS_OF, WIDE)
+    place = F.struct(F.col("amount_max").isNull().alias("open"), (-F.col("amount_max")).alias("size"), F.col("id").alias("id"))
+    return rows.groupBy("signal_id").agg(F.min(place).alias("p")).select(
+        "signal_id", F.col("p.id").alias("leading"), (-F.col("p.size")).alias("amount_max"))
+
+
 @query("a7_most_common_asset", """with counted as (
       select ticker, asset_name, count(*) as n from transactions where ticker is not null group by all)
     select ticker, asset_name from counted

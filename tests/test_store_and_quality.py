@@ -165,6 +165,7 @@ def test_target_years():
 def test_sessions_merge_at_the_gap(spark):
     rows = [("P", "A", dt.datetime(2024, 1, d), p) for d, p in ((1, "x"), (8, "y"), (15, "z"), (23, "x"))]
     df = spark.createDataFrame(rows, "txn_type string, ticker string, txn_time timestamp, person_key string")
-    found = bursts.session_bursts(df).orderBy("start_date").collect()
+    counted = bursts.with_people(bursts.session_bursts(df), df)
+    found = counted.orderBy("start_date").collect()
     assert [(r["span_days"], r["politician_count"]) for r in found] == [(14, 3), (0, 1)]
-    assert bursts.qualifying(bursts.session_bursts(df)).count() == 1
+    assert bursts.qualifying(counted).count() == 1
