@@ -195,6 +195,7 @@ def transactions(spark: SparkSession, sf_dir: str, assets: bool = False, spread_
 
 def _member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, nation, region = (table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
+    customer = spread(customer)  # names are heavy per row
     return (customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"])
             .join(region, nation["n_regionkey"] == region["r_regionkey"]))
 

@@ -38,9 +38,12 @@ def index(spark, d):
         F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("_copy"), *rows.columns).drop("_copy")
 
 
+ARRIVED = "not (coalesce(suffix, '') = 'Jr.' and year = 1998)"
+
+
 def landed(spark, d):
     """One document per filing unless it never arrived; some are blank, some hold an impossible date or type."""
-    f = filings(spark, d, spread_out=True).filter("id % 31 <> 0").withColumn("doc", F.expr(DOC))
+    f = filings(spark, d, spread_out=True).filter(ARRIVED).withColumn("doc", F.expr(DOC))
     day = landing.us("created_at")
     shown = F.when(F.col("id") % 41 == 0, F.lit("02/30/2020")).otherwise(day)
     house = landing.text(landing.TABLE_HEAD, "SP ", F.col("last_name"), " (Q1) [ST] P ", shown, " ", day, " $1,001 - $15,000\nF S: New\n",
@@ -70,7 +73,7 @@ def run_parts(spark, d):
 OUTCOME_SQL = f"""with listed as (select *, {DOC} as doc, case when amends_filing_id is not null then 2 else 1 end as copies from filings),
     judged as (select id, doc, source, year, cast(copies as bigint) as copies, filing_date, cast(created_at as date) as day, last_name,
         case when regexp_full_match(doc, case source when 'senate_efd' then '[0-9]+' else '[0-9]{{7}}' end) then 'scanned_skipped'
-          when year = 1997 then 'skipped' when id % 31 = 0 then 'download_failed' when id % 37 = 0 then 'scanned_skipped'
+          when year = 1997 then 'skipped' when suffix = 'Jr.' and year = 1998 then 'download_failed' when id % 37 = 0 then 'scanned_skipped'
           when id % 41 = 0 then 'parse_failed' when source = 'senate_efd' and filing_date is null then 'store_failed' else 'new' end as outcome
       from listed)"""
 

@@ -33,11 +33,11 @@ def s2(spark, d):
     return house_index.strict(house_index.read_tsv(spark, path))
 
 
-@query("s3_listing_preference", """select doc_id, year, case when year % 2 = 0 then 'xml' else 'txt' end as origin from filings""",
+@query("s3_listing_preference", """select doc_id, year, case when year < 1998 then 'xml' else 'txt' end as origin from filings""",
        ("filings",))
 def s3(spark, d):
     f = filings(spark, d).select("doc_id", "year")
-    xml, txt = f.filter("year % 2 = 0"), f
+    xml, txt = f.filter("year < 1998"), f
     return house_index.prefer_xml(xml.withColumn("origin", F.lit("xml")), txt.withColumn("origin", F.lit("txt")))
 
 
