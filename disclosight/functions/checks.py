@@ -27,10 +27,6 @@ def settle(df: DataFrame, keep: Column) -> DataFrame:
     return df.select(F.inline(F.when(keep, row)))
 
 
-def blank_to_null(col: Column) -> Column:
-    return F.nullif(F.trim(col), F.lit(""))
-
-
 def squeeze(col: Column) -> Column:
     """Trim and collapse every run of (Unicode) whitespace to one space."""
     return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))

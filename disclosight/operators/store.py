@@ -22,12 +22,6 @@ def survivors(new_filings: DataFrame, stored: DataFrame, order: list[str]) -> Da
     return kept.join(stored.select("doc_id"), "doc_id", "left_anti")
 
 
-def lines_of_survivors(lines: DataFrame, kept: DataFrame, version: str | None = None) -> DataFrame:
-    """Lines of exactly the kept filings; lines of known documents are not rewritten."""
-    on = ["doc_id"] if version is None else ["doc_id", version]
-    return lines.join(kept.select(*on), on, "left_semi")
-
-
 def store(spark: SparkSession, root: str, new_filings: DataFrame, new_lines: DataFrame, batch_no: int,
           order: list[str]) -> None:
     """Append filings and lines of one batch; ``new_lines`` refers to filings by ``doc_id``.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date
 from ..operators import curation, quality
 from .adapters import AS_OF, filings, table, transactions
 from .registry import query

@@ -11,7 +11,6 @@ from .adapters import filings, members, table, transactions
 from .registry import query
 
 FT = ("filings", "transactions")
-MONEY = "format('{:t,}', %s)"
 
 
 def money(col: str) -> str:

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import fixed_values as fv
 from ..functions import names
-from ..operators import filters
 from ..plans import report_html, report_layout, report_text, resolve, roster
 from ..plans.ingest import normalized_lines
 from ..session import scratch_path
