@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import compression_rules, jump_shards, sparse_topk
+from . import best_fit, compression_rules, jump_shards, sparse_topk
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +52,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_jump_shards")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
