@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import best_fit, compression_rules, jump_shards, sparse_topk
+from . import best_fit, compression_rules, jump_shards, language_id, sparse_topk
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_hashed_subwords")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
