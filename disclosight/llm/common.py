@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 
@@ -47,3 +48,29 @@ def settle(frame: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of an id filter: its size is fixed, so it can be sent to every task whatever the number of ids.
+FILTER_BITS = 23
+
+
+def id_place(column: str) -> Column:
+    """The bit of an id in an id filter; a NULL id counts as -1."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("long"), F.lit(-1).cast("long"))), F.lit(1 << FILTER_BITS)).cast("long")
+
+
+def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size over hashed ids. It passes every id of ``ids``, and others that share a bit: a
+    join must follow. It only spares the shuffle of rows that the join would drop."""
+    rows = ids.select(id_place(column).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).collect()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for row in rows:
+        bits[row["w"]] = row["b"]
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, places: pa.Array) -> np.ndarray:
+    """Positions of the rows that the bitmap passes."""
+    place = places.to_numpy()
+    return np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1)

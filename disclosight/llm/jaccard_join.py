@@ -31,11 +31,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_words, settle, slices
+from .common import byte_words, id_bitmap, id_place, in_bitmap, settle, slices
 from .components import components
 
 N, PERCENT, FRAGMENTS, PIVOTS, FIRST_SHARE = 5, 80, 8, 3, 0.25
-SIGNATURE_WORDS, FILTER_BITS = 16, 23
+SIGNATURE_WORDS = 16
 _LONG = np.uint64
 _SIG = [f"sig{i}" for i in range(SIGNATURE_WORDS)]
 
@@ -108,8 +108,7 @@ def _summaries(n: int):
 def _full_sets(n: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
-            place = part.column(2).to_numpy()
-            kept = np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1)
+            kept = in_bitmap(bits, part.column(2))
             for small in range(0, len(kept), 256):
                 rows = part.take(pa.array(kept[small:small + 256]))
                 sets = [ngram_set(t, n) for t in rows.column(1).to_pylist()]
@@ -136,20 +135,6 @@ def _own_counts(rows: DataFrame) -> DataFrame:
     return held.where("sid = other").groupBy("sid").agg(F.count(F.lit(1)).alias("own"))
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (2^``FILTER_BITS`` bits) over hashed ids: it may pass too many, never too few."""
-    rows = ids.select(_place().alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for row in rows:
-        bits[row["w"]] = row["b"]
-    return bits
-
-
-def _place() -> Column:
-    return F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long"))), F.lit(1 << FILTER_BITS)).cast("long")
-
-
 def _signature_bound(percent: int) -> Column:
     missing = lambda a, b: sum((F.bit_count(F.col(f"{a}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{s}")))) for s in _SIG), F.lit(0))
     most = F.least(F.col("x.n") - missing("x", "y"), F.col("y.n") - missing("y", "x"))
@@ -231,7 +216,7 @@ def join(documents: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     own = _own_counts(summary.select("sid", F.explode("first").alias("h")))
     kinds = summary.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"))
     open_kinds = settle(kinds.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - _need("n", percent)).drop("own"), "jaccard-open")
-    full = (columns.withColumn("place", _place()).mapInArrow(_full_sets(n, _bitmap(open_kinds)), "doc_id long, sid long, hashes array<long>, signature array<long>")
+    full = (columns.withColumn("place", id_place("doc_id")).mapInArrow(_full_sets(n, id_bitmap(open_kinds, "doc_id")), "doc_id long, sid long, hashes array<long>, signature array<long>")
             .join(open_kinds.select("sid", "n", F.col("doc_id").alias("chosen")), "sid").where(F.col("doc_id").eqNullSafe(F.col("chosen")))
             .select("sid", "n", "hashes", "signature").dropDuplicates(["sid"]))
     stars = links(settle(full, "jaccard-full"), percent)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import best_fit, compression_rules, jaccard_join, jump_shards, language_id, sparse_topk
+from . import best_fit, compression_rules, jaccard_join, jump_shards, language_id, passages, sparse_topk
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ngram_jaccard")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op5_collinear_passages")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
