@@ -15,7 +15,8 @@ Rows: ``(doc_id, start_word, n_words, first_doc_id, first_start_word, first_n_wo
 The document with the smaller id holds the first copy and is not reported for it.
 
 Defined cases: a NULL or short text has no seeds; a document without id takes no part; repeated rows of one
-id are one document; a passage that repeats within its own document only is not reported. Columns beyond id
+id are one document; a passage that repeats within its own document only is not reported, and
+a run of one repeating phrase is matched for as long as the first document's run is. Columns beyond id
 and text are not read.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import id_bitmap, id_place, in_bitmap, settle, slices
-from .jaccard_join import ngram_hashes, word_hashes
+from .jaccard_join import mix, ngram_hashes, word_hashes
 
 K, WINDOW = 5, 10
 MIN_WORDS, MIN_IDENTITY, MIN_SEEDS = 50, 0.8, 2
@@ -47,6 +48,22 @@ def minimizers(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(low)
 
 
+def told_apart(grams: np.ndarray, k: int = K) -> np.ndarray:
+    """K-mer hashes in which the k-mers of a run that repeats every 1 to ``k - 1`` words differ by their place in the run.
+
+    Without this, all k-mers of such a run would be one seed, and only its first place could be matched.
+    """
+    out = grams
+    for period in range(k - 1, 0, -1):
+        again = np.zeros(len(grams), bool)
+        again[period:] = grams[period:] == grams[:-period]
+        if again.any():
+            place = np.arange(len(grams))
+            offset = place - np.maximum.accumulate(np.where(again, -1, place))
+            out = np.where(again, mix(grams + offset.astype(np.uint64)), out)
+    return out
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         ids, hashes, places = [], [], []
@@ -54,7 +71,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = word_hashes(text)
             if len(words) < K:
                 continue
-            grams = ngram_hashes(words, K)
+            grams = told_apart(ngram_hashes(words, K))
             at = minimizers(grams)
             ids.append(np.full(len(at), doc_id, np.int64))
             hashes.append(grams[at].view(np.int64))
