@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import best_fit, compression_rules, jaccard_join, jump_shards, language_id, passages, sparse_topk
+from . import best_fit, compression_rules, jaccard_join, jump_shards, language_id, passages, personal_data, sparse_topk
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_collinear_passages")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op10_skip_chain_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
