@@ -14,13 +14,18 @@ from ..session import scratch_path
 #: Words are runs of anything but the six ASCII white-space characters.
 SPACE = "\x20\t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _LOWER_BYTES = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def ascii_lower(text: str) -> str:
-    """``text`` with A-Z lowered and nothing else changed."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def lower_words(text: str | None) -> list[str]:
+    """Words with A-Z lowered."""
+    if not text:
+        return []
+    text = text.encode("utf-8", "surrogatepass").translate(_LOWER_BYTES).decode("utf-8", "surrogatepass")
+    return WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
 def byte_words(text: str | None, lower: bool = False) -> list[bytes]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import best_fit, compression_rules, jaccard_join, jump_shards, language_id, passages, personal_data, sparse_topk
+from . import best_fit, causal_lm, compression_rules, jaccard_join, jump_shards, language_id, passages, personal_data, sparse_topk
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_skip_chain_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op9_causal_attention")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return causal_lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
