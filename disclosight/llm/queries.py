@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import best_fit, causal_lm, compression_rules, jaccard_join, jump_shards, language_id, passages, personal_data, sparse_topk
+from . import best_fit, causal_lm, compression_rules, jaccard_join, jump_shards, language_id, passages, personal_data, piece_scan, sparse_topk
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_causal_attention")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal_lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_max_plus_pieces")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_scan.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
