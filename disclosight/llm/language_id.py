@@ -15,7 +15,7 @@ Because the layers are linear, vectors and layer multiply into one table (bucket
 covers every whole text and adds up table rows.
 
 Defined cases: a NULL text or one without letters is ``und`` with score 0 and rejected; so is every document
-if there was nothing to learn from. A document without id is predicted but neither learned from nor held out. Repeated
+if there was nothing to learn from (``accepted`` then rejects texts without letters only). A document without id is predicted but neither learned from nor held out. Repeated
 rows are predicted each. Columns beyond id, text and lang are not read.
 """
 
@@ -200,6 +200,14 @@ def train(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Mode
     return Model(tuple(row["languages"]), table.astype(np.float32), np.array(row["bias"]), row["temperature"], row["reject_below"])
 
 
+def accepted(model: Model | None, texts: list[str | None]) -> list[bool]:
+    """Which texts are not rejected. Without a model only texts without letters are."""
+    if model is None:
+        return (subwords(texts)[1] > 0).tolist()
+    shares, known = probabilities(model, texts)
+    return (known & (shares.max(axis=1) >= model.reject_below)).tolist() if len(texts) else []
+
+
 def _predictor(model: Model | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

@@ -256,6 +256,11 @@ def added_spans(text: str, spans: list[tuple[int, int, int]], weights: Weights)
     return found
 
 
+def all_spans(text: str, weights: Weights) -> list[tuple[int, int, int]]:
+    spans = base_spans(text)
+    return spans + added_spans(text, spans, weights)
+
+
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     """``text`` with every span replaced by its kind; overlapping spans are one."""
     out, done = [], 0
