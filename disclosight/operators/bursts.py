@@ -8,7 +8,7 @@ reduced on the map side before it reaches a window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ["txn_type", "ticker"]
@@ -21,8 +21,8 @@ def trading_days(trades: DataFrame) -> DataFrame:
                                     F.min("id").alias("first_id"))
 
 
-def number_bursts(days: DataFrame, max_gap_days: int) -> DataFrame:
-    """Adds ``prev_day`` and ``burst_id`` (1, 2, … per series)."""
+def number_bursts(days: DataFrame, max_gap_days: int | Column) -> DataFrame:
+    """Adds ``prev_day`` and ``burst_id`` (1, 2, … per series); the largest gap may depend on the row's series."""
     by_day = Window.partitionBy(*SERIES).orderBy("txn_date")
     gap = F.datediff(F.col("txn_date"), F.col("prev_day"))
     opens = F.when(F.col("prev_day").isNull() | (gap > max_gap_days), 1).otherwise(0)
@@ -39,7 +39,7 @@ def burst_spans(numbered: DataFrame) -> DataFrame:
     return spans.withColumn("span_days", F.datediff("end_date", "start_date"))
 
 
-def qualifying_days(numbered: DataFrame, max_span_days: int, min_trades: int) -> DataFrame:
+def qualifying_days(numbered: DataFrame, max_span_days: int | Column, min_trades: int | Column) -> DataFrame:
     """Days of bursts that are short and busy enough to matter, with their burst's span."""
     whole = Window.partitionBy(*SERIES, "burst_id")
     spanned = (numbered.withColumn("start_date", F.min("txn_date").over(whole))

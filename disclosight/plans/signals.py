@@ -27,6 +27,7 @@ from ..functions.dates import as_date, six_months_before
 from ..functions.identity import full_name, person_key
 from ..operators import bursts, filters, joins, ordering
 from ..operators.aggregates import open_ended_sum
+from ..session import working_table
 
 PERSON = ("doc_id", "first_name", "last_name", "state_district")
 
@@ -72,16 +73,24 @@ def clustered_trades(transactions: DataFrame, rules: tuple[ClusterRule, ...], as
 
 
 def members(transactions: DataFrame, filings: DataFrame, rules: tuple[ClusterRule, ...], as_of) -> DataFrame:
-    """Trades of every burst that may still qualify, with person and burst span."""
-    gap, span, people = {(r.max_gap_days, r.max_span_days, r.min_politicians) for r in rules}.pop()
+    """Trades of every burst that may still qualify, with person and burst span.
+
+    Every rule keeps its own thresholds. Who reads the rows more than once should store them first
+    (``member_table``).
+    """
     trades = clustered_trades(transactions, rules, as_of)
-    days = bursts.qualifying_days(
-        bursts.number_bursts(bursts.trading_days(trades), gap), span, people)
+    numbered = bursts.number_bursts(bursts.trading_days(trades), per_type(rules, lambda r: r.max_gap_days))
+    days = bursts.qualifying_days(numbered, per_type(rules, lambda r: r.max_span_days), per_type(rules, lambda r: r.min_politicians))
     in_burst = trades.join(days, bursts.DAY)
     return joins.lines(in_burst, filings, PERSON).withColumn(
         "person_key", person_key(F.col("state_district"), F.col("first_name"), F.col("last_name")))
 
 
+def member_table(transactions: DataFrame, filings: DataFrame, rules: tuple[ClusterRule, ...], as_of) -> DataFrame:
+    """``members`` as a working table: the lines are read twice in all, for days and for trades, whatever follows."""
+    return working_table(members(transactions, filings, rules, as_of), "cluster-members")
+
+
 def cluster_table(member_rows: DataFrame, rules: tuple[ClusterRule, ...]) -> DataFrame:
     """One row per qualifying burst.
 
@@ -122,7 +131,13 @@ def clusters(transactions: DataFrame, filings: DataFrame, as_of, rules: tuple[Cl
 
     ``politicians(state_district, first_name, last_name)`` keeps clusters with a trade by any of them.
     """
-    member_rows = members(transactions, filings, rules, as_of)
+    find = members if politicians is None else member_table
+    return clusters_of(find(transactions, filings, rules, as_of), rules, ticker, politicians, span_days_max, start, end)
+
+
+def clusters_of(member_rows: DataFrame, rules: tuple[ClusterRule, ...], ticker: str | None = None,
+                politicians: DataFrame | None = None, span_days_max: int | None = None, start=None, end=None) -> DataFrame:
+    """The same from member rows."""
     table = cluster_table(member_rows, rules)
     if politicians is not None:
         named = filters.of_politicians(member_rows, politicians).select(*BURST)
@@ -132,14 +147,12 @@ def clusters(transactions: DataFrame, filings: DataFrame, as_of, rules: tuple[Cl
     return filters.clusters_touching(table, start, end).select(*BURST, *[c for c in SUMMARY if c not in BURST])
 
 
-def people(transactions: DataFrame, filings: DataFrame, found: DataFrame, as_of,
-           rules: tuple[ClusterRule, ...] = (BUY,)) -> DataFrame:
-    """Per cluster of ``found`` one row per person, largest upper bound first.
+def people_of(member_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Per cluster of ``found`` one row per person, in no order (``people_order`` lists the largest upper bound first).
 
     Rows rather than a nested list, so that no cluster has to fit in one record.
     """
-    keys = found.select(*BURST, F.col("id").alias("signal_id"))
-    rows = members(transactions, filings, rules, as_of).join(keys, BURST)
+    rows = member_rows.join(found.select(*BURST, F.col("id").alias("signal_id")), BURST)
     return (rows.groupBy("signal_id", "person_key").agg(
         F.min("first_name").alias("first_name"), F.min("last_name").alias("last_name"),
         F.min("state_district").alias("state_district"),
@@ -147,21 +160,25 @@ def people(transactions: DataFrame, filings: DataFrame, found: DataFrame, as_of,
         open_ended_sum(F.col("amount_max")).alias("amount_max"))
         .select("signal_id", F.col("person_key").alias("id"),
                 F.concat_ws(" ", "first_name", "last_name").alias("name"), "state_district",
-                "transaction_count", "amount_min", "amount_max")
-        .orderBy("signal_id", F.col("amount_max").desc_nulls_last(), "id"))
+                "transaction_count", "amount_min", "amount_max"))
+
+
+def people_order() -> list[Column]:
+    return [F.col("signal_id").asc(), F.col("amount_max").desc_nulls_last(), F.col("id").asc()]
 
 
-def evidence(transactions: DataFrame, filings: DataFrame, found: DataFrame, as_of,
-             rules: tuple[ClusterRule, ...] = (BUY,)) -> DataFrame:
-    """The trades behind every cluster of ``found``, in (date, id) order per signal."""
-    keys = found.select(*BURST, F.col("id").alias("signal_id"))
-    rows = members(transactions, filings, rules, as_of).join(keys, BURST)
+def evidence_of(member_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The trades behind every cluster of ``found``, in no order (``evidence_order`` gives theirs)."""
+    rows = member_rows.join(found.select(*BURST, F.col("id").alias("signal_id")), BURST)
     return rows.select(
         "signal_id", "id", "filing_id", "doc_id", F.col("person_key").alias("politician_id"),
         full_name(F.col("first_name"), F.col("last_name")).alias("politician_name"), "sequence",
         "txn_type", "txn_date", "notification_date", "amount_min", "amount_max", "amount_raw",
-        F.col("owner_token").alias("owner"), "asset_name", "ticker", "asset_type_code",
-    ).orderBy("signal_id", "txn_date", "id")
+        F.col("owner_token").alias("owner"), "asset_name", "ticker", "asset_type_code")
+
+
+def evidence_order() -> list[Column]:
+    return [F.col(c).asc() for c in ("signal_id", "txn_date", "id")]
 
 
 SIGNAL_ID = r"^(bc|sc)_([A-Za-z0-9.\-]{1,6})_([0-9]{4}-[0-9]{2}-[0-9]{2})\z"
@@ -182,10 +199,10 @@ def cluster_detail(transactions: DataFrame, filings: DataFrame, ids: DataFrame,
     """Summaries, people and trades of the signals named in ``ids(signal_id)``."""
     wanted = (parse_signal_ids(ids.select("signal_id").distinct())
               .select("type", F.lower("ticker").alias("_ticker"), "start_date").distinct())
-    table = clusters(transactions, filings, as_of, rules).withColumn("_ticker", F.lower("ticker"))
-    found = table.join(wanted, ["type", "_ticker", "start_date"], "left_semi").drop("_ticker")
-    return (found, people(transactions, filings, found, as_of, rules),
-            evidence(transactions, filings, found, as_of, rules))
+    rows = member_table(transactions, filings, rules, as_of)
+    table = clusters_of(rows, rules).withColumn("_ticker", F.lower("ticker"))
+    found = working_table(table.join(wanted, ["type", "_ticker", "start_date"], "left_semi").drop("_ticker"), "clusters")
+    return found, people_of(rows, found), evidence_of(rows, found)
 
 
 def page_of_clusters(found: DataFrame, sort: str | None = "-politician_count", limit: int = 50,

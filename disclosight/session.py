@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-
-_local_folders: dict[str, str] = {}
+#: The folder for sessions that name none, if a caller has decided on one.
+_chosen: dict[str, str] = {}
 
 
 def build_session(app: str = "disclosight", master: str | None = None, **conf) -> SparkSession:
@@ -32,23 +31,31 @@ def build_session(app: str = "disclosight", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+def named_folder(spark: SparkSession) -> str | None:
+    """What the session itself names as its shared folder."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
-    Only a local master may fall back to a folder of this machine; a cluster
-    without the setting is an error rather than silent loss of data.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="disclosight-")
-    return _local_folders[app]
+
+def use_folder(path: str) -> None:
+    """Decide on a folder for sessions that name none, as tests and local runs do."""
+    _chosen["path"] = path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the one decided on."""
+    folder = named_folder(spark) or _chosen.get("path")
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def working_table(frame: DataFrame, label: str) -> DataFrame:
+    """Write a frame below the shared folder and read it back, so that it is worked out once."""
+    path = scratch_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -155,35 +155,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Scanned rows over all cores when the files give fewer splits than there are cores.
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to the session's shuffle partitions by a key, ahead of rendering them as documents."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
-    For work that is heavy per row, such as parsing; large tables have enough splits already.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-
-def _filing_rows(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+def _filing_rows(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     orders, customer, nation, region = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region"))
-    orders = spread(orders) if spread_out else orders
+    orders = dealt(orders, "o_orderkey") if deal else orders
     return (orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
             .join(nation, customer["c_nationkey"] == nation["n_nationkey"])
             .join(region, nation["n_regionkey"] == region["r_regionkey"]))
 
 
-def filings(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
-    return _filing_rows(spark, sf_dir, spread_out).selectExpr(*_columns(FILINGS, _SPARK_WORDS))
+def filings(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    return _filing_rows(spark, sf_dir, deal).selectExpr(*_columns(FILINGS, _SPARK_WORDS))
 
 
 def filers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filing_rows(spark, sf_dir).selectExpr(*_columns(FILERS, _SPARK_WORDS))
 
 
-def transactions(spark: SparkSession, sf_dir: str, assets: bool = False, spread_out: bool = False) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, assets: bool = False, deal: bool = False) -> DataFrame:
     """Trade lines; the asset name costs a join with ``part`` and is left out unless asked for."""
     lines = table(spark, sf_dir, "lineitem")
-    lines = spread(lines) if spread_out else lines
+    lines = dealt(lines, "l_orderkey") if deal else lines
     view = TRANSACTIONS
     if assets:
         part = table(spark, sf_dir, "part")
@@ -195,7 +191,7 @@ def transactions(spark: SparkSession, sf_dir: str, assets: bool = False, spread_
 
 def _member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, nation, region = (table(spark, sf_dir, n) for n in ("customer", "nation", "region"))
-    customer = spread(customer)  # names are heavy per row
+    customer = dealt(customer, "c_custkey")  # names are heavy per row
     return (customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"])
             .join(region, nation["n_regionkey"] == region["r_regionkey"]))
 

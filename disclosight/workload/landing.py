@@ -58,7 +58,7 @@ TABLE_HEAD = "ID Owner Asset Transaction Date Notification Amount Cap.\nType Dat
 
 def report_texts(spark: SparkSession, d: str) -> DataFrame:
     """One text report per trade line: the line, a wrapped second trade and a block without a code."""
-    t = adapters.transactions(spark, d, assets=True, spread_out=True)
+    t = adapters.transactions(spark, d, assets=True, deal=True)
     owner = F.when(F.col("owner_token") != "Self", F.concat("owner_token", F.lit(" ")))
     ticker = F.when(F.col("ticker") != "--", F.concat(F.lit(" ("), "ticker", F.lit(")")))
     code = F.when(F.length("asset_type_code") == 2, F.lower("asset_type_code")).otherwise("st")
@@ -79,7 +79,7 @@ def report_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def senate_pages(spark: SparkSession, d: str) -> DataFrame:
     """One HTML page per trade line with two trades and rows that are none."""
-    t = adapters.transactions(spark, d, assets=True, spread_out=True)
+    t = adapters.transactions(spark, d, assets=True, deal=True)
     label = (F.when(F.col("amount_min") % 97 == 0, "Barter").when(F.col("txn_type") == "P", "Purchase")
              .when(F.col("txn_type") == "S", "Sale (Full)").when(F.col("txn_type") == "E", "Exchange")
              .otherwise("Sale (Partial)"))
@@ -100,7 +100,7 @@ def senate_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def report_words(spark: SparkSession, d: str) -> DataFrame:
     """Positioned words of a two-page report per filing; the second page repeats no header."""
-    f = adapters.filings(spark, d, spread_out=True)
+    f = adapters.filings(spark, d, deal=True)
     word = lambda page, value, x0, top: F.struct(
         F.lit(page).alias("page"), (value if isinstance(value, Column) else F.lit(value)).cast("string").alias("text"),
         F.lit(float(x0)).alias("x0"), F.lit(float(top)).alias("top"))

@@ -29,7 +29,7 @@ DOC = """case when doc_kind = 'scanned' and source = 'senate_efd' then concat('7
 
 def index(spark, d):
     """Listing rows; some documents are listed twice."""
-    f = filings(spark, d, spread_out=True)
+    f = filings(spark, d, deal=True)
     rows = f.select("id", "source", F.expr(DOC).alias("doc_id"), "year", "filing_date", F.coalesce("prefix", F.lit("")).alias("prefix"),
                     F.col("first_name").alias("first"), F.col("last_name").alias("last"), F.coalesce("suffix", F.lit("")).alias("suffix"),
                     "state_district")
@@ -43,7 +43,7 @@ ARRIVED = "not (coalesce(suffix, '') = 'Jr.' and year = 1998)"
 
 def landed(spark, d):
     """One document per filing unless it never arrived; some are blank, some hold an impossible date or type."""
-    f = filings(spark, d, spread_out=True).filter(ARRIVED).withColumn("doc", F.expr(DOC))
+    f = filings(spark, d, deal=True).filter(ARRIVED).withColumn("doc", F.expr(DOC))
     day = landing.us("created_at")
     shown = F.when(F.col("id") % 41 == 0, F.lit("02/30/2020")).otherwise(day)
     house = landing.text(landing.TABLE_HEAD, "SP ", F.col("last_name"), " (Q1) [ST] P ", shown, " ", day, " $1,001 - $15,000\nF S: New\n",

@@ -96,15 +96,24 @@ def a5(spark, d):
     return signals.clusters(*tf(spark, d), AS_OF, WIDE).select(*SUMMARY)
 
 
-@query("a6_cluster_people", cluster_sql(30, 30) + f"""
+PEOPLE_SQL = """
     select c.id as signal_id, n.person_key as id, concat_ws(' ', min(n.first_name), min(n.last_name)) as name,
       min(n.state_district) as state_district, cast(count(*) as bigint) as transaction_count,
       cast(sum(n.amount_min) as bigint) as amount_min,
       cast(case when count(*) = count(n.amount_max) then sum(n.amount_max) end as bigint) as amount_max
-    from clusters c join numbered n using (txn_type, ticker, burst_id) group by c.id, n.person_key""", FT)
+    from clusters c join numbered n using (txn_type, ticker, burst_id) group by c.id, n.person_key"""
+EVIDENCE_SQL = """
+    select c.id as signal_id, n.id, n.filing_id, n.doc_id, n.person_key as politician_id,
+      trim(n.first_name || ' ' || n.last_name) as politician_name, n.sequence, n.txn_type, n.txn_date,
+      n.notification_date, n.amount_min, n.amount_max, n.amount_raw, n.owner_token as owner, n.asset_name,
+      n.ticker, n.asset_type_code
+    from clusters c join numbered n using (txn_type, ticker, burst_id)"""
+
+
+@query("a6_cluster_people", cluster_sql(30, 30) + PEOPLE_SQL, FT)
 def a6(spark, d):
-    t, f = tf(spark, d)
-    return signals.people(t, f, signals.clusters(t, f, AS_OF, WIDE), AS_OF, WIDE)
+    rows = signals.member_table(*tf(spark, d), WIDE, AS_OF)
+    return signals.people_of(rows, signals.clusters_of(rows, WIDE))
 
 
 @query("j9_leading_person", cluster_sql(30, 30) + """,
@@ -114,8 +123,8 @@ def a6(spark, d):
     qualify row_number() over (partition by signal_id order by amount_max desc nulls last, person_key) = 1""", FT)
 def j9(spark, d):
     """The first person in list order of every cluster, as a minimum that combines on the map side."""
-    t, f = tf(spark, d)
-    rows = signals.people(t, f, signals.clusters(t, f, AS_OF, WIDE), AS_OF, WIDE)
+    members = signals.member_table(*tf(spark, d), WIDE, AS_OF)
+    rows = signals.people_of(members, signals.clusters_of(members, WIDE))
     place = F.struct(F.col("amount_max").isNull().alias("open"), (-F.col("amount_max")).alias("size"), F.col("id").alias("id"))
     return rows.groupBy("signal_id").agg(F.min(place).alias("p")).select(
         "signal_id", F.col("p.id").alias("leading"), (-F.col("p.size")).alias("amount_max"))
@@ -179,25 +188,41 @@ def c1_page(spark, d):
     return ordering.page(found, order, 50).select(*SUMMARY)
 
 
-@query("c2_cluster_detail", cluster_sql(30, 30) + f" select {SUMMARY_SQL} from clusters", FT)
-def c2_detail(spark, d):
+@query("c1_mixed_clusters", cluster_sql(types="'P'") + f", buys as (select {SUMMARY_SQL} from clusters) select * from buys union all "
+       f"select * from ({cluster_sql(30, 30, types="'S'")} select {SUMMARY_SQL} from clusters)", FT)
+def c1_mixed(spark, d):
+    """Each rule keeps its own thresholds: buys 7 and 14 days, sales 30 and 30."""
+    return signals.clusters(*tf(spark, d), AS_OF, (signals.BUY, WIDE[1])).select(*SUMMARY)
+
+
+def detail(spark, d):
+    """Details of all clusters, asked for as a caller may hold their ids: tickers in upper case, beside ids of an unknown form."""
     t, f = tf(spark, d)
-    # ids as a caller may hold them: tickers in upper case, beside ids of an unknown form
     known = signals.clusters(t, f, AS_OF, WIDE)
     ids = known.select(F.concat(F.substring("id", 1, 3), F.upper(F.expr("substring(id, 4)"))).alias("signal_id"))
     ids = ids.unionByName(known.select(F.concat(F.lit("xx_"), "id").alias("signal_id")))
-    return signals.cluster_detail(t, f, ids, AS_OF, WIDE)[0].select(*SUMMARY)
+    return signals.cluster_detail(t, f, ids, AS_OF, WIDE)
 
 
-@query("j8_cluster_evidence", cluster_sql(30, 30) + """
-    select c.id as signal_id, n.id, n.filing_id, n.doc_id, n.person_key as politician_id,
-      trim(n.first_name || ' ' || n.last_name) as politician_name, n.sequence, n.txn_type, n.txn_date,
-      n.notification_date, n.amount_min, n.amount_max, n.amount_raw, n.owner_token as owner, n.asset_name,
-      n.ticker, n.asset_type_code
-    from clusters c join numbered n using (txn_type, ticker, burst_id)""", FT)
+@query("c2_cluster_detail", cluster_sql(30, 30) + f" select {SUMMARY_SQL} from clusters", FT)
+def c2_detail(spark, d):
+    return detail(spark, d)[0].select(*SUMMARY)
+
+
+@query("c2_detail_people", cluster_sql(30, 30) + PEOPLE_SQL, FT)
+def c2_people(spark, d):
+    return detail(spark, d)[1]
+
+
+@query("c2_detail_trades", cluster_sql(30, 30) + EVIDENCE_SQL, FT)
+def c2_trades(spark, d):
+    return detail(spark, d)[2]
+
+
+@query("j8_cluster_evidence", cluster_sql(30, 30) + EVIDENCE_SQL, FT)
 def j8(spark, d):
-    t, f = tf(spark, d)
-    return signals.evidence(t, f, signals.clusters(t, f, AS_OF, WIDE), AS_OF, WIDE)
+    rows = signals.member_table(*tf(spark, d), WIDE, AS_OF)
+    return signals.evidence_of(rows, signals.clusters_of(rows, WIDE))
 
 
 @query("j7_clusters_of_politicians", cluster_sql(30, 30) + f""" select {SUMMARY_SQL} from clusters c
@@ -270,14 +295,21 @@ def x4(spark, d):
     return signals.parse_signal_ids(ids.unionByName(ids.select(F.concat(F.lit("zz_"), "signal_id").alias("signal_id"))))
 
 
+def _texts(rules, value) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "case txn_type " + " ".join(f"when '{r.txn_type}' then {quoted(value(r))}" for r in rules) + " end"
+
+
+LIMITATION_SQL = _texts(BOTH, lambda r: "\n".join(r.limitations)) + " as limitations, " + _texts(BOTH, lambda r: r.description) + " as description"
+
+
 @query("x40_rule_block", cluster_sql(30, 30) + """ select id, label as rule_label, txn_type as rule_txn_type,
-    30 as max_gap_days, 30 as max_span_days, 3 as min_politicians,
-    cast(case txn_type when 'P' then 5 else 6 end as int) as limitation_count from clusters""", FT)
+    30 as max_gap_days, 30 as max_span_days, 3 as min_politicians, """ + LIMITATION_SQL + " from clusters", FT)
 def x40(spark, d):
     found = signals.with_rule(signals.clusters(*tf(spark, d), AS_OF, WIDE), WIDE)
     return found.select("id", F.col("rule.label").alias("rule_label"), F.col("rule.txn_type").alias("rule_txn_type"),
                         "rule.max_gap_days", "rule.max_span_days", "rule.min_politicians",
-                        F.size("limitations").alias("limitation_count"))
+                        F.array_join("limitations", "\n").alias("limitations"), F.col("rule.description").alias("description"))
 
 
 HIGHLIGHT_SQL = f"""

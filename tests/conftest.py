@@ -12,8 +12,8 @@ from disclosight.operators.store import fit  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[4]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false",
+def spark(tmp_path_factory):
+    session = build_session("tests", "local[4]", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__sql__shuffle__partitions=4, spark__ui__enabled="false",
                             spark__ui__showConsoleProgress="false", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -78,9 +78,9 @@ def test_detail_people_and_evidence(seed, spark):
     ids = spark.createDataFrame([("bc_OPEN_2024-03-01",), ("sc_SELL_2024-03-01",), ("nonsense",), ("bc_OPEN_2024-03-02",)], "signal_id string")
     summary, people, trades = signals.cluster_detail(*seed, ids, AS_OF)
     assert {r["id"] for r in summary.collect()} == {"bc_open_2024-03-01", "sc_sell_2024-03-01"}
-    order = [(r["name"], r["amount_max"]) for r in people.filter("signal_id like 'bc%'").collect()]
+    order = [(r["name"], r["amount_max"]) for r in people.filter("signal_id like 'bc%'").orderBy(*signals.people_order()).collect()]
     assert order == [("Ann Alpha", 200), ("Bob Beta", 200), ("Cid Gamma", None)]
-    assert [r["politician_id"] for r in trades.filter("signal_id like 'bc%'").collect()][-1] == "tx03_cid_gamma"
+    assert [r["politician_id"] for r in trades.filter("signal_id like 'bc%'").orderBy(*signals.evidence_order()).collect()][-1] == "tx03_cid_gamma"
 
 
 def test_long_burst_is_rejected_whole_but_kept_by_a_wider_rule(seed):
@@ -110,3 +110,12 @@ def test_order_and_page_rules(seed):
             signals.page_of_clusters(table, **bad)
     with pytest.raises(ValueError):
         ordering.signal_order("-nothing")
+
+
+def test_rules_keep_their_own_thresholds(seed):
+    wide_sell = replace(signals.SELL, max_gap_days=30, max_span_days=30)
+    for rules in ((signals.BUY, wide_sell), (wide_sell, signals.BUY)):
+        assert set(found(seed, rules)) == {"ALPHA", "GAPS", "REPT", "OPEN", "NAME", "SELL"}
+    wide_buy = replace(signals.BUY, max_gap_days=30, max_span_days=30)
+    assert {"GAPE", "LONG"} <= set(found(seed, (wide_buy, signals.SELL)))
+    assert "ALPHA" not in found(seed, (replace(signals.BUY, min_politicians=4), signals.SELL))
