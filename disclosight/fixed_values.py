@@ -212,3 +212,6 @@ SENATE_SERVICE_CORRECTIONS = (
     # (bioguide_id, term start, corrected end)
     ("V000137", "2023-01-03", "2031-01-03"),
 )
+
+# --- fixed values: wording of run errors ---
+INDEX_FAILURE = "failed to fetch %d index: %s"

@@ -26,9 +26,11 @@ def store(spark: SparkSession, root: str, new_filings: DataFrame, new_lines: Dat
           order: list[str]) -> None:
     """Append filings and lines of one batch; ``new_lines`` refers to filings by ``doc_id``.
 
-    Lines must carry the ``order`` columns of the filing version they belong to.
+    Lines must carry the ``order`` columns of the filing version they belong to. A committed batch
+    is not stored again; one that failed before its commit is.
     """
-    # a repeated batch must not meet its own rows
+    if tables.is_committed(spark, root, batch_no):
+        return
     stored = tables.read_table(spark, root, "filings", schema.FILINGS, before=batch_no)
     kept = survivors(new_filings, stored, order)
     numbered = with_batch_ids(kept, ["doc_id"], batch_no)

@@ -1,13 +1,14 @@
 """The stored tables: append-only batches that become visible once committed.
 
 A batch writes its filings and its lines into folders of its own and then one commit file.
-Readers take the latest committed version of every batch only, so the tables change together, a
-failed batch leaves nothing visible, and repeating a batch replaces the same folders. Rewriting
-part of a table commits a new version of just the batches concerned.
+Readers take the latest committed version of every batch only, so the tables change together and a
+failed batch leaves nothing visible. A committed batch is never written again: repeating it does
+nothing. Rewriting part of a table commits a new version of just the batches concerned.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,32 +18,36 @@ COMMIT = T.StructType([T.StructField("table", T.StringType()), T.StructField("ba
 PLACE = T.StructType([T.StructField("batch_no", T.LongType()), T.StructField("version", T.LongType())])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+def _read(spark: SparkSession, structure: T.StructType, path: str) -> DataFrame:
+    """The rows below ``path``, none if nothing was written yet."""
+    try:
+        return spark.read.schema(structure).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], structure)
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
     """Latest version per table and batch."""
-    path = f"{root}/commits"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], COMMIT).drop("committed_at")
-    rows = spark.read.schema(COMMIT).parquet(f"{path}/*")
+    rows = _read(spark, COMMIT, f"{root}/commits/*")
     return rows.groupBy("table", "batch_no").agg(F.max("version").alias("version"))
 
 
+def is_committed(spark: SparkSession, root: str, batch_no: int) -> bool:
+    """Whether the batch is visible; a look at its commit file only."""
+    return not _read(spark, COMMIT, f"{root}/commits/batch-{batch_no}").isEmpty()
+
+
 def read_batches(spark: SparkSession, root: str, name: str, schema: T.StructType,
                  before: int | None = None) -> DataFrame:
     """Committed rows of a stored table with their ``batch_no`` and ``version``."""
     placed = T.StructType([*schema.fields, *PLACE.fields])
-    path = f"{root}/{name}"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], placed)
     # one row per ingestion run
     latest = commits(spark, root).filter(F.col("table") == name).select("batch_no", "version")
     if before is not None:
         latest = latest.filter(F.col("batch_no") < before)
-    return spark.read.schema(placed).parquet(path).join(latest, ["batch_no", "version"], "left_semi").select(*placed.names)
+    return _read(spark, placed, f"{root}/{name}").join(latest, ["batch_no", "version"], "left_semi").select(*placed.names)
 
 
 def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType,
@@ -56,7 +61,9 @@ def _commit(rows: DataFrame, path: str) -> None:
 
 
 def write_batch(spark: SparkSession, root: str, batch_no: int, **frames: DataFrame) -> None:
-    """Write every named table of the batch, then commit them together."""
+    """Write every named table of the batch, then commit them together; a committed batch stays as it is."""
+    if is_committed(spark, root, batch_no):
+        return
     for name, frame in frames.items():
         frame.write.mode("overwrite").parquet(f"{root}/{name}/batch_no={batch_no}/version=0")
     done = spark.createDataFrame([(name, batch_no, 0) for name in frames], "table string, batch_no long, version long")

@@ -29,13 +29,11 @@ DOC = """case when doc_kind = 'scanned' and source = 'senate_efd' then concat('7
 
 def index(spark, d):
     """Listing rows; some documents are listed twice."""
-    f = filings(spark, d, deal=True)
-    rows = f.select("id", "source", F.expr(DOC).alias("doc_id"), "year", "filing_date", F.coalesce("prefix", F.lit("")).alias("prefix"),
-                    F.col("first_name").alias("first"), F.col("last_name").alias("last"), F.coalesce("suffix", F.lit("")).alias("suffix"),
-                    "state_district")
     copies = F.when(F.col("amends_filing_id").isNotNull(), 2).otherwise(1)
-    return f.select("id", copies.alias("n")).join(rows, "id").select(
-        F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("_copy"), *rows.columns).drop("_copy")
+    return filings(spark, d).select(
+        F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy"), "source", F.expr(DOC).alias("doc_id"), "year", "filing_date",
+        F.coalesce("prefix", F.lit("")).alias("prefix"), F.col("first_name").alias("first"), F.col("last_name").alias("last"),
+        F.coalesce("suffix", F.lit("")).alias("suffix"), "state_district").drop("_copy")
 
 
 ARRIVED = "not (coalesce(suffix, '') = 'Jr.' and year = 1998)"
@@ -52,10 +50,10 @@ def landed(spark, d):
     senate = landing.text("<table><tr>", *[landing.text("<td>", c, "</td>") for c in (
         "1", day, "Self", "Q2", F.col("last_name"), "Stock", label, "Over $1,000", "--")], "</tr></table>")
     body = F.when(F.col("id") % 37 == 0, F.lit(" \n")).when(F.col("source") == "senate_efd", senate).otherwise(house)
-    return f.select(F.col("doc").alias("doc_id"), body.alias("body"), "source", "doc_kind")
+    return f.select(F.col("doc").alias("doc_id"), body.alias("body"))
 
 
-def parsed_lines(docs):
+def parse(docs):
     house = report_text.parse_text(docs.filter("source = 'house_clerk'").select("doc_id", "body"))
     senate = report_html.parse_html(docs.filter("source = 'senate_efd'").select("doc_id", "body"))
     return house.unionByName(senate)
@@ -66,43 +64,68 @@ def known(spark, d):
 
 
 def run_parts(spark, d):
-    docs = landed(spark, d)
-    return index(spark, d), docs.select("doc_id", "body"), parsed_lines(docs), known(spark, d)
+    return index(spark, d), landed(spark, d), parse, known(spark, d)
 
 
+def work(spark):
+    return scratch_path(spark, "ingest")
+
+
+# a House page without text is a scan; a Senate page without rows is a filing without lines
 OUTCOME_SQL = f"""with listed as (select *, {DOC} as doc, case when amends_filing_id is not null then 2 else 1 end as copies from filings),
     judged as (select id, doc, source, year, cast(copies as bigint) as copies, filing_date, cast(created_at as date) as day, last_name,
+        case when id % 37 = 0 then 0 when source = 'senate_efd' then 1 else 2 end as lines,
         case when regexp_full_match(doc, case source when 'senate_efd' then '[0-9]+' else '[0-9]{{7}}' end) then 'scanned_skipped'
-          when year = 1997 then 'skipped' when suffix = 'Jr.' and year = 1998 then 'download_failed' when id % 37 = 0 then 'scanned_skipped'
-          when id % 41 = 0 then 'parse_failed' when source = 'senate_efd' and filing_date is null then 'store_failed' else 'new' end as outcome
+          when year = 1997 then 'skipped' when suffix = 'Jr.' and year = 1998 then 'download_failed'
+          when id % 37 = 0 and source <> 'senate_efd' then 'scanned_skipped'
+          when id % 41 = 0 and id % 37 <> 0 then 'parse_failed'
+          when source = 'senate_efd' and filing_date is null and id % 37 <> 0 then 'store_failed' else 'new' end as outcome
       from listed)"""
 
 
-@query("a10_ingest_outcomes", OUTCOME_SQL + " select doc as doc_id, source, year, copies, outcome from judged", ("filings",))
+@query("a10_ingest_outcomes", OUTCOME_SQL + """ select doc as doc_id, source, year, copies, outcome,
+    case outcome when 'download_failed' then 'no landed document' when 'parse_failed' then 'unreadable trade line'
+      when 'store_failed' then 'no notification date' end as error from judged""", ("filings",))
 def a10(spark, d):
-    return ingest.outcomes(*run_parts(spark, d)).select("doc_id", "source", "year", "copies", "outcome")
+    listed, docs, reader, stored = run_parts(spark, d)
+    return ingest.decide(listed, docs, reader, stored, work(spark)).outcomes.select("doc_id", "source", "year", "copies", "outcome", "error")
 
 
-ACCOUNT_SQL = """ select source, year, cast(sum(copies) as bigint) as filings_indexed,
+ACCOUNT_SQL = """, counted as (select source, year, cast(sum(copies) as bigint) as filings_indexed,
     cast(count(*) filter (where outcome = 'new') as bigint) as filings_new,
     cast(coalesce(sum(copies) filter (where outcome = 'skipped'), 0) + coalesce(sum(copies - 1) filter (where outcome = 'new'), 0) as bigint) as filings_skipped,
     cast(coalesce(sum(copies) filter (where outcome = 'scanned_skipped'), 0) as bigint) as scanned_skipped,
     cast(coalesce(sum(copies) filter (where outcome = 'download_failed'), 0) as bigint) as download_failed,
     cast(coalesce(sum(copies) filter (where outcome = 'parse_failed'), 0) as bigint) as parse_failed,
-    cast(coalesce(sum(case source when 'senate_efd' then 1 else 2 end) filter (where outcome = 'new'), 0) as bigint) as transactions_stored,
-    case when count(*) filter (where outcome in ('download_failed', 'parse_failed', 'store_failed')) > 0 then 'partial' else 'success' end as status
-    from judged {where} group by source, year"""
+    cast(coalesce(sum(lines) filter (where outcome = 'new'), 0) as bigint) as transactions_stored,
+    case when count(*) filter (where outcome in ('download_failed', 'parse_failed', 'store_failed')) > 0 then 'partial' else 'success' end as status,
+    'store_failures=' || cast(nullif(coalesce(sum(copies) filter (where outcome = 'store_failed'), 0), 0) as varchar) as error
+    from judged {where} group by source, year)
+    select * from counted
+    union all select t.source, t.year, 0, 0, 0, 0, 0, 0, 0, 'success', null from targets t
+      where not exists (select 1 from counted c where c.source = t.source and c.year = t.year)
+    union all select 'house_clerk', 2003, 0, 0, 0, 0, 0, 0, 0, 'failed', 'failed to fetch 2003 index: no archive'"""
+TARGET_SQL = """, targets as (select s.source, cast(y.year as integer) as year from (select 'house_clerk' as source union all select 'senate_efd') s,
+    (select unnest(range({low}, {high} + 1)) as year) y where not (s.source = 'house_clerk' and y.year = 2003))"""
+
+
+def targets(spark, years):
+    return spark.createDataFrame([(s, y) for s in ("house_clerk", "senate_efd") for y in years], "source string, year int")
+
+
+def failures(spark):
+    return spark.createDataFrame([("house_clerk", 2003, "no archive")], "source string, year int, message string")
 
 
-@query("k2_run_accounting", OUTCOME_SQL + ACCOUNT_SQL.format(where=""), ("filings",))
+@query("k2_run_accounting", OUTCOME_SQL + TARGET_SQL.format(low=1990, high=2003) + ACCOUNT_SQL.format(where=""), ("filings",))
 def k2(spark, d):
-    listed, docs, parsed, stored = run_parts(spark, d)
-    judged = ingest.outcomes(listed, docs, parsed, stored)
-    return ingest.run_account(judged, listed, parsed).drop("error")
+    listed, docs, reader, stored = run_parts(spark, d)
+    judged, parsed = ingest.decide(listed, docs, reader, stored, work(spark))
+    return ingest.run_account(judged, listed, parsed, targets(spark, range(1990, 2004)), failures(spark))
 
 
-@query("c17_ingested_lines", OUTCOME_SQL + """, flagged as (select *, coalesce(day > filing_date, false) as late from judged where outcome = 'new')
-    select doc as doc_id, cast(0 as int) as sequence, last_name || case source when 'senate_efd' then '' else ' (Q1)' end as asset_name,
+LINES_SQL = """, flagged as (select *, coalesce(day > filing_date, false) as late from judged where outcome = 'new' and lines > 0),
+    stored as (select doc as doc_id, cast(0 as int) as sequence, last_name || case source when 'senate_efd' then '' else ' (Q1)' end as asset_name,
       case source when 'senate_efd' then 'Q2' else 'Q1' end as ticker, 'P' as txn_type, day as txn_date,
       case source when 'senate_efd' then filing_date else day end as notification_date,
       cast(case source when 'senate_efd' then 1000 else 1001 end as bigint) as amount_min,
@@ -113,24 +136,46 @@ def k2(spark, d):
     union all select doc, 1, 'Second asset', null, 'S', day, day, 15001, 50000,
       array_to_string([x for x in [case when late then 'transaction_date_after_filing' end,
         case when day > date '2000-06-30' then 'transaction_date_after_ingestion_date' end,
-        case when late then 'notification_date_after_filing' end] if x is not null], ',') from flagged where source <> 'senate_efd'""", ("filings",))
+        case when late then 'notification_date_after_filing' end] if x is not null], ',') from flagged where source <> 'senate_efd')"""
+LINE_COLUMNS = ("doc_id", "sequence", "asset_name", "ticker", "txn_type", "txn_date", "notification_date", "amount_min", "amount_max")
+
+
+def flat(lines, filed):
+    doc = filed.select("doc_id", F.col("id").alias("filing_id"))
+    return lines.join(doc, "filing_id").select(*LINE_COLUMNS, F.array_join("quality_flags", ",").alias("quality_flags"))
+
+
+@query("c17_ingested_lines", OUTCOME_SQL + LINES_SQL + " select * from stored", ("filings",))
 def c17(spark, d):
-    done = ingest.ingest(*run_parts(spark, d), RUN_DAY)
-    doc = done.filings.select("doc_id", F.col("id").alias("filing_id"))
-    return done.lines.join(doc, "filing_id").select(
-        "doc_id", "sequence", "asset_name", "ticker", "txn_type", "txn_date", "notification_date", "amount_min", "amount_max",
-        F.array_join("quality_flags", ",").alias("quality_flags"))
+    listed, docs, reader, stored = run_parts(spark, d)
+    done = ingest.ingest(listed, docs, reader, stored, RUN_DAY, work(spark))
+    return flat(done.lines, done.filings)
 
 
-@query("c18_backfill_years", OUTCOME_SQL + ACCOUNT_SQL.format(where="where year >= 1999 and filing_date >= date '1999-03-01'").replace(
-    "cast(sum(copies) as bigint) as filings_indexed", "(select cast(sum(j.copies) as bigint) from judged j where j.source = judged.source and j.year = judged.year) as filings_indexed"),
+@query("c17_repeated_run", OUTCOME_SQL.replace("when year = 1997 then 'skipped' ", "") + LINES_SQL + """ select s.*, cast(1 as bigint) as runs from stored s""",
+       ("filings",))
+def c17_repeated(spark, d):
+    """A run into the store, the same batch again, and a further run that finds nothing new: the lines are those of the first."""
+    root = scratch_path(spark, "run")
+    listed, docs, reader, _ = run_parts(spark, d)
+    for batch in (0, 0, 1):
+        ingest.run(spark, root, listed, docs, reader, RUN_DAY, batch_no=batch)
+    lines, filed = (tables.read_batches(spark, root, n, s) for n, s in (("transactions", schema.TRANSACTIONS), ("filings", schema.FILINGS)))
+    runs = lines.groupBy("filing_id", "sequence").agg(F.count(F.lit(1)).alias("runs"))
+    return flat(lines.join(runs, ["filing_id", "sequence"]).select(*schema.TRANSACTIONS.names, "runs"), filed).join(
+        filed.select("doc_id", F.col("id").alias("filing_id")).join(runs, "filing_id").select("doc_id", "sequence", "runs"), ["doc_id", "sequence"])
+
+
+@query("c18_backfill_years", OUTCOME_SQL + TARGET_SQL.format(low=1996, high=2003) + ACCOUNT_SQL.format(where="where year >= 1996 and filing_date >= date '1999-03-01'").replace(
+    "cast(sum(copies) as bigint) as filings_indexed", "(select cast(sum(j.copies) as bigint) from judged j where j.source = judged.source and j.year = judged.year) as filings_indexed").replace(
+    "select t.source, t.year, 0, 0,", "select t.source, t.year, coalesce((select cast(sum(j.copies) as bigint) from judged j where j.source = t.source and j.year = t.year), 0), 0,"),
        ("filings",))
 def c18(spark, d):
-    listed, docs, parsed, stored = run_parts(spark, d)
-    years = ingest.target_years(None, True, 1999, 2001)
+    listed, docs, reader, stored = run_parts(spark, d)
+    years = ingest.target_years(None, True, 1996, 2003)
     wanted = listed.filter(F.col("year").isin(years))
-    judged = ingest.outcomes(wanted, docs, parsed, stored, since="1999-03-01")
-    return ingest.run_account(judged, wanted, parsed).drop("error")
+    judged, parsed = ingest.decide(wanted, docs, reader, stored, work(spark), since="1999-03-01")
+    return ingest.run_account(judged, wanted, parsed, targets(spark, years), failures(spark))
 
 
 # --- idempotent store -------------------------------------------------------------

@@ -134,27 +134,77 @@ def test_ingest_run(spark, tmp_path):
         ("house_clerk", "20000001", 2024, D(2024, 1, 9), "Ann", "Doe", "CA01"), ("house_clerk", "20000001", 2024, D(2024, 1, 9), "Ann", "Doe", "CA01"),
         ("house_clerk", "8000001", 2024, D(2024, 1, 9), "Ann", "Doe", "CA01"), ("house_clerk", "20000002", 2024, D(2024, 1, 9), "Ann", "Doe", "CA01"),
         ("house_clerk", "20000003", 2024, None, "Ann", "Doe", "CA01"), ("senate_efd", "u-1", 2024, D(2024, 1, 9), "Al", "Arm", "OK00"),
-        ("senate_efd", "u-2", 2024, None, "Al", "Arm", "OK00")],
+        ("senate_efd", "u-2", 2024, None, "Al", "Arm", "OK00"), ("senate_efd", "u-3", 2024, D(2024, 1, 9), "Al", "Arm", "OK00")],
         "source string, doc_id string, year int, filing_date date, first string, last string, state_district string")
     head = "ID Owner Asset Transaction Date Notification Amount Cap.\n"
     html = "<tr>" + "".join(f"<td>{c}</td>" for c in ("1", "01/02/2024", "Self", "AB", "A", "Stock", "Purchase", "Over $5", "--")) + "</tr>"
     house = spark.createDataFrame([("20000001", head + "A (A) [ST] P 02/01/2024 01/02/2024 $1 - $2"),
                                    ("20000003", head + "A (A) [ST] P 02/30/2024 01/02/2024 $1")], "doc_id string, body string")
-    senate = spark.createDataFrame([("u-1", html), ("u-2", html)], "doc_id string, body string")
-    docs = house.unionByName(senate)
-    parsed = report_text.parse_text(house).unionByName(report_html.parse_html(senate))
+    senate = spark.createDataFrame([("u-1", html), ("u-2", html), ("u-3", " ")], "doc_id string, body string")
+    docs, seen = house.unionByName(senate), []
+
+    def parse(fresh):
+        seen.append(sorted(r["doc_id"] for r in fresh.collect()))
+        house = report_text.parse_text(fresh.filter("source = 'house_clerk'").select("doc_id", "body"))
+        return house.unionByName(report_html.parse_html(fresh.filter("source = 'senate_efd'").select("doc_id", "body")))
+
     root = str(tmp_path / "run")
-    runs = {r["source"]: r for r in ingest.run(spark, root, index, docs, parsed, D(2024, 1, 15)).collect()}
+    targets = spark.createDataFrame([("house_clerk", 2024), ("house_clerk", 2019)], "source string, year int")
+    failures = spark.createDataFrame([("senate_efd", 2020, "timed out")], "source string, year int, message string")
+    every = ingest.run(spark, root, index, docs, parse, D(2024, 1, 15), targets=targets, failures=failures).collect()
+    runs = {r["source"]: r for r in every if r["year_targets"] == ["2024"]}
+    other = {(r["source"], r["year_targets"][0]): r for r in every if r["year_targets"] != ["2024"]}
+    assert (other["house_clerk", "2019"]["status"], other["house_clerk", "2019"]["filings_indexed"]) == ("success", 0)
+    assert (other["senate_efd", "2020"]["status"], other["senate_efd", "2020"]["error"]) == ("failed", "failed to fetch 2020 index: timed out")
     h, s = runs["house_clerk"], runs["senate_efd"]
     assert (h["filings_indexed"], h["filings_new"], h["filings_skipped"], h["scanned_skipped"], h["download_failed"], h["parse_failed"],
             h["transactions_stored"], h["status"]) == (5, 1, 1, 1, 1, 1, 1, "partial")
-    assert (s["filings_new"], s["status"], s["error"]) == (1, "partial", "store_failures=1")
+    assert (s["filings_new"], s["transactions_stored"], s["status"], s["error"]) == (2, 1, "partial", "store_failures=1")
+    assert seen == [["20000001", "20000003", "u-1", "u-2", "u-3"]]
     lines = tables.read_table(spark, root, "transactions", schema.TRANSACTIONS).orderBy("asset_name", "owner_token").collect()
     flags = {r["ticker"]: r["quality_flags"] for r in lines}
     assert flags["A"] == ["transaction_date_after_notification", "transaction_date_after_filing", "transaction_date_after_ingestion_date"]
     assert [r["notification_date"] for r in lines if r["ticker"] == "AB"] == [D(2024, 1, 9)]
-    again = ingest.run(spark, root, index, docs, parsed, D(2024, 1, 16))
-    assert again.count() == 4 and tables.read_table(spark, root, "filings", schema.FILINGS).count() == 2
+    filings, stored = (tables.read_table(spark, root, n, t).orderBy("id").collect() for n, t in (("filings", schema.FILINGS), ("transactions", schema.TRANSACTIONS)))
+    # the same batch again changes nothing and reads nothing
+    assert ingest.run(spark, root, index, docs, parse, D(2024, 1, 15), batch_no=0).count() == len(every) and len(seen) == 1
+    # a further run reads only what is not stored yet
+    again = ingest.run(spark, root, index, docs, parse, D(2024, 1, 16))
+    assert again.count() == len(every) + 2 and seen[1] == ["20000003", "u-2"]
+    assert tables.read_table(spark, root, "filings", schema.FILINGS).orderBy("id").collect() == filings
+    assert tables.read_table(spark, root, "transactions", schema.TRANSACTIONS).orderBy("id").collect() == stored
+
+
+def test_a_failing_batch_leaves_the_old_rows(spark, tmp_path):
+    import pytest
+    root = str(tmp_path / "store")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    kind = rows().schema
+    tables.write_batch(spark, root, 0, things=rows(1, 2))
+    bad = rows(3).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    for batch in (0, 1):
+        if batch:
+            with pytest.raises(Exception, match="lost"):
+                tables.write_batch(spark, root, batch, things=rows(4), others=bad)
+        else:
+            tables.write_batch(spark, root, batch, things=bad)  # committed already
+        assert sorted(r[0] for r in tables.read_table(spark, root, "things", kind).collect()) == [1, 2]
+    tables.write_batch(spark, root, 1, things=rows(5))
+    assert sorted(r[0] for r in tables.read_table(spark, root, "things", kind).collect()) == [1, 2, 5]
+    assert tables.next_batch_no(spark, root) == 2 and tables.next_batch_no(spark, str(tmp_path / "none")) == 0
+
+
+def test_ids_do_not_wrap(spark):
+    import pytest
+    from disclosight.functions import ids
+    df = spark.range(3).select(F.col("id").cast("string").alias("doc_id"))
+    top = with_batch_ids(df, ["doc_id"], (1 << ids.BATCH_BITS) - 1).agg(F.min("id"), F.max("id")).first()
+    assert 0 < top[0] <= top[1]
+    for bad in (1 << ids.BATCH_BITS, -1):
+        with pytest.raises(ValueError):
+            with_batch_ids(df, ["doc_id"], bad)
+        with pytest.raises(Exception, match="does not fit"):
+            with_batch_ids(df, ["doc_id"], F.lit(bad)).collect()
 
 
 def test_target_years():
