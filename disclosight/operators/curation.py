@@ -127,10 +127,9 @@ def amendment_candidates(filings: DataFrame, transactions: DataFrame) -> DataFra
 
 
 def unresolved_lines(filings: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Flagged lines without a verified date, in (doc_id, sequence) order."""
+    """Flagged lines without a verified date, in no order."""
     open_lines = transactions.filter((F.size("quality_flags") > 0)
                                      & F.col("verified_transaction_date").isNull())
     docs = filings.select(F.col("id").alias("filing_id"), "doc_id")
     return (open_lines.join(docs, "filing_id")
-            .select("doc_id", "sequence", "txn_date", "notification_date", "quality_flags")
-            .orderBy("doc_id", "sequence"))
+            .select("doc_id", "sequence", "txn_date", "notification_date", "quality_flags"))

@@ -27,16 +27,14 @@ def line_counts(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy("filing_id").agg(F.count(F.lit(1)).alias("transaction_count"))
 
 
-def with_line_counts(filings: DataFrame, transactions: DataFrame, page: bool = False) -> DataFrame:
+def with_line_counts(filings: DataFrame, transactions: DataFrame) -> DataFrame:
     """Filings with their number of lines, 0 when there are none.
 
-    ``page=True`` says ``filings`` is one page (at most 100 rows): its ids are broadcast so
-    that only lines of the page are counted.
+    Only lines of the given filings are counted, be they a page or a whole table; how the ids meet
+    the lines is left to the optimizer, which knows their size.
     """
-    if page:
-        ids = F.broadcast(filings.select(F.col("id").alias("filing_id")))
-        transactions = transactions.join(ids, "filing_id", "left_semi")
-    counts = line_counts(transactions).withColumnRenamed("filing_id", "_filing_id")
+    own = transactions.select("filing_id").join(filings.select(F.col("id").alias("filing_id")), "filing_id", "left_semi")
+    counts = line_counts(own).withColumnRenamed("filing_id", "_filing_id")
     return (filings.join(counts, F.col("id") == F.col("_filing_id"), "left")
             .withColumn("transaction_count", F.coalesce("transaction_count", F.lit(0)))
             .drop("_filing_id"))

@@ -61,7 +61,7 @@ def filings_page(filings: DataFrame, transactions: DataFrame, sort: str | None =
                  limit: int = 50, offset: int = 0, **wanted) -> DataFrame:
     order = ordering.filing_order(sort)
     rows = ordering.page(select_filings(filings, **wanted), order, limit, offset)
-    counted = joins.with_line_counts(rows, transactions, page=True)
+    counted = joins.with_line_counts(rows, transactions)
     return filing_rows(counted.orderBy(*order))
 
 
@@ -71,27 +71,32 @@ class FilingDetail(NamedTuple):
     amendments: DataFrame
 
 
+LINE_ORDER = "doc_id, sequence"
+AMENDMENT_ORDER = "original_doc_id, filing_date nulls last, doc_id"
+
+
 def filing_detail(filings: DataFrame, transactions: DataFrame, doc_ids: DataFrame) -> FilingDetail:
-    """Header, lines and amendments of the filings named in ``doc_ids``, keyed by ``doc_id``."""
+    """Header, lines and amendments of the filings named in ``doc_ids``, keyed by ``doc_id``.
+
+    The tables are in no order; ``LINE_ORDER`` and ``AMENDMENT_ORDER`` name theirs.
+    """
     chosen = filings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     full = joins.with_amended_doc(joins.with_line_counts(chosen, transactions), filings)
     own = transactions.join(chosen.select(F.col("id").alias("filing_id")), "filing_id", "left_semi")
-    lines = line_rows(joins.lines(joins.with_evidence_flag(own, filings), filings)).orderBy("doc_id", "sequence")
+    lines = line_rows(joins.lines(joins.with_evidence_flag(own, filings), filings))
     later = joins.amendments_of(chosen, filings)
     later = later.withColumn("amends_doc_id", F.col("original_doc_id")).withColumn(
         "name", filing_name(*[F.col(c) for c in ("prefix", "first_name", "last_name", "suffix")]))
     return FilingDetail(filing_rows(full, AMENDMENT_FIELDS), lines,
-                        later.select("original_doc_id", *RELATION_FIELDS)
-                        .orderBy("original_doc_id", F.col("filing_date").asc_nulls_last(), "doc_id"))
+                        later.select("original_doc_id", *RELATION_FIELDS))
 
 
 # --- lines -------------------------------------------------------------------
 
-def select_lines(transactions: DataFrame, filings: DataFrame, politician=None, politician_name=None,
-                 doc_ids: DataFrame | None = None, ticker=None, asset_type_code=None, txn_type=None,
-                 owner=None, year=None, txn_date_min=None, txn_date_max=None, amount_min=None,
-                 amount_max=None) -> DataFrame:
-    """Lines with their filing, narrowed by every given filter; ``year`` overrides the dates."""
+def select_transactions(transactions: DataFrame, filings: DataFrame, doc_ids: DataFrame | None = None, ticker=None,
+                        asset_type_code=None, txn_type=None, owner=None, year=None, txn_date_min=None, txn_date_max=None,
+                        amount_min=None, amount_max=None) -> DataFrame:
+    """Lines narrowed by the filters on the line itself; ``year`` overrides the dates."""
     if doc_ids is not None:
         transactions = filters.lines_of_document(transactions, filings, doc_ids)
     chosen = filters.equals(filters.ticker_is(transactions, ticker), asset_type_code=asset_type_code,
@@ -100,16 +105,32 @@ def select_lines(transactions: DataFrame, filings: DataFrame, politician=None, p
         chosen = filters.traded_in_year(chosen, year)
     else:
         chosen = filters.between_dates(chosen, "txn_date", txn_date_min, txn_date_max)
-    chosen = filters.amount_between(chosen, amount_min, amount_max)
+    return filters.amount_between(chosen, amount_min, amount_max)
+
+
+def select_lines(transactions: DataFrame, filings: DataFrame, politician=None, politician_name=None, **wanted) -> DataFrame:
+    """Lines with their filing, narrowed by every given filter."""
     who = filters.name_contains(filters.of_politician(filings, politician), politician_name)
-    return joins.lines(chosen, who)
+    return joins.lines(select_transactions(transactions, filings, **wanted), who)
+
+
+#: Sort keys that need the filing of a line.
+FILING_KEYS = ("politician_name", "disclosure_lag_days", "created_at", "doc_id")
 
 
 def lines_page(transactions: DataFrame, filings: DataFrame, sort: str | None = "-txn_date",
-               limit: int = 50, offset: int = 0, **wanted) -> DataFrame:
-    """One page; the evidence lookup only sees the rows of the page."""
+               limit: int = 50, offset: int = 0, politician=None, politician_name=None, **wanted) -> DataFrame:
+    """One page; the evidence lookup only sees the rows of the page.
+
+    Where neither a filter nor the order needs filings, the page is cut first and only its rows are
+    joined (every line has a filing).
+    """
     order = ordering.transaction_order(sort)
-    rows = ordering.page(select_lines(transactions, filings, **wanted), order, limit, offset)
+    if politician is None and politician_name is None and (sort or "").lstrip("-") not in FILING_KEYS:
+        rows = ordering.page(select_transactions(transactions, filings, **wanted), order, limit, offset)
+        rows = joins.lines(rows, filings)
+    else:
+        rows = ordering.page(select_lines(transactions, filings, politician, politician_name, **wanted), order, limit, offset)
     return line_rows(joins.with_evidence_flag(rows, filings).orderBy(*order))
 
 
@@ -128,3 +149,8 @@ def politicians_page(filings: DataFrame, transactions: DataFrame, sort: str | No
 
 def politician_detail(filings: DataFrame, transactions: DataFrame, who: tuple[str, str, str]) -> DataFrame:
     return politician_rows(aggregates.politician_rollup(filters.of_politician(filings, who), transactions))
+
+
+def politician_details(filings: DataFrame, transactions: DataFrame, people: DataFrame) -> DataFrame:
+    """One row per person of ``people(state_district, first_name, last_name)``; only their filings and lines are counted."""
+    return politician_rows(aggregates.politician_rollup(filters.of_politicians(filings, people), transactions))

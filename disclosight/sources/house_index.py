@@ -37,17 +37,19 @@ def to_filings(raw: DataFrame, required: bool = True) -> DataFrame:
 
 def strict(rows: DataFrame) -> DataFrame:
     """Usable rows only; the job fails if there is any other."""
-    message = F.concat(F.lit("index row "), "doc_id", F.lit(": "), F.coalesce("problem", F.lit("")))
+    message = F.concat(F.lit("index row "), F.coalesce("doc_id", F.lit("-")), F.lit(": "), F.coalesce("problem", F.lit("")))
     return fail_closed(rows, F.col("problem").isNull(), message).drop("problem")
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the XML listing. Files without the expected root give an error row each."""
     raw = spark.read.schema(schema.HOUSE_INDEX_ROW).option("rowTag", ROW_TAG).option("nullValue", "\u0000").xml(path)
-    return to_filings(raw)
+    rows = to_filings(raw)
+    wrong = check_xml_roots(spark, path).select(F.concat(F.lit("unexpected root element "), "root").alias("problem"))
+    return rows.unionByName(wrong, allowMissingColumns=True)
 
 
-def check_xml_roots(spark: SparkSession, path: str) -> DataFrame:
+def check_xml_roots(spark: SparkSession, path: str, expected: str = ROOT_TAG) -> DataFrame:
     """Files whose root element is not the expected one (looked up in the opening lines).
 
     Lines up to and including the first element are enough; every file is read by its own task.
@@ -55,7 +57,7 @@ def check_xml_roots(spark: SparkSession, path: str) -> DataFrame:
     first_element = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([A-Za-z_][\w.-]*)"
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     root = F.regexp_extract(F.ltrim("value"), first_element, 1)
-    return files.select("file", root.alias("root")).filter(F.col("root") != ROOT_TAG)
+    return files.select("file", root.alias("root")).filter(F.col("root") != expected)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -72,12 +74,21 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return to_filings(raw.select(*[F.col(f"`{names[tag]}`").alias(tag) for tag in TAGS]), required=False)
 
 
-def prefer_xml(xml_rows: DataFrame, txt_rows: DataFrame) -> DataFrame:
-    """The text listing of a year counts only where that year has no XML listing."""
-    have = xml_rows.select("year").distinct()
-    return xml_rows.unionByName(txt_rows.join(have, "year", "left_anti"))
+def prefer_xml(xml_rows: DataFrame, txt_rows: DataFrame, years: DataFrame | None = None) -> DataFrame:
+    """The text listing of a year counts only where that year has no XML listing.
+
+    Wanted ``years(year)`` that neither listing covers give an error row each.
+    """
+    # calendar years only, so the broadcast side has 9999 rows at most
+    have = xml_rows.select("year").filter(F.col("year").between(1, 9999)).distinct()
+    rows = xml_rows.unionByName(txt_rows.join(F.broadcast(have), "year", "left_anti"))
+    if years is None:
+        return rows
+    lost = missing_years(rows, years).select("year", F.concat(F.lit("no listing of "), "year").alias("problem"))
+    return rows.unionByName(lost, allowMissingColumns=True)
 
 
 def missing_years(rows: DataFrame, years: DataFrame) -> DataFrame:
     """Wanted years that neither listing covers."""
-    return years.join(rows.select("year").distinct(), "year", "left_anti")
+    have = rows.select("year").filter(F.col("year").between(1, 9999)).distinct()
+    return years.join(F.broadcast(have), "year", "left_anti")

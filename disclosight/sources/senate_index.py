@@ -10,6 +10,9 @@ from ..functions.checks import fail_closed
 from ..functions.dates import lenient_us_date
 from ..functions.documents import office_name, view_link
 from ..functions.names import fold_name
+from .house_index import check_xml_roots
+
+SENATORS_ROOT = "contact_information"
 
 
 def listing_rows(pages: DataFrame) -> DataFrame:
@@ -48,9 +51,15 @@ def strict(rows: DataFrame) -> DataFrame:
 def read_senators(spark: SparkSession, path: str) -> DataFrame:
     """``(last_key, first_key, state)``; a later entry of the same name wins.
 
-    The listing is one file of about a hundred members, so reading order is file order.
+    The listing is one file of about a hundred members, so reading order is file order, and looking at
+    its root and its first member at once costs nothing. Another root or no member at all is an error.
     """
+    wrong = check_xml_roots(spark, path, SENATORS_ROOT).first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['file']}: unexpected root element {wrong['root']}")
     raw = spark.read.schema(schema.SENATOR_ROW).option("rowTag", "member").option("nullValue", "\u0000").xml(path)
+    if raw.isEmpty():
+        raise ValueError(f"{path}: no senators listed")
     return senators(raw.withColumn("position", F.monotonically_increasing_id()))
 
 

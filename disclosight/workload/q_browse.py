@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.dates import lag_days
 from ..functions.identity import person_key, resolve_person_ids
 from ..operators import aggregates, filters, joins, ordering
 from ..plans import browse
+from ..session import working_table
 from .adapters import filings, table, transactions
 from .q_signals import sql_key
 from .registry import query
@@ -298,7 +301,7 @@ def _sort_sql():
 
 @query("o3_transaction_sorts", _sort_sql(), FT)
 def o3(spark, d):
-    rows = lines(spark, d, True)
+    rows = working_table(lines(spark, d, True), "lines")  # read once per sort key
     pages = [ranked_page(rows, ordering.transaction_order(sign + key), 20).withColumn("sort_key", F.lit(sign + key))
              for key in ordering.TRANSACTION_SORTS for sign in ("", "-")]
     out = pages[0]
@@ -307,12 +310,32 @@ def o3(spark, d):
     return out
 
 
-@query("o5_politician_sort", ROLLUP_SQL + """ select first_name, last_name, state_district, transaction_count from rollup
-    order by transaction_count desc, lower(last_name), lower(first_name), lower(state_district), last_name, first_name,
-    state_district limit 100""", FT)
+def _person_sort_sql():
+    tie = "lower(last_name), lower(first_name), lower(state_district), last_name, first_name, state_district"
+    return ROLLUP_SQL + " " + " union all ".join(
+        f"""select '{sign}{key}' as sort_key, first_name, last_name, state_district, pos from (select *, row_number() over (
+            order by {_person_key(key)} {way} nulls last, {tie}) as pos from rollup) where pos <= 50"""
+        for key in sorted(ordering.POLITICIAN_SORTS) for way, sign in (("asc", ""), ("desc", "-")))
+
+
+def _person_key(key: str) -> str:
+    if key == "name":
+        return "lower(concat_ws(' ', first_name, last_name))"
+    return key if key.endswith("_count") else f"lower({key})"
+
+
+@query("o5_politician_sort", _person_sort_sql(), FT)
 def o5(spark, d):
-    rollup = aggregates.politician_rollup(filings(spark, d), transactions(spark, d))
-    return ordering.page(rollup, ordering.politician_order("-transaction_count"), 100).drop("filing_count")
+    from pyspark.sql import Window
+    rollup = working_table(aggregates.politician_rollup(filings(spark, d), transactions(spark, d)), "people")
+    pages = []
+    for key in sorted(ordering.POLITICIAN_SORTS):
+        for sign in ("", "-"):
+            order = ordering.politician_order(sign + key)
+            # at most 50 rows reach this window
+            pages.append(ordering.page(rollup, order, 50).select(
+                F.lit(sign + key).alias("sort_key"), "first_name", "last_name", "state_district", F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos")))
+    return reduce(lambda a, b: a.unionByName(b), pages)
 
 
 @query("o6_page", """select id, row_number() over (order by amount_min desc, amount_max desc nulls last, id) as pos
@@ -387,6 +410,16 @@ def c8(spark, d):
     return browse.politicians_page(filings(spark, d), transactions(spark, d), "-filing_count", 50, state="AM", name="i")
 
 
+@query("c8_politician_details", ROLLUP_SQL.replace(" group by all)", " where f.last_name in (select c_name from customer where c_acctbal < 0) group by all)")
+       + POLITICIAN_SQL, FT)
+def c8_details(spark, d):
+    """Details of many people at once: those with a negative account."""
+    f = filings(spark, d)
+    poor = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_name").alias("last_name"))
+    people = f.join(poor, "last_name", "left_semi").select("state_district", "first_name", "last_name").distinct()
+    return browse.politician_details(f, transactions(spark, d), people)
+
+
 @query("x2_resolve_person_id", f"""with asked as (select distinct {sql_key()} as person_id from filings
       union all select 'nodistrict' || doc_id from filings
       union all select distinct upper(state_district) || '_nobody_' from filings),

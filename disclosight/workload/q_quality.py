@@ -75,6 +75,13 @@ def q3_duplicates(spark, d):
     return quality.duplicate_keys(transactions(spark, d), ["filing_id", "sequence"])
 
 
+@query("q3_unique_documents", """select doc_id, count(*) as n from (select cast(o_custkey as varchar) as doc_id from orders) group by all
+    having count(*) > 1""")
+def q3_documents(spark, d):
+    """Document ids that are not unique, over listings that are known to repeat theirs."""
+    return quality.duplicate_keys(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("doc_id")), ["doc_id"])
+
+
 @query("q3_orphan_lines", """select id from transactions where filing_id not in (select id from filings where source = 'house_clerk')""", FT)
 def q3_orphans(spark, d):
     return quality.orphans(transactions(spark, d), filings(spark, d).filter("source = 'house_clerk'")).select("id")

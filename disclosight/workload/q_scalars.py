@@ -17,11 +17,20 @@ def money(col: str) -> str:
     return f"'$' || format('{{:,}}', {col})"
 
 
-@query("x6_asset_type_label", """select id, case asset_type_code when 'ST' then 'Stocks (including ADRs)' when 'OP' then 'Options'
-    when 'GS' then 'Government Securities and Agency Debt' when 'CT' then 'Cryptocurrency'
-    when 'EF' then 'Exchange Traded Funds (ETF)' else asset_type_code end as label from transactions""", ("transactions",))
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LABEL_SQL = "case {code} " + " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in fv.ASSET_TYPE_LABELS.items()) + " else {code} end"
+# every code of the list in turn, and one that is not on it
+CODES = [*fv.ASSET_TYPE_LABELS, "??"]
+
+
+@query("x6_asset_type_label", f"""with coded as (select id, [{', '.join(map(quoted, CODES))}][1 + id % {len(CODES)}] as code from transactions)
+    select id, code, {LABEL_SQL.format(code='code')} as label from coded""", ("transactions",))
 def x6(spark, d):
-    return transactions(spark, d).select("id", labels.asset_type_label(F.col("asset_type_code")).alias("label"))
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("id") % len(CODES)).cast("int") + 1)
+    return transactions(spark, d).select("id", code.alias("code")).withColumn("label", labels.asset_type_label(F.col("code")))
 
 
 @query("x7_txn_type_label", """select id, case txn_type when 'P' then 'Purchase' when 'S' then 'Sale' when 'E' then 'Exchange'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..functions.dates import six_months_before
 from ..functions.identity import person_key
 from ..operators import aggregates, bursts, filters, joins, ordering
 from ..plans import signals
+from ..session import working_table
 from .adapters import AS_OF, filings, transactions
 from .registry import query
 
@@ -265,16 +267,19 @@ def f13(spark, d):
     return filters.traded_by(transactions(spark, d), AS_OF).select("id", "txn_date")
 
 
-@query("o4_signal_sorts", cluster_sql(30, 30) + """,
-    ranked as (select 'total_max' as sort_key, id, row_number() over (order by total_max desc nulls last, ticker, start_date, type) as pos from clusters
-      union all select 'span_days', id, row_number() over (order by span_days nulls last, ticker, start_date, type) from clusters)
-    select sort_key, id from ranked where pos <= 20""", FT)
+def _signal_sort_sql():
+    return " union all ".join(
+        f"select '{sign}{key}' as sort_key, id from (select id, row_number() over (order by {'lower(ticker)' if key == 'ticker' else key} {way} nulls last, ticker, start_date, type) as pos from clusters) where pos <= 20"
+        for key in sorted(ordering.SIGNAL_SORTS) for way, sign in (("asc", ""), ("desc", "-")))
+
+
+@query("o4_signal_sorts", cluster_sql(30, 30) + " " + _signal_sort_sql(), FT)
 def o4(spark, d):
-    found = signals.clusters(*tf(spark, d), AS_OF, WIDE)
+    found = working_table(signals.clusters(*tf(spark, d), AS_OF, WIDE), "clusters")
     tie = F.col("type").asc()
-    top = lambda key, sort: ordering.page(found, [*ordering.signal_order(sort), tie], 20).select(
-        F.lit(key).alias("sort_key"), "id")
-    return top("total_max", "-total_max").unionByName(top("span_days", "span_days"))
+    pages = [ordering.page(found, [*ordering.signal_order(sign + key), tie], 20).select(F.lit(sign + key).alias("sort_key"), "id")
+             for key in sorted(ordering.SIGNAL_SORTS) for sign in ("", "-")]
+    return reduce(lambda a, b: a.unionByName(b), pages)
 
 
 @query("x1_person_key", f"select id, {sql_key()} as person_key from filings", ("filings",))

@@ -35,6 +35,32 @@ def test_house_xml_problems(spark, tmp_path):
     other = put(tmp_path / "b.xml", xml(root="Other"))
     assert [r["root"] for r in house_index.check_xml_roots(spark, other).collect()] == ["Other"]
     assert house_index.check_xml_roots(spark, path).count() == 0
+    other = put(tmp_path / "c.xml", xml(MEMBER.format(year=2025, date="", doc="1"), root="Other"))
+    assert "unexpected root element Other" in [r["problem"] for r in house_index.read_xml(spark, other).collect()]
+    with pytest.raises(Exception, match="unexpected root element"):
+        house_index.strict(house_index.read_xml(spark, other)).collect()
+
+
+def test_years_without_a_listing(spark, tmp_path):
+    path = put(tmp_path / "a.xml", xml(MEMBER.format(year=2025, date="", doc="1")))
+    header = "Prefix\tLast\tFirst\tSuffix\tFilingType\tStateDst\tYear\tFilingDate\tDocID"
+    text = put(tmp_path / "b.txt", header + "\n\tDoe\tAnn\t\tP\tMI04\t2024\t\t7\n\tDoe\tAnn\t\tP\tMI04\t2025\t\t8\n")
+    years = spark.createDataFrame([(2023,), (2024,), (2025,)], "year int")
+    rows = house_index.prefer_xml(house_index.read_xml(spark, path), house_index.read_tsv(spark, text), years)
+    assert sorted((r["year"], r["doc_id"], r["problem"]) for r in rows.collect()) == [
+        (2023, None, "no listing of 2023"), (2024, "7", None), (2025, "1", None)]
+    with pytest.raises(Exception, match="no listing of 2023"):
+        house_index.strict(rows).collect()
+
+
+def test_senators_fail_closed(spark, tmp_path):
+    member = "<member><last_name>Arm</last_name><first_name>Al</first_name><state>OK</state></member>"
+    page = lambda name, root, body: put(tmp_path / name, f'<?xml version="1.0"?>\n<{root}>{body}</{root}>')
+    assert senate_index.read_senators(spark, page("a.xml", "contact_information", member)).count() == 1
+    with pytest.raises(ValueError, match="unexpected root"):
+        senate_index.read_senators(spark, page("b.xml", "other", member))
+    with pytest.raises(ValueError, match="no senators"):
+        senate_index.read_senators(spark, page("c.xml", "contact_information", ""))
 
 
 def test_house_tsv(spark, tmp_path):
