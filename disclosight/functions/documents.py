@@ -54,8 +54,8 @@ def office_name(office: Column, first: Column, last: Column) -> Column:
         F.when(shaped, F.trim(F.regexp_extract(office, OFFICE_PATTERN, 1))).otherwise(last).alias("last"))
 
 
-def is_former_senator(office: Column, folded_office: Column | None = None) -> Column:
-    folded = F.lower(F.trim(F.regexp_replace(office, r"\s+", " "))) if folded_office is None else folded_office
+def is_former_senator(office: Column) -> Column:
+    folded = F.lower(F.trim(F.regexp_replace(office, r"\s+", " ")))
     return (folded == "former senator") | office.rlike(r"(?i)\(\s*former\s+senator\s*\)\s*\z")
 
 

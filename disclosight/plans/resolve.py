@@ -140,7 +140,7 @@ def resolve_senate(filers: DataFrame, current: DataFrame, members: DataFrame, st
     one_listed = F.coalesce(F.col("listed_low.first_key") == F.col("listed_high.first_key"), F.lit(False))
     one_hit, one_ident = _one("hit_low", "hit_high"), _one("ident_low", "ident_high")
     former = (F.col("filing_date").isNotNull() & _none("hit_low")
-              & is_former_senator(F.col("office"), names.fold_name(F.col("office"))))
+              & is_former_senator(F.col("office")))
     status = (F.when(one_listed, "resolved_current").when(one_hit, "resolved")
               .when(~_none("hit_low"), "ambiguous")
               .when(former & one_ident & F.col("all_ended"), "resolved_post_service")

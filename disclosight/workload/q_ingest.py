@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .. import schema
 from ..functions.identity import person_key
 from ..operators import joins, store
-from ..plans import ingest, report_html, report_text
+from ..plans import ingest, recompute, report_html, report_text
 from ..session import scratch_path
 from ..sources import tables
 from ..streaming import bursts, ingest as stream_ingest
@@ -225,6 +225,24 @@ def k1(spark, d):
     return stored_reports(spark, root)
 
 
+@query("k3_store_refresh", """with lines as (select doc_id, cast(0 as int) as sequence, cast(created_at as date) as day, false as late from filings
+      union all select doc_id, 1, cast(created_at as date), filing_date is not null from filings)
+    select doc_id, sequence, array_to_string([x for x in [case when day > date '2000-06-30' then 'transaction_date_after_ingestion_date' end,
+      case when late then 'notification_date_after_filing' end] if x is not null], ',') as quality_flags, cast(1 as bigint) as version from lines""", ("filings",))
+def k3_refresh(spark, d):
+    """Lines stored without flags, recomputed, written as new versions of their batches and read back."""
+    root = scratch_path(spark, "refresh")
+    rows = reports(spark, d)
+    noted = rows.withColumn("lines", F.transform("lines", lambda x: x.withField(
+        "notification_date", F.date_add(x["notification_date"], x["sequence"] * 3))))
+    for number, batch in enumerate((noted.filter("source = 'senate_efd'"), noted.filter("source <> 'senate_efd'"))):
+        store.store(spark, root, batch.drop("lines"), batch.select("doc_id", "version", F.inline("lines")), number, ["version"])
+    recompute.recompute(spark, root, RUN_DAY)
+    lines = tables.read_batches(spark, root, "transactions", schema.TRANSACTIONS)
+    docs = tables.read_table(spark, root, "filings", schema.FILINGS).select(F.col("id").alias("filing_id"), "doc_id")
+    return lines.join(docs, "filing_id").select("doc_id", "sequence", F.array_join("quality_flags", ",").alias("quality_flags"), "version")
+
+
 @query("t1_ingest_stream", STORED_SQL, ("filings",))
 def t1(spark, d):
     rows = reports(spark, d)

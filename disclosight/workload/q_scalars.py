@@ -252,6 +252,29 @@ NICK_SQL = """nick as (select * from (values ('james', 'jim'), ('william', 'bill
     ('andrew', 'drew'), ('stephen', 'steve'), ('theodore', 'ted'), ('edward', 'ted')) v(formal, short))"""
 
 
+# every pair of the nickname relation in turn, with a short form that is its own or the next pair's
+RELATION = [(formal, short) for formal, shorts in fv.NICKNAMES.items() for short in shorts]
+RELATION_SQL = "relation as (select * from (values " + ", ".join(
+    f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(RELATION)) + ") v(i, formal, short))"
+
+
+@query("x30_all_nicknames", f"""with {RELATION_SQL},
+    asked as (select c_custkey, a.formal, b.short from customer
+      join relation a on a.i = c_custkey % {len(RELATION)} join relation b on b.i = (c_custkey + case when c_custkey % 2 = 0 then 1 else 0 end) % {len(RELATION)})
+    select c_custkey, formal, short, formal = short or exists (select 1 from relation r
+      where (r.formal = a.formal and r.short = a.short) or (r.formal = a.short and r.short = a.formal)) as agree from asked a""")
+def x30_all(spark, d):
+    at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(RELATION)).cast("int") + 1)
+    key = F.col("c_custkey")
+    asked = table(spark, d, "customer").select(
+        "c_custkey", at([a for a, _ in RELATION], key).alias("formal"),
+        at([b for _, b in RELATION], key + F.when(key % 2 == 0, 1).otherwise(0)).alias("short"))
+    # asked both ways round: a filer may use either form
+    one = names.given_names_agree(F.col("short"), F.col("formal"), F.lit(""))
+    other = names.given_names_agree(F.col("formal"), F.col("short"), F.lit(""))
+    return asked.select("c_custkey", "formal", "short", F.when(key % 2 == 0, one).otherwise(other).alias("agree"))
+
+
 @query("x30_given_names_agree", f"""with {NICK_SQL}
     select f.doc_id, lower(f.given) = lower(m.first_name) or exists (select 1 from nick n
       where n.formal = lower(m.first_name) and n.short = lower(f.given)) as agree
