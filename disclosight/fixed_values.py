@@ -215,3 +215,9 @@ SENATE_SERVICE_CORRECTIONS = (
 
 # --- fixed values: wording of run errors ---
 INDEX_FAILURE = "failed to fetch %d index: %s"
+
+# --- fixed values: wording of highlights ---
+CLUSTER_SUMMARY = "%s — %d transactions involving %d members"
+CLUSTER_REASON = ("At least {people} politicians disclosed {noun} of the same ticker, with no more than {gap} days between consecutive "
+                  "transactions and a maximum {span}-day span.")
+LARGEST_TITLE = "Largest Disclosed {} (by minimum amount)"

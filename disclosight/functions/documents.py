@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from .labels import lookup
 
+# --- fixed values: patterns of links and amounts ---
 ELECTRONIC_LINK = r'href="/search/view/ptr/([^"]+)/"'
 PAPER_LINK = r'href="/search/view/paper/([^"]+)/"'
+HOUSE_AMOUNT = r"\$([\d,]+(?:\.\d{1,2})?)"
 
 
 def house_doc_kind(doc_id: Column) -> Column:
@@ -84,9 +86,6 @@ def senate_amount(cell: Column) -> Column:
         F.when(usable & ~over, F.array_max(values)).alias("amount_max"))
 
 
-HOUSE_AMOUNT = r"\$([\d,]+(?:\.\d{1,2})?)"
-
-
 def house_amount(cell: Column) -> Column:
     """``struct(amount_min, amount_max)`` in whole dollars, cents cut off."""
     values = _numbers(cell, HOUSE_AMOUNT)

@@ -18,7 +18,7 @@ def name_key(first: Column, last: Column) -> Column:
 
 
 def person_key(state_district: Column, first: Column, last: Column) -> Column:
-    """The public person id, e.g. ``al04_robert_aderholt``."""
+    """The public person id, e.g. ``zz09_ada_example``."""
     return F.concat_ws("_", key_part(state_district), name_key(first, last))
 
 

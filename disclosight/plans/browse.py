@@ -11,6 +11,7 @@ from ..functions.dates import lag_days
 from ..functions.identity import filing_name, full_name, person_key
 from ..operators import aggregates, filters, joins, ordering
 
+# --- fixed values: public output names ---
 FILING_FIELDS = ["doc_id", "year", "name", "state_district", "filing_date", "doc_kind", "pdf_url",
                  "downloaded_at", "created_at", "transaction_count"]
 AMENDMENT_FIELDS = ["amends_doc_id", "amendment_method", "amendment_confidence", "amendment_note",

@@ -248,13 +248,9 @@ def recent_clusters(transactions: DataFrame, filings: DataFrame, as_of,
 
 def cluster_highlights(newest: DataFrame, rules: tuple[ClusterRule, ...] = (BUY, SELL)) -> DataFrame:
     """Display text of the newest clusters."""
-    reason = per_type(rules, lambda r: (
-        f"At least {r.min_politicians} politicians disclosed "
-        f"{'purchases' if r.txn_type == 'P' else 'sales'} of the same ticker, with no more than "
-        f"{r.max_gap_days} days between consecutive transactions and a maximum "
-        f"{r.max_span_days}-day span."))
-    summary = F.format_string("%s — %d transactions involving %d members", F.col("ticker"),
-                              F.col("transaction_count"), F.col("politician_count"))
+    reason = per_type(rules, lambda r: fv.CLUSTER_REASON.format(
+        people=r.min_politicians, noun="purchases" if r.txn_type == "P" else "sales", gap=r.max_gap_days, span=r.max_span_days))
+    summary = F.format_string(fv.CLUSTER_SUMMARY, F.col("ticker"), F.col("transaction_count"), F.col("politician_count"))
     return newest.select(
         "type", F.col("label").alias("title"), summary.alias("summary"), reason.alias("reason"),
         F.col("start_date").alias("date_start"), F.col("end_date").alias("date_end"),
@@ -284,7 +280,7 @@ def largest_trade_highlights(top: DataFrame) -> DataFrame:
     word = F.when(purchase, "Purchase").otherwise("Sale")
     return top.select(
         F.concat(F.lit("largest_disclosed_"), F.lower(word)).alias("type"),
-        F.concat(F.lit("Largest Disclosed "), word, F.lit(" (by minimum amount)")).alias("title"),
+        F.when(purchase, fv.LARGEST_TITLE.format("Purchase")).otherwise(fv.LARGEST_TITLE.format("Sale")).alias("title"),
         "ticker",
         person_key(F.col("state_district"), F.col("first_name"), F.col("last_name")).alias("politician_id"),
         full_name(F.col("first_name"), F.col("last_name")).alias("politician_name"),
