@@ -64,7 +64,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-@query("op8_ngram_jaccard")
+@query("op8_ngram_jaccard", r"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), ngrams as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from docs
+), sizes as (select doc_id, count(*) as n from ngrams group by doc_id),
+shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as o from ngrams a join ngrams b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+  select x, y from shared join sizes s on s.doc_id = x join sizes t on t.doc_id = y where 100 * o >= 80 * (s.n + t.n - o)
+), both_ways as (select x, y from links union all select y, x from links),
+reached(doc_id, other) as (
+  select doc_id, doc_id from documents union select r.doc_id, b.y from reached r join both_ways b on r.other = b.x
+), least as (select doc_id, min(other) as component_id from reached group by doc_id)
+select d.doc_id, cast(coalesce(s.n, 0) as bigint) as n_shingles, l.component_id
+from documents d left join sizes s on s.doc_id = d.doc_id join least l on l.doc_id = d.doc_id""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
