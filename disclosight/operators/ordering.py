@@ -66,12 +66,33 @@ def filing_order(sort: str | None) -> list[Column]:
     return [col.desc_nulls_first() if descending else col.asc_nulls_last(), F.col("doc_id").asc()]
 
 
-def transaction_order(sort: str | None) -> list[Column]:
-    key, col, descending = parse_sort(sort, TRANSACTION_SORTS, "txn_date")
-    order = [_nulls_last(col, descending)]
+def transaction_keys(sort: str | None) -> list[tuple[Column, bool]]:
+    """The order of lines as (expression, descending); NULLs come last in each."""
+    key, _, descending = parse_sort(sort, TRANSACTION_SORTS, "txn_date")
+    keys = [(TRANSACTION_SORTS[key](key), descending)]
     if key == "amount_min":
-        order.append(_nulls_last(F.col("amount_max"), descending))
-    return [*order, F.col("id").asc()]
+        keys.append((F.col("amount_max"), descending))
+    return [*keys, (F.col("id"), False)]
+
+
+def transaction_order(sort: str | None) -> list[Column]:
+    return [*(_nulls_last(col, descending) for col, descending in transaction_keys(sort)[:-1]), F.col("id").asc()]
+
+
+def beyond(keys: list[tuple[Column, bool]], last: list) -> Column:
+    """Whether a row comes after the row with the key values ``last``."""
+    after, same = F.lit(False), F.lit(True)
+    for (col, descending), value in zip(keys, last, strict=True):
+        if value is not None:
+            further = (col < F.lit(value)) if descending else (col > F.lit(value))
+            after = after | (same & (further | col.isNull()))
+        same = same & col.eqNullSafe(F.lit(value))
+    return F.coalesce(after, F.lit(False))
+
+
+def page_after(df: DataFrame, keys: list[tuple[Column, bool]], last: list, limit: int = PAGE_LIMIT_DEFAULT) -> DataFrame:
+    """The page after the row with the key values ``last``: as cheap far behind as in front, unlike an offset."""
+    return page(df.filter(beyond(keys, last)), [_nulls_last(col, descending) for col, descending in keys], limit)
 
 
 def signal_order(sort: str | None) -> list[Column]:

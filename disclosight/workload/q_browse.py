@@ -265,8 +265,11 @@ def o1(spark, d):
 
 def ranked_page(df, order, limit=100, offset=0):
     """A page with positions, so that the order itself is compared."""
+    return ranked(ordering.page(df, order, limit, offset), order)
+
+
+def ranked(rows, order):
     from pyspark.sql import Window
-    rows = ordering.page(df, order, limit, offset)
     # at most 100 rows reach this window
     return rows.select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("pos"))
 
@@ -345,6 +348,26 @@ def o6(spark, d):
     return ranked_page(transactions(spark, d), ordering.transaction_order("-amount_min"), 50, 150)
 
 
+_AFTER_SQL = """select sort_key, id, row_number() over (partition by sort_key order by pos) as pos from (
+    {parts}) where pos > 150 and pos <= 200"""
+_AFTER_KEYS = {"-amount_max": "amount_max desc nulls last", "ticker": "lower(ticker) asc nulls last", "-amount_min": "amount_min desc, amount_max desc nulls last"}
+
+
+@query("o6_page_after", _AFTER_SQL.format(parts=" union all ".join(
+    f"select '{key}' as sort_key, id, row_number() over (order by {order}, id) as pos from transactions" for key, order in _AFTER_KEYS.items())),
+       ("transactions",))
+def o6_after(spark, d):
+    """Pages that begin after a row instead of after a number of rows."""
+    rows, pages = transactions(spark, d), []
+    for sort in _AFTER_KEYS:
+        keys = ordering.transaction_keys(sort)
+        values = [col.alias(f"k{i}") for i, (col, _) in enumerate(keys)]
+        last = ordering.page(rows, ordering.transaction_order(sort), 1, 149).select(*values).first()
+        found = ordering.page_after(rows, keys, list(last), 50)
+        pages.append(ranked(found, ordering.transaction_order(sort)).withColumn("sort_key", F.lit(sort)))
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
 @query("o7_filing_lines_in_order", """select filing_id, id, cast(sequence as int) as sequence from transactions
     where filing_id in (select id from filings where amends_filing_id is not null)""", FT)
 def o7(spark, d):

@@ -119,3 +119,19 @@ def test_rules_keep_their_own_thresholds(seed):
     wide_buy = replace(signals.BUY, max_gap_days=30, max_span_days=30)
     assert {"GAPE", "LONG"} <= set(found(seed, (wide_buy, signals.SELL)))
     assert "ALPHA" not in found(seed, (replace(signals.BUY, min_politicians=4), signals.SELL))
+
+
+def test_pages_after_a_row_follow_each_other(spark):
+    df = spark.createDataFrame([(i, (i * 7) % 5 or None, (i * 3) % 4 or None) for i in range(40)], "id long, amount_min long, amount_max long")
+    for sort in ("amount_min", "-amount_min", "amount_max", "-amount_max"):
+        keys, order = ordering.transaction_keys(sort), ordering.transaction_order(sort)
+        want = [r["id"] for r in df.orderBy(*order).collect()]
+        got, last = [], None
+        while True:
+            page = ordering.page(df, order, 7) if last is None else ordering.page_after(df, keys, last, 7)
+            rows = page.select("id", *[c.alias(f"k{i}") for i, (c, _) in enumerate(keys)]).collect()
+            if not rows:
+                break
+            got += [r["id"] for r in rows]
+            last = list(rows[-1])[1:]
+        assert got == want
