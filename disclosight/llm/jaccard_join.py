@@ -100,8 +100,18 @@ def _summaries(n: int):
         for part in slices(batches):
             sets = [ngram_set(t, n) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
-                 pa.array([_in_first(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "sid", "first"])
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n", "sid"])
+    return run
+
+
+def _first_ngrams(n: int):
+    """``(sid, h)``: the n-grams of every set in the first share of the hash space."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [ngram_set(t, n) for t in part.column(1).to_pylist()]
+            firsts = [_in_first(s).view(np.int64) for s in sets]
+            ids = np.array([set_id(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f) for f in firsts])), pa.array(np.concatenate(firsts))], ["sid", "h"])
     return run
 
 
@@ -212,8 +222,9 @@ def links(full: DataFrame, percent: int = PERCENT) -> DataFrame:
 def join(documents: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document."""
     columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summary = settle(columns.mapInArrow(_summaries(n), "doc_id long, n long, sid long, first array<long>"), "jaccard-documents")
-    own = _own_counts(summary.select("sid", F.explode("first").alias("h")))
+    summary = settle(columns.mapInArrow(_summaries(n), "doc_id long, n long, sid long"), "jaccard-documents")
+    # the sets are made again rather than stored: the texts are there, and a stored share would double the disk
+    own = _own_counts(columns.mapInArrow(_first_ngrams(n), "sid long, h long"))
     kinds = summary.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"))
     open_kinds = settle(kinds.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - _need("n", percent)).drop("own"), "jaccard-open")
     full = (columns.withColumn("place", id_place("doc_id")).mapInArrow(_full_sets(n, id_bitmap(open_kinds, "doc_id")), "doc_id long, sid long, hashes array<long>, signature array<long>")
