@@ -22,6 +22,7 @@ _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 _PIECE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _ODD_SPACE = re.compile(f" (?:[{_WHITE}]|$)")
+_MARKS = frozenset(".,;:!?")
 _TOKEN = regex.compile(PATTERN, regex.V0)
 
 
@@ -44,13 +45,21 @@ class Encoder(dict):
 
         self.model = Tokenizer.from_file(path).model
         self.letters, self.entries, self.words, self.most_words = _byte_letters(), entries, {}, words
+        self.space = self.letters[32]
+
+    def _ids(self, token: str) -> bytes:
+        """The ids of one pre-token."""
+        if token.isascii() and token[1:].isalnum() and token[0] == " ":
+            spelled = self.space + token[1:]
+        else:
+            spelled = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return pack("<%dI" % len(ids), *ids)
 
     def _word(self, token: str) -> bytes:
         found = self.words.get(token)
         if found is None:
-            spelled = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(spelled)]
-            found = pack("<%dI" % len(ids), *ids)
+            found = self._ids(token)
             if len(self.words) >= self.most_words:
                 self.words.clear()
             self.words[token] = found
@@ -58,7 +67,13 @@ class Encoder(dict):
 
     def __missing__(self, key) -> bytes:
         piece = key[0] if type(key) is tuple else " " + key
-        found = b"".join(map(self._word, _TOKEN.findall(piece)))
+        # A space and letters are one pre-token, and one mark after them is another.
+        if piece[0] == " " and piece[1:].isalpha():
+            found = self._ids(piece) if len(piece) <= 40 else self._word(piece)
+        elif piece[0] == " " and piece[-1] in _MARKS and piece[1:-1].isalpha():
+            found = self._word(piece[:-1]) + self._word(piece[-1])
+        else:
+            found = b"".join(map(self._word, _TOKEN.findall(piece)))
         if len(piece) <= 40 and "\n" not in piece:
             if len(self) >= self.entries:
                 self.clear()
