@@ -43,12 +43,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-def settle(frame: DataFrame, label: str) -> DataFrame:
-    """Write a working table below ``spark.checkpoint.dir`` and read it back: lineage ends here."""
+def settle(frame: DataFrame, label: str, used: list | None = None) -> DataFrame:
+    """Write a working table below ``spark.checkpoint.dir`` and read it back: lineage ends here.
+
+    ``used`` collects tables that ``discard`` may empty later.
+    """
     spark: SparkSession = frame.sparkSession
     path = scratch_path(spark, label)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    if used is not None:
+        used.append((path, found))
+    return found
+
+
+def discard(used: list) -> None:
+    """Empty working tables that nothing reads any more, once what came from them is stored itself."""
+    for path, found in used:
+        found.sparkSession.createDataFrame([], found.schema).coalesce(1).write.mode("overwrite").parquet(path)
+    used.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

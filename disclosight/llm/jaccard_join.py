@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_words, id_bitmap, id_place, in_bitmap, settle, slices
+from .common import byte_words, discard, id_bitmap, id_place, in_bitmap, settle, slices
 from .components import components
 
 N, PERCENT, FRAGMENTS, PIVOTS, FIRST_SHARE = 5, 80, 8, 3, 0.25
@@ -175,28 +175,29 @@ def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return counted.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o")).where(_enough(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _postings(full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _postings(full: DataFrame, percent: int, used: list) -> tuple[DataFrame, DataFrame]:
     """Prefix postings and segments of the sets that may have a link."""
     rows = full.select("sid", F.explode("hashes").alias("h"))
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     unit = F.shiftrightunsigned("h", 12) / F.lit(float(1 << 52))
-    ranked = settle(rows.join(shared, "h").select("sid", "h", (F.col("df") + unit).alias("key")), "jaccard-shared")
+    ranked = settle(rows.join(shared, "h").select("sid", "h", (F.col("df") + unit).alias("key")), "jaccard-shared", used)
     cuts = ranked.agg(F.percentile_approx("key", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000).alias("c")).first()["c"] or []
     fragment = sum(((F.col("key") > c).cast("int") for c in cuts), F.lit(0))
     held = ranked.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("key", "h", fragment.alias("f")))).alias("shared"))
     sets = (full.select("sid", "n", *(F.get("signature", F.lit(i)).alias(s) for i, s in enumerate(_SIG))).join(held, "sid")
             .withColumn("own", F.col("n") - F.size("shared")).where(F.col("own") <= F.col("n") - _need("n", percent)))
-    sets = settle(sets, "jaccard-sets")
+    sets = settle(sets, "jaccard-sets", used)
     prefix = F.slice("shared", F.lit(1), (F.col("n") - _need("n", percent) + 1 - F.col("own")).cast("int"))
     postings = sets.select("sid", "n", "own", *_SIG, F.posexplode(prefix).alias("k", "t")).select(
         F.col("t.h").alias("h"), "sid", "n", (F.col("own") + F.col("k")).alias("pos"), *_SIG)
     segments = sets.select("sid", F.explode("shared").alias("t")).groupBy("sid", F.col("t.f").alias("fragment")).agg(F.collect_list("t.h").alias("hashes"))
-    return settle(postings, "jaccard-postings"), settle(segments, "jaccard-segments")
+    return settle(postings, "jaccard-postings", used), settle(segments, "jaccard-segments", used)
 
 
 def links(full: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(u, v)``: sets and the smallest set of their component. ``full``: ``(sid, n, hashes, signature)``, distinct sets."""
-    postings, segments = _postings(full, percent)
+    used: list = []
+    postings, segments = _postings(full, percent, used)
     facts = postings.select("sid", "n", *_SIG).distinct()
     pivots = postings.groupBy("h").agg(*(F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("r"), "sid")).alias(f"p{i}") for i in range(PIVOTS)),
                                        F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -216,7 +217,9 @@ def links(full: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = left.join(right, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
                      & ((F.col("y.root") == F.col("x.main")) | (F.col("y.root") < F.col("x.root"))) & _position_bound(percent) & _signature_bound(percent))
     second = linked(_pairs(rest), segments, percent)
-    return components(first.union(second).select("a", "b"))
+    stars = components(first.union(second).select("a", "b"))
+    discard(used)
+    return stars
 
 
 def join(documents: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -230,7 +233,9 @@ def join(documents: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     full = (columns.withColumn("place", id_place("doc_id")).mapInArrow(_full_sets(n, id_bitmap(open_kinds, "doc_id")), "doc_id long, sid long, hashes array<long>, signature array<long>")
             .join(open_kinds.select("sid", "n", F.col("doc_id").alias("chosen")), "sid").where(F.col("doc_id").eqNullSafe(F.col("chosen")))
             .select("sid", "n", "hashes", "signature").dropDuplicates(["sid"]))
-    stars = links(settle(full, "jaccard-full"), percent)
+    used: list = []
+    stars = links(settle(full, "jaccard-full", used), percent)
+    discard(used)
     roots = summary.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(
         stars.select(F.col("u").alias("sid"), "v"), "sid", "left").withColumn("root", F.coalesce("v", "sid"))
     least = roots.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_bitmap, id_place, in_bitmap, settle, slices
+from .common import discard, id_bitmap, id_place, in_bitmap, settle, slices
 from .jaccard_join import mix, ngram_hashes, word_hashes
 
 K, WINDOW = 5, 10
@@ -302,12 +302,14 @@ def _texts(documents: DataFrame) -> DataFrame:
 def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """One row per passage of a document that an earlier document holds too."""
     texts = _texts(documents)
-    seeds = settle(texts.mapInArrow(_seeds, "h long, doc_id long, pos int"), "passage-seeds")
+    used_up: list = []
+    seeds = settle(texts.mapInArrow(_seeds, "h long, doc_id long, pos int"), "passage-seeds", used_up)
     held = seeds.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last"))
     shared = held.where("f.doc_id <> last").select("h", F.col("f.doc_id").alias("first_doc_id"), F.col("f.pos").alias("first_pos"))
     matches = seeds.join(shared, "h").where("doc_id <> first_doc_id").select("doc_id", "first_doc_id", "pos", "first_pos")
     sorted_ = matches.repartition("doc_id").sortWithinPartitions("doc_id", "first_doc_id", "pos")
     chains = settle(sorted_.mapInArrow(_chain_rows, "doc_id long, first_doc_id long, low int, high int, first_low int, first_high int, runs array<int>"), "passage-chains")
+    discard(used_up)
     used = chains.select("doc_id").union(chains.select("first_doc_id"))
     words = texts.withColumn("place", id_place("doc_id")).mapInArrow(_words(id_bitmap(used, "doc_id")), "doc_id long, words binary").dropDuplicates(["doc_id"])
     margin = F.lit(MARGIN)
