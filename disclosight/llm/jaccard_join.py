@@ -42,7 +42,7 @@ _SIG = [f"sig{i}" for i in range(SIGNATURE_WORDS)]
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found

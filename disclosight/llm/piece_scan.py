@@ -45,7 +45,7 @@ FREE = ""
 class Pieces:
     """The pieces of a model file, with caches of words, of pieces and of pairs of pieces."""
 
-    def __init__(self, path: str, words: int = 500_000, pairs: int = 2_000_000):
+    def __init__(self, path: str, words: int = 250_000, pairs: int = 500_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)

@@ -38,7 +38,7 @@ class Encoder(dict):
     ``(piece,)``. At most ``entries`` pieces and ``words`` pre-tokens are kept.
     """
 
-    def __init__(self, path: str, entries: int = 400_000, words: int = 600_000):
+    def __init__(self, path: str, entries: int = 200_000, words: int = 200_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
