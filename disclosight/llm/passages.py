@@ -10,6 +10,11 @@
 4. Each chain is aligned word by word: runs are compared, gaps between them are filled by edit distance, the
    ends are extended as long as the texts agree again soon after a difference. Stretches of at least
    ``min_words`` words with an identity of at least ``min_identity`` are reported.
+5. The first holders of a passage's seeds may be scattered over documents that hold parts of it only. Where seeds follow each
+   other over ``min_words`` words and one of them lies in no reported passage, whole runs of ``min_words`` words around it
+   are joined with the first holder of the whole run, and steps 3 and 4 are taken for those that lie in no reported
+   passage (but for fewer words at its ends than a seed has). So no exact repeat is left out, whoever holds its parts. A
+   repeat with differences is found by its seeds' first holders only, unless it holds an exact run of ``min_words`` words.
 
 Rows: ``(doc_id, start_word, n_words, first_doc_id, first_start_word, first_n_words, matches)``; positions count words.
 The document with the smaller id holds the first copy and is not reported for it.
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import discard, id_bitmap, id_place, in_bitmap, settle, slices
 from .jaccard_join import mix, ngram_hashes, word_hashes
@@ -144,43 +149,48 @@ def chains_of(runs: np.ndarray, cost: float = GAP_COST) -> list[np.ndarray]:
     return found
 
 
-def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of each pair of documents; rows come sorted by (doc_id, first_doc_id)."""
-    rest = None
-    out: list[tuple] = []
-
-    def pairs(table: pa.Table) -> None:
-        doc, first, here, there = (table.column(c).to_numpy() for c in ("doc_id", "first_doc_id", "pos", "first_pos"))
-        bounds = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(first) != 0), [True]]))
-        for i in np.flatnonzero(np.diff(bounds) >= MIN_SEEDS):
-            low, high = bounds[i], bounds[i + 1]
-            for chain in chains_of(runs_of(here[low:high].astype(np.int64), there[low:high].astype(np.int64))):
-                if chain[:, 4].sum() >= MIN_SEEDS:
-                    out.append((int(doc[low]), int(first[low]), int(chain[0, 0]), int(chain[-1, 1]), int(chain[0, 2]), int(chain[-1, 3]),
-                                chain[:, :4].ravel().tolist()))
-
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
-        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                           ["doc_id", "first_doc_id", "low", "high", "first_low", "first_high", "runs"])
-        out.clear()
-        return batch
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [rest, batch])
-        doc, first = table.column("doc_id").to_numpy(), table.column("first_doc_id").to_numpy()
-        if not len(doc):
-            continue
-        cut = int(np.flatnonzero((doc != doc[-1]) | (first != first[-1]))[-1]) + 1 if (doc[0], first[0]) != (doc[-1], first[-1]) else 0
-        pairs(table.slice(0, cut))
-        rest = table.slice(cut).combine_chunks().to_batches()[0]
+def _chain_rows(least: int):
+    """Chains of at least ``least`` seeds of each pair of documents; rows come sorted by (doc_id, first_doc_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        out: list[tuple] = []
+
+        def pairs(table: pa.Table) -> None:
+            if not table.num_rows:
+                return
+            doc, first, here, there = (table.column(c).to_numpy() for c in ("doc_id", "first_doc_id", "pos", "first_pos"))
+            bounds = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(first) != 0), [True]]))
+            for i in np.flatnonzero(np.diff(bounds) >= least):
+                low, high = bounds[i], bounds[i + 1]
+                for chain in chains_of(runs_of(here[low:high].astype(np.int64), there[low:high].astype(np.int64))):
+                    if chain[:, 4].sum() >= least:
+                        out.append((int(doc[low]), int(first[low]), int(chain[0, 0]), int(chain[-1, 1]), int(chain[0, 2]), int(chain[-1, 3]),
+                                    chain[:, :4].ravel().tolist()))
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                               ["doc_id", "first_doc_id", "low", "high", "first_low", "first_high", "runs"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch])
+            doc, first = table.column("doc_id").to_numpy(), table.column("first_doc_id").to_numpy()
+            if not len(doc):
+                continue
+            cut = int(np.flatnonzero((doc != doc[-1]) | (first != first[-1]))[-1]) + 1 if (doc[0], first[0]) != (doc[-1], first[-1]) else 0
+            pairs(table.slice(0, cut))
+            rest = table.slice(cut).combine_chunks().to_batches()[0]
+            if out:
+                yield flush()
+        if rest is not None:
+            pairs(pa.Table.from_batches([rest]))
         if out:
             yield flush()
-    if rest is not None:
-        pairs(pa.Table.from_batches([rest]))
-    if out:
-        yield flush()
+    return run
 
 
 def _same_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -299,19 +309,82 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
 
-def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
-    """One row per passage of a document that an earlier document holds too."""
-    texts = _texts(documents)
-    used_up: list = []
-    seeds = settle(texts.mapInArrow(_seeds, "h long, doc_id long, pos int"), "passage-seeds", used_up)
+def _dense(places: DataFrame, least: int) -> DataFrame:
+    """Rows ``(doc_id, pos, ...)`` whose seeds follow each other within ``WINDOW`` places over at least ``least`` places, with ``low`` and ``high``."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    far = F.coalesce((F.col("pos") - F.lag("pos").over(order) > WINDOW).cast("long"), F.lit(0).cast("long"))
+    group = Window.partitionBy("doc_id", "stretch")
+    numbered = places.withColumn("far", far).withColumn("stretch", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = numbered.withColumn("low", F.min("pos").over(group)).withColumn("high", F.max("pos").over(group))
+    return ends.where(F.col("high") - F.col("low") >= least).drop("far", "stretch")
+
+
+def _unexplained(places: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """``places`` with ``open``: does no passage of ``found`` hold the ``length`` words from ``pos`` on?
+
+    Fewer words than a seed beyond a passage count as held: next to a passage, so few are alike by chance.
+    """
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in places.schema}
+    passages = found.select(*({**none, "doc_id": F.col("doc_id"), "pos": (F.col("start_word") - (K - 1)).alias("pos")}[c] for c in places.columns),
+                            (F.col("start_word") + F.col("n_words") + (K - 1)).alias("end"))
+    both = places.withColumn("end", F.lit(None).cast("int")).union(passages).withColumn("is_place", F.col("end").isNull())
+    before = Window.partitionBy("doc_id").orderBy("pos", "is_place").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.coalesce(F.max("end").over(before), F.lit(0))
+    return both.withColumn("open", reach < F.col("pos") + length).where("is_place").drop("end", "is_place")
+
+
+def _whole_grams(length: int):
+    """Hashes of all runs of ``length`` words that begin within the ranges of a document."""
+    offsets = sorted({*range(0, length - K, K), length - K})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 64):
+            hashes, ids, places = [], [], []
+            for doc_id, words, ranges in zip(*(part.column(c).to_pylist() for c in ("doc_id", "words", "ranges"))):
+                words = np.frombuffer(words, "<u4").astype(np.uint64)
+                count = len(words) - length + 1
+                if count < 1:
+                    continue
+                wanted = np.zeros(count + 1, np.int64)
+                for r in ranges:
+                    low, high = max(0, r["low"] - WINDOW + 1), min(count, r["high"] - (length - K - WINDOW + 1) + 1)
+                    if low < high:
+                        wanted[low] += 1
+                        wanted[high] -= 1
+                at = np.flatnonzero(np.cumsum(wanted[:-1]))
+                if not len(at):
+                    continue
+                grams = told_apart(ngram_hashes(words, K))
+                whole = np.zeros(len(at), np.uint64)
+                for o in offsets:
+                    whole = mix(whole + grams[at + o])
+                ids.append(np.full(len(at), doc_id, np.int64))
+                hashes.append(whole.view(np.int64))
+                places.append(at.astype(np.int32))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, places)], ["h", "doc_id", "pos"])
+    return run
+
+
+def _with_first_holder(seeds: DataFrame) -> DataFrame:
+    """Seeds joined with their first holder, in other documents than it."""
     held = seeds.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last"))
     shared = held.where("f.doc_id <> last").select("h", F.col("f.doc_id").alias("first_doc_id"), F.col("f.pos").alias("first_pos"))
-    matches = seeds.join(shared, "h").where("doc_id <> first_doc_id").select("doc_id", "first_doc_id", "pos", "first_pos")
-    sorted_ = matches.repartition("doc_id").sortWithinPartitions("doc_id", "first_doc_id", "pos")
-    chains = settle(sorted_.mapInArrow(_chain_rows, "doc_id long, first_doc_id long, low int, high int, first_low int, first_high int, runs array<int>"), "passage-chains")
-    discard(used_up)
-    used = chains.select("doc_id").union(chains.select("first_doc_id"))
-    words = texts.withColumn("place", id_place("doc_id")).mapInArrow(_words(id_bitmap(used, "doc_id")), "doc_id long, words binary").dropDuplicates(["doc_id"])
+    return seeds.join(shared, "h").where("doc_id <> first_doc_id")
+
+
+def _chains(matches: DataFrame, least: int) -> DataFrame:
+    sorted_ = matches.select("doc_id", "first_doc_id", "pos", "first_pos").repartition("doc_id").sortWithinPartitions("doc_id", "first_doc_id", "pos")
+    return settle(sorted_.mapInArrow(_chain_rows(least), "doc_id long, first_doc_id long, low int, high int, first_low int, first_high int, runs array<int>"), "passage-chains")
+
+
+def _hashed(texts: DataFrame, used: DataFrame) -> DataFrame:
+    """``(doc_id, words)`` of the documents of ``used``, and of others that an id filter passes."""
+    return texts.withColumn("place", id_place("doc_id")).mapInArrow(_words(id_bitmap(used, "doc_id")), "doc_id long, words binary").dropDuplicates(["doc_id"])
+
+
+def _aligned(texts: DataFrame, chains: DataFrame, min_words: int, min_identity: float) -> DataFrame:
+    words = _hashed(texts, chains.select("doc_id").union(chains.select("first_doc_id")))
     margin = F.lit(MARGIN)
     reach = chains.withColumn("from_word", F.greatest(F.col("low") - margin, F.lit(0))).withColumn(
         "first_from_word", F.greatest(F.col("first_low") - margin, F.lit(0)))
@@ -321,3 +394,26 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, min_iden
         "first_words", cut(F.col("first_from_word"), F.col("first_high"))).drop("words").withColumnRenamed("own", "words")
     return there.select("doc_id", "first_doc_id", "from_word", "first_from_word", "runs", "words", "first_words").mapInArrow(
         _aligner(min_words, min_identity), ROWS)
+
+
+def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
+    """One row per passage of a document that an earlier document holds too."""
+    texts = _texts(documents)
+    used_up: list = []
+    seeds = settle(texts.mapInArrow(_seeds, "h long, doc_id long, pos int"), "passage-seeds", used_up)
+    matches = settle(_with_first_holder(seeds), "passage-matches", used_up)
+    found = settle(_aligned(texts, _chains(matches, MIN_SEEDS), min_words, min_identity), "passage-found")
+
+    length = max(min_words, K + WINDOW - 1)
+    least = length - K - 2 * (WINDOW - 1)
+    places = _unexplained(matches.select("h", "doc_id", "pos"), found, K)
+    near = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(K - length, length - K)
+    asked = _dense(places, least).withColumn("open", F.max("open").over(near)).where("open").select("h").distinct()
+    ranges = settle(_dense(seeds.join(asked, "h").select("doc_id", "pos"), least).select("doc_id", "low", "high").distinct(), "passage-ranges")
+    discard(used_up)
+    held = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    grams = settle(_hashed(texts, ranges).join(held, "doc_id").mapInArrow(_whole_grams(length), "h long, doc_id long, pos int"), "passage-grams", used_up)
+    open_ = _unexplained(_with_first_holder(grams).select("doc_id", "first_doc_id", "pos", "first_pos"), found, length).where("open")
+    chains = _chains(open_, 1)
+    discard(used_up)
+    return found.union(_aligned(texts, chains, min_words, min_identity))

@@ -83,3 +83,15 @@ def test_seeds_of_equal_runs():
         grams = [passages.ngram_hashes(s, passages.K) for s in sides]
         seeds = [set(g[passages.minimizers(g)].tolist()) for g in grams]
         assert seeds[0] & seeds[1]
+
+
+def test_seeds_with_scattered_first_holders(make_docs, prose):
+    """Two documents share a passage, earlier ones only parts of it that are too short to be reported."""
+    for seed in range(3):
+        passage = [prose(2000 + 10 * seed + i, 200).split()[:80] for i in range(2)]
+        rows = []
+        for n, words in enumerate(passage):
+            pieces = [words[:40], words[40:], words, words] if n == 0 else [words[:27], words[27:54], words[54:], words, words[:40], words[40:], words]
+            rows += [(100 * n + i, f"{prose(3000 + 100 * seed + 10 * n + i, 60)} {' '.join(p)} {prose(4000 + 100 * seed + 10 * n + i, 60)}") for i, p in enumerate(pieces)]
+        got = {(r[0], r[3]): tuple(r)[1:3] for r in passages.repeated_passages(make_docs(rows)).collect()}
+        assert got == {(3, 2): (60, 80), (106, 103): (60, 80)}
