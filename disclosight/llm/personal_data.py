@@ -5,9 +5,11 @@ Base spans are e-mail addresses, IP addresses, payment cards and phone numbers f
 The field labels the words of a document that hold a digit or an ``@`` (all other words are fixed as
 "other"). Its graph has chain edges between neighbouring words and skip edges between distant words that are
 the same or similar: equal without case and outer punctuation, equal in their last seven digits, or equal up
-to their ``@``. Equal keys are joined from one occurrence to the next, so the graph grows with the document. The
-words of base spans keep their label; loopy message passing carries it along the skip edges to words that the
-patterns miss, such as a number that is repeated without its country code. A word is added as a span when
+to their ``@``. An occurrence is joined with the nearest one in a base span, however far away; without one, and among base
+spans, equal keys are joined from one occurrence to the next. So the graph grows with the document, and repeats that are
+tied to a base span do not outvote it. The words of base spans keep their label; loopy message
+passing, for more rounds the more skip edges lie between a word and a base span, carries it along the skip edges to words
+that the patterns miss, such as a number that is repeated without its country code. A word is added as a span when
 the belief in its kind reaches ``BELIEF`` and skip edges tie it to a base span of that kind in the same
 document; a document without base spans is left alone.
 
@@ -133,21 +135,30 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     chosen = [i for i, (a, b) in enumerate(words) if "@" in text[a:b] or _DIGIT.search(text, a, b)]
     spell = lambda i: text[words[i][0]:words[i][1]] if 0 <= i < len(words) else ""
-    places, rows, edges, last = [words[i] for i in chosen], [], [], {}
+    places, rows, edges, held = [words[i] for i in chosen], [], [], {}
     labels = np.zeros(len(chosen), np.int64)
     for at, i in enumerate(chosen):
         rows.append(_features(spell(i), spell(i - 1), spell(i + 1)))
         if at and chosen[at - 1] == i - 1:
             edges.append((at - 1, at, 0))
         for key in sorted(_keys(spell(i))):
-            if key in last and last[key] != at:
-                edges.append((last[key], at, 1))
-            last[key] = at
+            held.setdefault(key, []).append(at)
     starts = np.array([a for a, _ in places], np.int64)
     for kind, a, b in reversed(spans):
         for at in range(max(0, int(np.searchsorted(starts, a, "right")) - 1), int(np.searchsorted(starts, b))):
             if places[at][1] > a:
                 labels[at] = kind + 1
+    tied, loose = np.zeros(len(chosen), bool), []
+    for at in map(np.array, held.values()):
+        known, free = at[labels[at] > 0], at[labels[at] == 0]
+        loose.append(free if not len(known) else known)
+        if len(known) and len(free):
+            after = np.searchsorted(known, free)
+            left, right = known[np.maximum(after - 1, 0)], known[np.minimum(after, len(known) - 1)]
+            near = np.where(np.abs(free - left) <= np.abs(right - free), left, right)
+            edges += [(min(i, j), max(i, j), 1) for i, j in zip(free.tolist(), near.tolist())]
+            tied[free] = True
+    edges += [(i, j, 1) for at in loose for i, j in zip(at[:-1].tolist(), at[1:].tolist()) if not (tied[i] and tied[j])]
     return Graph(places, np.array(rows, np.float64).reshape(len(rows), N_FEATURES), labels, np.array(sorted(set(edges)), np.int64).reshape(-1, 3))
 
 
@@ -203,7 +214,7 @@ def train(graphs: list[Graph], epochs: int = EPOCHS, rate: float = RATE, seed: i
         pace = rate / (1 + epoch)
         for i in random.permutation(len(graphs)):
             g = graphs[i]
-            own, both = beliefs(g.features @ words.T, g.edges, pairs)
+            own, both = beliefs(g.features @ words.T, g.edges, pairs, rounds(g))
             own[np.arange(len(own)), g.labels] -= 1.0
             words -= pace * (own.T @ g.features / max(1.0, len(own) ** 0.5) + 1e-4 * words)
             for kind in (0, 1):
@@ -216,18 +227,27 @@ def train(graphs: list[Graph], epochs: int = EPOCHS, rate: float = RATE, seed: i
     return Weights(words, pairs)
 
 
-def _tied(g: Graph, kind: int) -> np.ndarray:
-    """Words that skip edges tie, directly or through others, to a base word of ``kind``."""
-    tied = g.labels == kind
-    skips = g.edges[g.edges[:, 2] == 1]
+def _spread(g: Graph, tied: np.ndarray) -> tuple[np.ndarray, int]:
+    """Words that skip edges tie, directly or through others, to the words of ``tied``, and the largest number of edges between."""
+    skips, depth = g.edges[g.edges[:, 2] == 1], 0
     while len(skips):
         more = tied.copy()
         more[skips[tied[skips[:, 0]], 1]] = True
         more[skips[tied[skips[:, 1]], 0]] = True
         if (more == tied).all():
             break
-        tied = more
-    return tied
+        tied, depth = more, depth + 1
+    return tied, depth
+
+
+def _tied(g: Graph, kind: int) -> np.ndarray:
+    """Words that skip edges tie, directly or through others, to a base word of ``kind``."""
+    return _spread(g, g.labels == kind)[0]
+
+
+def rounds(g: Graph) -> int:
+    """Most rounds of messages: they stop once nothing changes, and reach every word that is tied to a base word."""
+    return ROUNDS * (1 + _spread(g, g.labels > 0)[1])
 
 
 def added_spans(text: str, spans: list[tuple[int, int, int]], weights: Weights) -> list[tuple[int, int, int]]:
@@ -239,9 +259,9 @@ def added_spans(text: str, spans: list[tuple[int, int, int]], weights: Weights)
         return []
     unary = g.features @ weights.words.T
     known = g.labels > 0
-    unary[known] = -50.0
+    unary[known] = -50.0 - 2 * np.abs(weights.pairs).max() * len(g.edges)  # more than all messages together
     unary[known, g.labels[known]] = 0.0
-    own, _ = beliefs(unary, g.edges, weights.pairs)
+    own, _ = beliefs(unary, g.edges, weights.pairs, rounds(g))
     found = []
     for kind in range(1, len(KINDS) + 1):
         for at in np.flatnonzero(~known & (own[:, kind] >= BELIEF) & _tied(g, kind)):

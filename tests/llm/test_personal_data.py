@@ -82,6 +82,23 @@ def test_consistency_adds_spans(learned):
     assert pii.added_spans(alone, pii.base_spans(alone), weights) == []
 
 
+def test_repeats_far_from_the_base_span(learned, prose):
+    """Each of 40 repeats is tied to the base span, before and after it, also against a word feature for "other"."""
+    against = pii.start_weights()
+    against.words[0, 0] = 0.5
+    strongly = pii.start_weights()
+    strongly.words[0, 0] = 2.0
+    for base, again in (("+49 (30) 555-7713", "555-7713"), ("bbbb.7@mail1.example.com", "bbbb.7@mail1")):
+        for before in (0, 40, 20):
+            parts = [f"{again} {prose(i, 30)}" for i in range(40)]
+            text = " ".join([*parts[:before], base, prose(99, 30), *parts[before:]])
+            for weights in (pii.start_weights(), against, strongly, *([learned[1]] if "@" in base else [])):
+                added = pii.added_spans(text, pii.base_spans(text), weights)
+                assert [text[a:b] for _, a, b in added] == [again] * 40, (base, before)
+            g = pii.graph(text, pii.base_spans(text))
+            assert len(g.edges) <= 3 * len(g.places)
+
+
 def test_columns(make_docs, learned, prose):
     rows, weights = learned
     rows = rows[:40] + [(900, None), (901, ""), (None, "x@y.zz"), (1, rows[1][1]), (902, prose(1, 30000) + " 9.9.9.9 " + prose(2, 10)), (903, "é +49 30 1234567 é")]
