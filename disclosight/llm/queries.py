@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import best_fit, causal_lm, compression_rules, jaccard_join, jump_shards, language_id, passages, personal_data, piece_scan, sparse_topk
+from . import best_fit, causal_lm, compression_rules, jaccard_join, jump_shards, language_id, passages, personal_data, piece_scan, sparse_topk, target_resampling
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_max_plus_pieces")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_scan.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+@query("op11_position_crc_resampling", r"""
+with crc_table as (
+  select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t
+), texts as (
+  select doc_id, true as own, text from documents union all select null, false, text from benchmark
+), words as (
+  select row_number() over () as place, doc_id, own, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from texts
+), features as (select place, own, unnest(w) as f from words),
+bytes as (
+  select f, list_transform(range(1, octet_length(encode(f)) + 1), lambda i:
+    16 * (instr('0123456789ABCDEF', substr(hex(encode(f)), 2 * i - 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode(f)), 2 * i, 1)) - 1) as b
+  from (select distinct f from features)
+), hashed as (
+  select f, xor(list_reduce(b, lambda r, x: xor(r >> 8, t[(xor(r, x) & 255) + 1]), 4294967295), 4294967295) % 10000 as bucket from bytes, crc_table
+), counts as (
+  select bucket, count(*) filter (where own) as s, count(*) filter (where not own) as t from features join hashed using (f) group by bucket
+), sums as (select sum(s) as big_s, sum(t) as big_t from counts),
+gains as (
+  select bucket, floor(1000 * ln(cast((t + 1) * (big_s + 10000) as double) / cast((s + 1) * (big_t + 10000) as double))) as gain from counts, sums
+), weights as (
+  select place, count(*) as n, sum(gain) as total from features join hashed using (f) join gains using (bucket) where own group by place
+), scored as (
+  select doc_id, len(w) as n_words, cast(coalesce(n, 0) as bigint) as n_features, cast(coalesce(floor(total / n), 0) as bigint) as weight,
+    cast(coalesce(floor(total / n), 0) as bigint) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+  from words left join weights using (place) where own
+), placed as (
+  select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as r, count(*) over (partition by n_words >= 20) as fit from scored
+)
+select doc_id, n_features, weight, score, case when n_words >= 20 and r <= 10 * fit // 100 then r end as rank from placed""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
