@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import best_fit, causal_lm, compression_rules, jaccard_join, jump_shards, language_id, passages, personal_data, piece_scan, sparse_topk, target_resampling
+from . import best_fit, causal_lm, compression_rules, hard_negatives, jaccard_join, jump_shards, language_id, passages, personal_data, piece_scan, sparse_topk, target_resampling
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,28 @@ select doc_id, n_features, weight, score, case when n_words >= 20 and r <= 10 *
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_cover_tree_negatives", """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, c.vec_id as vec_id, a.label = c.label as same,
+         cast(coalesce(list_sum(list_transform(list_zip(a.w, c.w, true), lambda z: z[1] * z[2])), 0) as bigint) as score
+  from v a join v c on c.vec_id <> a.vec_id
+  where a.vec_id % 100 = 0
+), positives as (
+  select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as r from scored where same) where r <= 5
+), ranked as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+         cast(row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as integer) as rank
+  from positives p join scored n on n.anchor_id = p.anchor_id and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
