@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import best_fit, causal_lm, compression_rules, hard_negatives, jaccard_join, jump_shards, language_id, passages, personal_data, piece_scan, sparse_topk, target_resampling
+from . import best_fit, causal_lm, compression_rules, hard_negatives, jaccard_join, jump_shards, language_id, passages, personal_data, piece_scan, sparse_topk, target_resampling, toxicity
 from .common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,8 @@ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_block_max_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
