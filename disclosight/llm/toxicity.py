@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a sample of labelled documents, at most ``EXAMPLES`` of each label, taken by a hash of the id; equal texts
-are one example. Terms are words that the labels tell apart beyond chance: the likelihood ratio of a word's presence against
-the label must exceed what the best of as many unrelated words would reach. Words are weighted by ``(1 + ln tf) * idf`` and
+The examples are a sample of labelled documents, at most ``EXAMPLES`` of each label, taken by a hash of the id. Copies and near copies
+are no evidence of their own: an example goes if one with a smaller id shares a MinHash of word 5-grams with it. Terms are words that the labels tell apart beyond chance: the likelihood ratio of a word's presence against
+the label must exceed what the best of as many unrelated words would reach, and it must change the odds of a label ``ODDS`` times (long
+documents hold more of any word). Words are weighted by ``(1 + ln tf) * idf`` and
 vectors have length one.
 
 The index holds postings by term, cut into blocks of ``BLOCK`` examples, and for every term and block the largest weight. For a
@@ -28,7 +29,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import settle, slices
 
@@ -36,6 +38,10 @@ from .common import settle, slices
 EXAMPLES, NEIGHBOURS, BLOCK, BLOCKS_AT_ONCE = 4096, 16, 64, 4
 #: Where a score counts as toxic, and the part of the chance level that a term must exceed.
 TOXIC_FROM, STRICTNESS = 0.7, 0.8
+#: Words of a shingle, and multipliers of the MinHashes that tell near copies (at a similarity of 0.8, 0.998 of them share one).
+SHINGLE, MULTIPLIERS = 5, np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+#: How many times higher a term must make the odds of one of the labels.
+ODDS = 4.0
 #: A vote is taken against this much similarity to nothing.
 DOUBT = 0.5
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -127,12 +133,14 @@ def probability(model: Model, vote: float, length: float) -> float:
 
 
 def _distinguishing(present: Column, toxic: Column, n: int, n_toxic: int, level: float) -> Column:
-    """Whether presence and label depend on each other: half the likelihood ratio statistic against ``level``."""
+    """Whether presence and label depend on each other: half the likelihood ratio statistic against ``level``, and the odds ratio."""
     clean, n_clean = present - toxic, n - n_toxic
     absent = F.lit(float(n)) - present
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    return (part(toxic, present * n_toxic / n) + part(clean, present * n_clean / n)
-            + part(n_toxic - toxic, absent * n_toxic / n) + part(n_clean - clean, absent * n_clean / n)) >= level
+    surprise = (part(toxic, present * n_toxic / n) + part(clean, present * n_clean / n)
+                + part(n_toxic - toxic, absent * n_toxic / n) + part(n_clean - clean, absent * n_clean / n))
+    odds = (toxic + 0.5) * (n_clean - clean + 0.5) / ((clean + 0.5) * (n_toxic - toxic + 0.5))
+    return (surprise >= level) & ((odds >= ODDS) | (odds <= 1 / ODDS))
 
 
 def sample_examples(documents: DataFrame, labels: DataFrame, usable: Column, examples: int) -> DataFrame:
@@ -146,6 +154,32 @@ def sample_examples(documents: DataFrame, labels: DataFrame, usable: Column, exa
     return own.join(F.broadcast(chosen), "doc_id")
 
 
+def min_hashes(text: str) -> np.ndarray:
+    """The smallest hash of the shingles for each multiplier; a text with fewer words is one shingle."""
+    words = text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    n = max(1, len(words) - SHINGLE + 1)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(words[i:i + SHINGLE])) for i in range(n)), np.uint64, n)
+    mixed = hashes[:, None] * MULTIPLIERS
+    return (mixed ^ (mixed >> np.uint64(29))).min(0)
+
+
+def _with_min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 16):
+        found = np.array([min_hashes(t) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, len(MULTIPLIERS)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.ascontiguousarray(found[:, m])) for m in range(len(MULTIPLIERS)))],
+                                         [*part.schema.names, *(f"m{m}" for m in range(len(MULTIPLIERS)))])
+
+
+def without_near_copies(sample: DataFrame) -> DataFrame:
+    """Examples that share no MinHash with one of a smaller id; a bounded number of rows."""
+    names = [f"m{m}" for m in range(len(MULTIPLIERS))]
+    hashed = sample.select("doc_id", "text", "toxic").mapInArrow(_with_min_hashes, f"doc_id long, text string, toxic int, {', '.join(f'{n} long' for n in names)}")
+    first = [(F.min("doc_id").over(Window.partitionBy(n)) == F.col("doc_id")).alias(f"first_{n}") for n in names]
+    kept = " and ".join(f"first_{n}" for n in names)
+    # an id with several rows is one example
+    return hashed.select("doc_id", "text", "toxic", *first).where(kept).groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("_x")).select("doc_id", "_x.*")
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 16):
         found = [terms_of(t) for t in part.column(1).to_pylist()]
@@ -162,9 +196,7 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, examples: int
     counts = {r["toxic"]: r["n"] for r in labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("toxic").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-    sample = (sample_examples(documents, labels, usable, examples).groupBy(F.xxhash64("text").alias("_text"), F.length("text").alias("_size"))
-              .agg(F.min_by(F.struct("doc_id", "text", "toxic"), "doc_id").alias("_x")).select("_x.*"))
-    sample = settle(sample, "toxicity-examples")
+    sample = settle(without_near_copies(sample_examples(documents, labels, usable, examples)), "toxicity-examples")
     people = {r["doc_id"]: (r["half"], r["toxic"]) for r in sample.select("doc_id", _half().alias("half"), "toxic").collect()}
     sizes = Counter(people.values())
     if not all(sizes[h, y] for h in (0, 1) for y in (0, 1)):

@@ -124,3 +124,13 @@ def test_without_examples(spark, make_docs):
     assert scores[0] == scores[1] and scores[0] in (pytest.approx(0.75), pytest.approx(0.5))
     frame, labels = frames(spark, make_docs, [], [])
     assert tox.toxicity(frame, labels).count() == 0
+
+
+def test_near_copies_are_one_example(spark, prose):
+    text = prose(77, 60).split()
+    edited = lambda n: " ".join(w if i != n else "changed" for i, w in enumerate(text))
+    rows = [(i, edited(i), 1) for i in range(30, 50)] + [(i, prose(i, 40), 0) for i in range(100, 120)] + [(7, "", 0), (8, "", 0), (9, "one two", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    kept = sorted(r["doc_id"] for r in tox.without_near_copies(frame).collect())
+    assert [i for i in kept if i >= 100] == list(range(100, 120)) and [i for i in kept if i < 30] == [7, 9]
+    assert 30 in kept and len([i for i in kept if 30 <= i < 50]) <= 2
