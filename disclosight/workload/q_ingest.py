@@ -12,7 +12,7 @@ from ..functions.identity import person_key
 from ..operators import joins, store
 from ..plans import ingest, recompute, report_html, report_text
 from ..session import scratch_path
-from ..sources import tables
+from ..sources import documents, tables
 from ..streaming import bursts, ingest as stream_ingest
 from . import landing
 from .adapters import filings, transactions
@@ -36,6 +36,7 @@ def index(spark, d):
         F.coalesce("suffix", F.lit("")).alias("suffix"), "state_district").drop("_copy")
 
 
+CHANGED, REPEATED = "id % 7 = 0", "id % 5 = 0"
 ARRIVED = "not (coalesce(suffix, '') = 'Jr.' and year = 1998)"
 
 
@@ -50,7 +51,12 @@ def landed(spark, d):
     senate = landing.text("<table><tr>", *[landing.text("<td>", c, "</td>") for c in (
         "1", day, "Self", "Q2", F.col("last_name"), "Stock", label, "Over $1,000", "--")], "</tr></table>")
     body = F.when(F.col("id") % 37 == 0, F.lit(" \n")).when(F.col("source") == "senate_efd", senate).otherwise(house)
-    return f.select(F.col("doc").alias("doc_id"), body.alias("body"))
+    # some are landed again in other words, some with the same ones; the first by path counts, wherever its row is
+    first = F.struct(body.alias("body"), F.concat(F.lit("a/"), "doc", F.lit(".txt")).alias("path"))
+    other = F.struct(F.regexp_replace("first.body", r"\[ST\]|Stock", "[OP]").alias("body"), F.concat(F.lit("b/"), "doc", F.lit(".html")).alias("path"))
+    again = F.struct(F.col("first.body").alias("body"), F.concat(F.lit("c/"), "doc", F.lit(".txt")).alias("path"))
+    versions = F.array_compact(F.array(F.when(F.expr(CHANGED), other), F.when(F.expr(REPEATED), again), F.when(F.expr(REPEATED), F.col("first")), F.col("first")))
+    return f.withColumn("first", first).select(F.col("doc").alias("doc_id"), F.inline(versions))
 
 
 def parse(docs):
@@ -74,7 +80,9 @@ def work(spark):
 # a House page without text is a scan; a Senate page without rows is a filing without lines
 OUTCOME_SQL = f"""with listed as (select *, {DOC} as doc, case when amends_filing_id is not null then 2 else 1 end as copies from filings),
     judged as (select id, doc, source, year, cast(copies as bigint) as copies, filing_date, cast(created_at as date) as day, last_name,
-        case when id % 37 = 0 then 0 when source = 'senate_efd' then 1 else 2 end as lines,
+        case when id % 37 = 0 then 0 when source = 'senate_efd' then 1 else 2 end as lines, not (coalesce(suffix, '') = 'Jr.' and year = 1998) as present,
+        not (coalesce(suffix, '') = 'Jr.' and year = 1998) and year <> 1997
+          and not regexp_full_match(doc, case source when 'senate_efd' then '[0-9]+' else '[0-9]{{7}}' end) as arrived,
         case when regexp_full_match(doc, case source when 'senate_efd' then '[0-9]+' else '[0-9]{{7}}' end) then 'scanned_skipped'
           when year = 1997 then 'skipped' when suffix = 'Jr.' and year = 1998 then 'download_failed'
           when id % 37 = 0 and source <> 'senate_efd' then 'scanned_skipped'
@@ -85,10 +93,20 @@ OUTCOME_SQL = f"""with listed as (select *, {DOC} as doc, case when amends_filin
 
 @query("a10_ingest_outcomes", OUTCOME_SQL + """ select doc as doc_id, source, year, copies, outcome,
     case outcome when 'download_failed' then 'no landed document' when 'parse_failed' then 'unreadable trade line'
-      when 'store_failed' then 'no notification date' end as error from judged""", ("filings",))
+      when 'store_failed' then 'no notification date' end as error,
+    id % 7 = 0 and id % 37 <> 0 and arrived as conflict from judged""", ("filings",))
 def a10(spark, d):
     listed, docs, reader, stored = run_parts(spark, d)
-    return ingest.decide(listed, docs, reader, stored, work(spark)).outcomes.select("doc_id", "source", "year", "copies", "outcome", "error")
+    return ingest.decide(listed, docs, reader, stored, work(spark)).outcomes.select("doc_id", "source", "year", "copies", "outcome", "error", "conflict")
+
+
+@query("s10_landed_versions", OUTCOME_SQL + """ select doc as doc_id, 'a/' || doc || '.txt' as path, lines > 0 as has_text,
+    cast(1 + case when id % 7 = 0 then 1 else 0 end + case when id % 5 = 0 then 2 else 0 end as bigint) as landed, id % 7 = 0 and id % 37 <> 0 as conflict
+    from judged where present""", ("filings",))
+def s10_versions(spark, d):
+    """The version of every landed document that counts, and whether there are others."""
+    first = documents.first_landed(landed(spark, d))
+    return first.select("doc_id", "path", F.col("body").rlike(r"\S").alias("has_text"), "landed", "conflict")
 
 
 ACCOUNT_SQL = """, counted as (select source, year, cast(sum(copies) as bigint) as filings_indexed,

@@ -125,4 +125,27 @@ def test_document_files(spark, tmp_path):
     put(tmp_path / "docs" / "20001.txt", "a\nb")
     put(tmp_path / "docs" / "x-1.html", "<p>")
     rows = documents.read_documents(spark, str(tmp_path / "docs")).collect()
-    assert {tuple(r) for r in rows} == {("20001", "a\nb"), ("x-1", "<p>")}
+    assert {(r["doc_id"], r["body"], r["path"].rpartition("/")[2]) for r in rows} == {("20001", "a\nb", "20001.txt"), ("x-1", "<p>", "x-1.html")}
+
+
+def test_one_version_per_landed_document(spark, tmp_path):
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    for name, body in (("x.txt", "second words"), ("x.html", "first words"), ("y.txt", "same"), ("z.txt", "")):
+        (folder / name).write_text(body)
+    landed = documents.read_documents(spark, str(folder))
+    rows = {r["doc_id"]: r for r in documents.first_landed(landed).collect()}
+    assert (rows["x"]["body"], rows["x"]["landed"], rows["x"]["conflict"]) == ("first words", 2, True)
+    assert rows["x"]["path"].endswith("x.html") and (rows["y"]["landed"], rows["y"]["conflict"]) == (1, False)
+
+
+def test_versions_do_not_depend_on_arrival(spark):
+    rows = [("a", "k", "long body", "p2"), ("a", "k", "b2", "p1"), ("a", "k", "b1", "p1"), ("b", "k", None, None), ("b", "k", "", None), ("c", "k", "t", "p")] + [("d", "k", "same", "q")] * 50
+    frame = spark.createDataFrame(rows, "doc_id string, source string, body string, path string")
+    for parts in (1, 7):
+        got = sorted(documents.first_landed(frame.repartition(parts), "source").collect())
+        assert [(r["doc_id"], r["body"], r["path"], r["landed"], r["conflict"]) for r in got if r["doc_id"] != "a"] == [
+            ("b", None, None, 2, True), ("c", "t", "p", 1, False), ("d", "same", "q", 50, False)]
+        assert got[0]["body"] in ("b1", "b2") and got[0]["landed"] == 3 and got[0]["conflict"]
+    no_path = documents.first_landed(frame.drop("path", "source"))
+    assert no_path.filter("doc_id = 'a'").first()["body"] in ("b1", "b2") and no_path.count() == 4

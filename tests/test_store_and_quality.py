@@ -219,3 +219,22 @@ def test_sessions_merge_at_the_gap(spark):
     found = counted.orderBy("start_date").collect()
     assert [(r["span_days"], r["politician_count"]) for r in found] == [(14, 3), (0, 1)]
     assert bursts.qualifying(counted).count() == 1
+
+
+def test_a_document_landed_twice_is_one(spark, tmp_path):
+    from disclosight.plans import report_text
+    index = spark.createDataFrame([("house_clerk", f"2000000{n}", 2024, D(2024, 3, 9), "Ann", "Doe", "CA01") for n in (1, 2, 3)],
+                                  "source string, doc_id string, year int, filing_date date, first string, last string, state_district string")
+    head = "ID Owner Asset Transaction Date Notification Amount Cap.\n"
+    body = lambda name: f"{head}{name} ({name}) [ST] P 01/02/2024 01/03/2024 $1 - $2"
+    docs = spark.createDataFrame([("20000001", body("FOO"), "b"), ("20000001", body("FOO"), "a"), ("20000002", body("NEW"), "b"), ("20000002", body("OLD"), "a"),
+                                  ("20000002", body("OLD"), "a"), ("20000003", body("ONE"), "a")], "doc_id string, body string, path string")
+    parse = lambda fresh: report_text.parse_text(fresh.select("doc_id", "body"))
+    judged = ingest.decide(index, docs, parse, spark.createDataFrame([], "doc_id string"), str(tmp_path / "work")).outcomes
+    assert {r["doc_id"]: (r["outcome"], r["conflict"]) for r in judged.collect()} == {
+        "20000001": ("new", False), "20000002": ("new", True), "20000003": ("new", False)}
+    root = str(tmp_path / "twice")
+    account = ingest.run(spark, root, index, docs, parse, D(2024, 3, 15)).first()
+    assert (account["filings_new"], account["transactions_stored"]) == (3, 3)
+    lines = tables.read_table(spark, root, "transactions", schema.TRANSACTIONS).collect()
+    assert sorted((r["ticker"], r["sequence"]) for r in lines) == [("FOO", 0), ("OLD", 0), ("ONE", 0)]
