@@ -28,3 +28,8 @@ def with_batch_ids(df: DataFrame, key: list[str], batch_no: int | Column, name:
     checked = F.when(fits, value).otherwise(F.raise_error(F.lit("batch number or row position does not fit into an id")).cast("long"))
     return (df.withColumn("_bucket", bucket).withColumn("_position", position)
             .withColumn(name, checked).drop("_bucket", "_position"))
+
+
+def batch_of(number: Column) -> Column:
+    """The batch that an id was given in."""
+    return F.shiftright(number, BUCKET_BITS + ROW_BITS)

@@ -17,6 +17,7 @@ from .. import fixed_values as fv
 class Applied(NamedTuple):
     table: DataFrame
     rejected: DataFrame
+    changes: DataFrame   # id and new values of the columns, of the rows that a valid decision names
 
 
 VERIFICATION = ("verified_transaction_date", "verification_method", "verification_confidence",
@@ -57,6 +58,12 @@ def _latest(valid: DataFrame, key: str, fields: list[Column]) -> DataFrame:
     return valid.groupBy(key).agg(F.max_by(F.struct("action", *fields), F.col("decision_no")).alias("_d"))
 
 
+def _changes(latest: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """New values per record; a ``clear`` decision empties them."""
+    value = lambda c: F.when(F.col("_d.action") != "clear", F.col(f"_d.{c}"))
+    return latest.select(F.col(key).alias("id"), *[value(c).alias(c) for c in columns])
+
+
 def _overlay(table: DataFrame, latest: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """Replace ``columns`` where a decision exists; a ``clear`` decision empties them."""
     order = table.columns
@@ -89,7 +96,8 @@ def apply_verifications(transactions: DataFrame, filings: DataFrame, decisions:
         F.col("source_doc_id").alias("verification_source_doc_id"),
         F.col("note").alias("verification_note"), F.col("verified_at")])
     return Applied(_overlay(transactions, latest, "transaction_id", VERIFICATION),
-                   judged.filter(F.col("reason").isNotNull()).select("decision_no", "reason"))
+                   judged.filter(F.col("reason").isNotNull()).select("decision_no", "reason"),
+                   _changes(latest, "transaction_id", VERIFICATION))
 
 
 def apply_amendment_links(filings: DataFrame, decisions: DataFrame) -> Applied:
@@ -116,7 +124,8 @@ def apply_amendment_links(filings: DataFrame, decisions: DataFrame) -> Applied:
         F.col("confidence").alias("amendment_confidence"), F.col("note").alias("amendment_note"),
         F.col("verified_at").alias("amendment_verified_at")])
     return Applied(_overlay(filings, latest, "_amended", AMENDMENT),
-                   judged.filter(F.col("reason").isNotNull()).select("decision_no", "reason"))
+                   judged.filter(F.col("reason").isNotNull()).select("decision_no", "reason"),
+                   _changes(latest, "_amended", AMENDMENT))
 
 
 def amendment_candidates(filings: DataFrame, transactions: DataFrame) -> DataFrame:

@@ -44,6 +44,13 @@ INGEST_RUNS = _struct(
     ("transactions_stored", L, False), ("error", S, True), ("source", S, False),
 )
 
+#: Columns that may change after a row is stored, by table; all others are source values.
+MUTABLE = {
+    "transactions": ("quality_flags", "verified_transaction_date", "verification_method", "verification_confidence",
+                     "verification_source_doc_id", "verification_note", "verified_at"),
+    "filings": ("amends_filing_id", "amendment_method", "amendment_confidence", "amendment_note", "amendment_verified_at"),
+}
+
 # One disclosed line as every document parser returns it.
 PARSED_LINE = _struct(
     ("source_id", S, True), ("owner", S, True), ("asset_name", S, True), ("ticker", S, True),

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .. import schema
 from ..functions.identity import person_key
 from ..operators import joins, store
-from ..plans import ingest, recompute, report_html, report_text
+from ..plans import curate, ingest, recompute, report_html, report_text
 from ..session import scratch_path
 from ..sources import documents, tables
 from ..streaming import bursts, ingest as stream_ingest
@@ -250,15 +250,65 @@ def k1(spark, d):
 def k3_refresh(spark, d):
     """Lines stored without flags, recomputed, written as new versions of their batches and read back."""
     root = scratch_path(spark, "refresh")
-    rows = reports(spark, d)
-    noted = rows.withColumn("lines", F.transform("lines", lambda x: x.withField(
+    store_in_two(spark, d, root)
+    recompute.recompute(spark, root, RUN_DAY)
+    lines = tables.read_batches(spark, root, "transactions", schema.TRANSACTIONS)
+    docs = tables.read_table(spark, root, "filings", schema.FILINGS).select(F.col("id").alias("filing_id"), "doc_id")
+    return lines.join(docs, "filing_id").select("doc_id", "sequence", F.array_join("quality_flags", ",").alias("quality_flags"), "version")
+
+
+PATCH_SQL = """with lines as (select doc_id, cast(0 as int) as sequence, cast(created_at as date) as day, false as late, id from filings
+      union all select doc_id, 1, cast(created_at as date), filing_date is not null, id from filings)
+    select doc_id, sequence, array_to_string([x for x in [case when day > date '2000-06-30' then 'transaction_date_after_ingestion_date' end,
+        case when late then 'notification_date_after_filing' end] if x is not null], ',') as quality_flags,
+      case when sequence = 0 and id % 9 = 0 and id % 18 <> 0 then day - 1 end as verified_transaction_date,
+      case when sequence = 0 and id % 9 = 0 and id % 18 <> 0 then 'high' end as verification_confidence,
+      cast({version} as bigint) as version from lines"""
+
+
+def store_in_two(spark, d, root):
+    """All reports stored without flags, the notices of some lines late."""
+    noted = reports(spark, d).withColumn("lines", F.transform("lines", lambda x: x.withField(
         "notification_date", F.date_add(x["notification_date"], x["sequence"] * 3))))
     for number, batch in enumerate((noted.filter("source = 'senate_efd'"), noted.filter("source <> 'senate_efd'"))):
         store.store(spark, root, batch.drop("lines"), batch.select("doc_id", "version", F.inline("lines")), number, ["version"])
-    recompute.recompute(spark, root, RUN_DAY)
+
+
+def patched(spark, d, root):
+    """Flags recomputed and some first lines verified, a part of these cleared again; three patches and no batch written anew."""
+    store_in_two(spark, d, root)
+    recompute.recompute(spark, root, RUN_DAY, rewrite=False)
+    chosen = filings(spark, d).filter("id % 9 = 0")
+    decision = lambda frame, action: frame.select(
+        F.col("id").alias("decision_no"), F.lit(action).alias("action"), F.lit(None).cast("long").alias("transaction_id"), "doc_id", F.lit(0).alias("sequence"),
+        F.date_sub(F.to_date("created_at"), 1).alias("verified_transaction_date"), F.lit("manual_review").alias("method"), F.lit("high").alias("confidence"),
+        F.lit("seen").alias("source_doc_id"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("timestamp").alias("verified_at"))
+    curate.store_verifications(spark, root, decision(chosen, "verify"))
+    curate.store_verifications(spark, root, decision(chosen.filter("id % 18 = 0"), "clear"))
+
+
+def patched_lines(spark, root):
     lines = tables.read_batches(spark, root, "transactions", schema.TRANSACTIONS)
     docs = tables.read_table(spark, root, "filings", schema.FILINGS).select(F.col("id").alias("filing_id"), "doc_id")
-    return lines.join(docs, "filing_id").select("doc_id", "sequence", F.array_join("quality_flags", ",").alias("quality_flags"), "version")
+    return lines.join(docs, "filing_id").select("doc_id", "sequence", F.array_join("quality_flags", ",").alias("quality_flags"),
+                                                "verified_transaction_date", "verification_confidence", "version")
+
+
+@query("k3_patch_read", PATCH_SQL.format(version=0), ("filings",))
+def k3_patch(spark, d):
+    """Changed lines stored as patches beside their batches and laid over them when read."""
+    root = scratch_path(spark, "patch")
+    patched(spark, d, root)
+    return patched_lines(spark, root)
+
+
+@query("k3_patch_compacted", PATCH_SQL.format(version=4), ("filings",))
+def k3_compacted(spark, d):
+    """The same lines once the patches are folded into new versions of their batches."""
+    root = scratch_path(spark, "compact")
+    patched(spark, d, root)
+    tables.compact(spark, root, "transactions", schema.TRANSACTIONS)
+    return patched_lines(spark, root)
 
 
 @query("t1_ingest_stream", STORED_SQL, ("filings",))

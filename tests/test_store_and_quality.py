@@ -238,3 +238,70 @@ def test_a_document_landed_twice_is_one(spark, tmp_path):
     assert (account["filings_new"], account["transactions_stored"]) == (3, 3)
     lines = tables.read_table(spark, root, "transactions", schema.TRANSACTIONS).collect()
     assert sorted((r["ticker"], r["sequence"]) for r in lines) == [("FOO", 0), ("OLD", 0), ("ONE", 0)]
+
+
+def folder_size(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_patches_are_laid_over_their_batches(spark, tmp_path):
+    import pytest
+    root = str(tmp_path / "store")
+    docs = [f"d{n:05d}" for n in range(3000)]
+    for number, part in enumerate((docs[:2000], docs[2000:])):
+        store.store(spark, root, spark.createDataFrame([report(d, "x", 1) for d in part], REPORT), spark.createDataFrame([line(d, 1, 0) for d in part], LINE),
+                    number, ["version"])
+    read = lambda: {r["asset_name"]: r for r in tables.read_batches(spark, root, "transactions", schema.TRANSACTIONS).collect()}
+    before = read()
+    batch_bytes = folder_size(tmp_path / "store" / "transactions")
+    change = lambda rows, kind: spark.createDataFrame([(before[name]["batch_no"], before[name]["id"], *values) for name, *values in rows], f"batch_no long, id long, {kind}")
+    flags = change([("d00001v1", ["f"]), ("d02500v1", ["g"])], "quality_flags array<string>")
+    assert tables.write_patch(flags, root, "transactions", ["quality_flags"]) == 1
+    assert folder_size(tmp_path / "store" / "transactions-patches") < batch_bytes / 10
+    note = change([("d00001v1", "n1", "low"), ("d00002v1", "n2", None)], "verification_note string, verification_confidence string")
+    tables.write_patch(note, root, "transactions", ["verification_note", "verification_confidence"])
+    tables.write_patch(change([("d00001v1", None)], "verification_note string"), root, "transactions", ["verification_note"])
+    # an attempt that never committed stays invisible
+    flags.withColumn("_set", F.array(F.lit("quality_flags"))).write.partitionBy("batch_no").parquet(f"{root}/transactions-patches/version=9")
+    after = read()
+    shown = lambda r: (r["quality_flags"], r["verification_note"], r["verification_confidence"], r["version"])
+    assert shown(after["d00001v1"]) == (["f"], None, "low", 0) and shown(after["d00002v1"]) == ([], "n2", None, 0) and shown(after["d02500v1"]) == (["g"], None, None, 0)
+    assert {n: r for n, r in after.items() if n not in ("d00001v1", "d00002v1", "d02500v1")} == {
+        n: r for n, r in before.items() if n not in ("d00001v1", "d00002v1", "d02500v1")}
+    with pytest.raises(ValueError, match="never change"):
+        tables.write_patch(flags, root, "transactions", ["asset_name"])
+    # a patch of one batch compacts that batch only, and later patches lie over the new version
+    assert tables.compact(spark, root, "transactions", schema.TRANSACTIONS) == 2
+    folded = read()
+    assert {n: shown(r)[:3] for n, r in folded.items()} == {n: shown(r)[:3] for n, r in after.items()} and {r["version"] for r in folded.values()} == {4}
+    tables.write_patch(change([("d02999v1", ["h"])], "quality_flags array<string>"), root, "transactions", ["quality_flags"])
+    assert read()["d02999v1"]["quality_flags"] == ["h"] and read()["d00001v1"]["quality_flags"] == ["f"]
+    assert tables.compact(spark, root, "transactions", schema.TRANSACTIONS) == 1 and tables.compact(spark, root, "transactions", schema.TRANSACTIONS) == 0
+    assert {r["version"] for r in read().values()} == {4, 6}
+
+
+def test_recompute_as_patch_equals_the_rewrite(spark, tmp_path):
+    late = ("b", 1, 0, "b", "P", D(2024, 6, 1), D(2024, 1, 2), 1, "$1", [])
+    results = []
+    for rewrite in (True, False):
+        root = str(tmp_path / f"store-{rewrite}")
+        store.store(spark, root, spark.createDataFrame([report("a", "x", 1), report("b", "x", 1)], REPORT), spark.createDataFrame([line("a", 1, 0), late], LINE), 0, ["version"])
+        assert recompute(spark, root, D(2024, 7, 1), rewrite=rewrite).changed == 2
+        assert recompute(spark, root, D(2024, 7, 1), rewrite=rewrite).changed == 0
+        results.append(sorted(tables.read_table(spark, root, "transactions", schema.TRANSACTIONS).collect()))
+    assert results[0] == results[1]
+
+
+def test_links_as_patch(spark, tmp_path):
+    from disclosight.plans import curate
+    root = str(tmp_path / "store")
+    store.store(spark, root, spark.createDataFrame([report("a", "x", 1), report("b", "x", 1)], REPORT), spark.createDataFrame([line("a", 1, 0)], LINE), 0, ["version"])
+    kind = ("decision_no long, action string, amended_doc_id string, original_doc_id string, method string, confidence string, note string, verified_at timestamp")
+    links = lambda *rows: curate.store_amendment_links(spark, root, spark.createDataFrame(list(rows), kind))
+    bad = links((1, "link", "b", "a", "manual_review", "high", None, None), (2, "link", "b", "zz", "manual_review", "high", None, None))
+    assert [r["reason"] for r in bad.collect()] == ["unknown original filing"]
+    stored = lambda: {r["doc_id"]: r for r in tables.read_table(spark, root, "filings", schema.FILINGS).collect()}
+    assert stored()["b"]["amends_filing_id"] == stored()["a"]["id"] and stored()["b"]["amendment_method"] == "manual_review"
+    links((3, "clear", "b", None, None, None, None, None))
+    assert stored()["b"]["amends_filing_id"] is None and stored()["b"]["amendment_method"] is None
+    assert links((4, "link", "q", "a", "manual_review", "high", None, None)).count() == 1 and tables.next_version(spark, root, "filings") == 3
