@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.ids import with_batch_ids
-from ..sources import tables
+from ..sources import stored_keys, tables
 
 
 def survivors(new_filings: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
@@ -27,19 +27,20 @@ def store(spark: SparkSession, root: str, new_filings: DataFrame, new_lines: Dat
     """Append filings and lines of one batch; ``new_lines`` refers to filings by ``doc_id``.
 
     Lines must carry the ``order`` columns of the filing version they belong to. A committed batch
-    is not stored again; one that failed before its commit is.
+    is not stored again; one that failed before its commit is. Of the documents stored before, only the key folders
+    that the new ones fall into are read.
     """
     if tables.is_committed(spark, root, batch_no):
         return
-    stored = tables.read_table(spark, root, "filings", schema.FILINGS, before=batch_no)
+    stored = stored_keys.stored_among(spark, root, new_filings, schema.FILINGS, before=batch_no)
     kept = survivors(new_filings, stored, order)
     numbered = with_batch_ids(kept, ["doc_id"], batch_no)
     for name in ("prefix", "suffix"):
         numbered = numbered.withColumn(name, F.nullif(F.col(name), F.lit("")))
     parents = numbered.select("doc_id", *order, F.col("id").alias("filing_id"))
     lines = with_batch_ids(new_lines.join(parents, ["doc_id", *order]), ["filing_id", "sequence"], batch_no)
-    tables.write_batch(spark, root, batch_no, filings=fit(numbered, schema.FILINGS),
-                       transactions=fit(lines, schema.TRANSACTIONS))
+    tables.write_batch(spark, root, batch_no, {stored_keys.NAME: "key_bucket"}, filings=fit(numbered, schema.FILINGS),
+                       transactions=fit(lines, schema.TRANSACTIONS), **{stored_keys.NAME: stored_keys.of(kept)})
 
 
 def fit(df: DataFrame, target) -> DataFrame:

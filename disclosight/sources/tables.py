@@ -13,6 +13,8 @@ takes in all patches with smaller numbers. ``compact`` rewrites just the batches
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ COMMIT = T.StructType([T.StructField("table", T.StringType()), T.StructField("ba
 PLACE = T.StructType([T.StructField("batch_no", T.LongType()), T.StructField("version", T.LongType())])
 
 
-def _read(spark: SparkSession, structure: T.StructType, path: str) -> DataFrame:
+def read_or_none(spark: SparkSession, structure: T.StructType, path: str) -> DataFrame:
     """The rows below ``path``, none if nothing was written yet."""
     try:
         return spark.read.schema(structure).parquet(path)
@@ -39,13 +41,13 @@ def _read(spark: SparkSession, structure: T.StructType, path: str) -> DataFrame:
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
     """Latest version per table and batch."""
-    rows = _read(spark, COMMIT, f"{root}/commits/*")
+    rows = read_or_none(spark, COMMIT, f"{root}/commits/*")
     return rows.groupBy("table", "batch_no").agg(F.max("version").alias("version"))
 
 
 def is_committed(spark: SparkSession, root: str, batch_no: int) -> bool:
     """Whether the batch is visible; a look at its commit file only."""
-    return not _read(spark, COMMIT, f"{root}/commits/batch-{batch_no}").isEmpty()
+    return not read_or_none(spark, COMMIT, f"{root}/commits/batch-{batch_no}").isEmpty()
 
 
 def latest_versions(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame:
@@ -59,7 +61,7 @@ def read_batches(spark: SparkSession, root: str, name: str, schema: T.StructType
     """Committed rows of a stored table with their ``batch_no`` and ``version``, patches laid over them."""
     placed = T.StructType([*schema.fields, *PLACE.fields])
     latest = latest_versions(spark, root, name, before)
-    rows = _read(spark, placed, f"{root}/{name}").join(latest, ["batch_no", "version"], "left_semi").select(*placed.names)
+    rows = read_or_none(spark, placed, f"{root}/{name}").join(latest, ["batch_no", "version"], "left_semi").select(*placed.names)
     return overlaid(rows, root, name, schema)
 
 
@@ -70,10 +72,10 @@ def _patch_schema(schema: T.StructType, name: str) -> T.StructType:
 
 def open_patches(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
     """Committed patch rows that no version of their batch has taken in yet."""
-    done = _read(spark, COMMIT, f"{root}/commits/*").filter(F.col("table") == name + PATCHES).select("batch_no", "version").distinct()
+    done = read_or_none(spark, COMMIT, f"{root}/commits/*").filter(F.col("table") == name + PATCHES).select("batch_no", "version").distinct()
     taken = latest_versions(spark, root, name).withColumnRenamed("version", "_taken")
     due = done.join(taken, "batch_no").filter(F.col("version") > F.col("_taken")).select("batch_no", "version")
-    return _read(spark, _patch_schema(schema, name), f"{root}/{name}{PATCHES}").join(due, ["batch_no", "version"], "left_semi")
+    return read_or_none(spark, _patch_schema(schema, name), f"{root}/{name}{PATCHES}").join(due, ["batch_no", "version"], "left_semi")
 
 
 def overlaid(rows: DataFrame, root: str, name: str, schema: T.StructType) -> DataFrame:
@@ -104,8 +106,8 @@ def write_patch(changes: DataFrame, root: str, name: str, columns: list[str]) ->
     path = f"{root}/{name}{PATCHES}/version={number}"
     (changes.select("id", F.array(*[F.lit(c) for c in columns]).alias("_set"), *columns, "batch_no")
      .write.mode("overwrite").partitionBy("batch_no").parquet(path))
-    touched = _read(spark, T.StructType([PLACE["batch_no"]]), path).distinct()
-    _commit(touched.select(F.lit(name + PATCHES).alias("table"), "batch_no", F.lit(number).cast("long").alias("version")), f"{root}/commits/{name}-patch-{number}")
+    touched = read_or_none(spark, T.StructType([PLACE["batch_no"]]), path).distinct()
+    commit(touched.select(F.lit(name + PATCHES).alias("table"), "batch_no", F.lit(number).cast("long").alias("version")), f"{root}/commits/{name}-patch-{number}")
     return number
 
 
@@ -125,18 +127,27 @@ def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType,
     return read_batches(spark, root, name, schema, before).drop("batch_no", "version")
 
 
-def _commit(rows: DataFrame, path: str) -> None:
+def commit(rows: DataFrame, path: str) -> None:
     rows.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def write_batch(spark: SparkSession, root: str, batch_no: int, **frames: DataFrame) -> None:
-    """Write every named table of the batch, then commit them together; a committed batch stays as it is."""
+def write_batch(spark: SparkSession, root: str, batch_no: int, folders: dict[str, str] | None = None,
+                written: Callable[[str], None] | None = None, **frames: DataFrame) -> None:
+    """Write every named table of the batch, then commit them together; a committed batch stays as it is.
+
+    ``folders`` names a column by which a table is cut into folders; ``written`` is called for each table before the commit.
+    """
     if is_committed(spark, root, batch_no):
         return
     for name, frame in frames.items():
-        frame.write.mode("overwrite").parquet(f"{root}/{name}/batch_no={batch_no}/version=0")
+        writer = frame.write.mode("overwrite")
+        if folders and name in folders:
+            writer = writer.partitionBy(folders[name])
+        writer.parquet(f"{root}/{name}/batch_no={batch_no}/version=0")
+        if written is not None:
+            written(name)
     done = spark.createDataFrame([(name, batch_no, 0) for name in frames], "table string, batch_no long, version long")
-    _commit(done, f"{root}/commits/batch-{batch_no}")
+    commit(done, f"{root}/commits/batch-{batch_no}")
 
 
 def rewrite_batches(rows: DataFrame, root: str, name: str, version: int) -> None:
@@ -146,11 +157,12 @@ def rewrite_batches(rows: DataFrame, root: str, name: str, version: int) -> None
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_no", "version").parquet(f"{root}/{name}"))
     written = spark.read.schema(PLACE).parquet(f"{root}/{name}").filter(F.col("version") == version).distinct()
-    _commit(written.select(F.lit(name).alias("table"), "batch_no", "version"), f"{root}/commits/{name}-version-{version}")
+    commit(written.select(F.lit(name).alias("table"), "batch_no", "version"), f"{root}/commits/{name}-version-{version}")
 
 
 def next_batch_no(spark: SparkSession, root: str) -> int:
-    last = commits(spark, root).agg(F.max("batch_no")).first()[0]
+    # generations of merged keys are no batches
+    last = commits(spark, root).filter(~F.col("table").endswith("-merged")).agg(F.max("batch_no")).first()[0]
     return 0 if last is None else last + 1
 
 

@@ -12,7 +12,7 @@ from ..functions.identity import person_key
 from ..operators import joins, store
 from ..plans import curate, ingest, recompute, report_html, report_text
 from ..session import scratch_path
-from ..sources import documents, tables
+from ..sources import documents, manifest, stored_keys, tables
 from ..streaming import bursts, ingest as stream_ingest
 from . import landing
 from .adapters import filings, transactions
@@ -325,6 +325,56 @@ def t1(spark, d):
     return stored_reports(spark, root)
 
 
+# --- scans by manifest and key folders ------------------------------------------------
+
+def laid_out_store(spark, d, label):
+    """Filings and lines of the given tables, stored in two batches with manifests and key folders."""
+    root = scratch_path(spark, label)
+    f, t = store.fit(filings(spark, d), schema.FILINGS), store.fit(transactions(spark, d, assets=True), schema.TRANSACTIONS)
+    senate = f.filter("source = 'senate_efd'").select(F.col("id").alias("filing_id"))
+    for number, (filed, lines) in enumerate(((f.filter("source = 'senate_efd'"), t.join(senate, "filing_id", "left_semi")),
+                                             (f.filter("source <> 'senate_efd'"), t.join(senate, "filing_id", "left_anti")))):
+        tables.write_batch(spark, root, number, {stored_keys.NAME: "key_bucket"}, lambda name: name in manifest.LAYOUT and manifest.write(spark, root, name, number),
+                           filings=manifest.laid_out(filed, "filings"), transactions=manifest.laid_out(lines, "transactions"), **{stored_keys.NAME: stored_keys.of(filed)})
+    return root
+
+
+TICKERS, SCAN_DOCS = ("P1", "P149", "P300", "P1501", "none"), ("1", "7", "32", "4999", "14000", "no such")
+
+
+@query("s9_pruned_scan", f"""select id, ticker, txn_date, amount_min, asset_name from transactions
+    where ticker in {TICKERS} and txn_date >= date '1994-01-01' and txn_date < date '1997-07-01'""", ("transactions",))
+def s9_scan(spark, d):
+    """Lines of some tickers and days from the files that can hold them."""
+    root = laid_out_store(spark, d, "pruned")
+    found = manifest.pruned(spark, root, "transactions", schema.TRANSACTIONS, {"txn_date": ("1994-01-01", "1997-06-30")}, {"ticker": list(TICKERS)})
+    return found.filter(F.col("ticker").isin(*TICKERS) & (F.col("txn_date") >= "1994-01-01") & (F.col("txn_date") < "1997-07-01")).select(
+        "id", "ticker", "txn_date", "amount_min", "asset_name")
+
+
+@query("s9_pruned_documents", f"""select f.doc_id, f.filing_date, t.id, t.sequence from filings f join transactions t on t.filing_id = f.id
+    where f.doc_id in {SCAN_DOCS}""", FT)
+def s9_documents(spark, d):
+    """Chosen documents with their lines: the manifest finds the filings by id, and their lines by the ids of the filings."""
+    root = laid_out_store(spark, d, "documents")
+    chosen = manifest.pruned(spark, root, "filings", schema.FILINGS, keys={"doc_id": list(SCAN_DOCS)}).filter(F.col("doc_id").isin(*SCAN_DOCS))
+    ids = [r["id"] for r in chosen.select("id").collect()]  # at most as many as were asked for
+    lines = manifest.pruned(spark, root, "transactions", schema.TRANSACTIONS, keys={"filing_id": ids or [-1]})
+    return lines.join(chosen.select(F.col("id").alias("filing_id"), "doc_id", "filing_date"), "filing_id").select("doc_id", "filing_date", "id", "sequence")
+
+
+@query("j10_stored_keys", """select doc_id, true as stored from filings where doc_kind = 'efiled'
+    union all select 'new-' || doc_id, false from filings where doc_kind = 'efiled'""", ("filings",))
+def j10_keys(spark, d):
+    """Which of many documents are stored, asked in the key folders of two batches, one of them merged into a generation."""
+    root = laid_out_store(spark, d, "keys")
+    stored_keys.merge(spark, root)
+    known = filings(spark, d).filter("doc_kind = 'efiled'").select("doc_id")
+    asked = known.unionByName(known.select(F.concat(F.lit("new-"), "doc_id").alias("doc_id")))
+    found = stored_keys.stored_among(spark, root, asked, schema.FILINGS).withColumn("stored", F.lit(True))
+    return asked.join(found, "doc_id", "left").select("doc_id", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 # --- burst streams -------------------------------------------------------------------
 
 TRADE = T.StructType([T.StructField("txn_type", T.StringType()), T.StructField("ticker", T.StringType()),
