@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,55 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+class Recent(dict):
+    """Values by key that are dear to work out, at most ``entries``. When the newer half is full it becomes the older one, whose values
+    are dropped unless they are asked for meanwhile."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.half, self.older = max(1, entries // 2), {}
+
+    def keep(self, key, value):
+        if len(self) >= self.half:
+            self.older = dict(self)
+            super().clear()
+        self[key] = value
+        return value
+
+    def again(self, key):
+        """The value of a key that is not among the newer ones, or None."""
+        found = self.older.pop(key, None)
+        return None if found is None else self.keep(key, found)
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
+
+_owned: dict[str, list[Recent]] = {}
+_owner = [""]
+
+
+def owned(owner: str, cache: Recent) -> Recent:
+    """Register a cache of this worker process."""
+    _owned.setdefault(owner, []).append(cache)
+    return cache
+
+
+def working_for(owner: str) -> None:
+    """Workers serve one stage after another; the caches of all owners but this one are given back."""
+    if _owner[0] == owner:
+        return
+    _owner[0] = owner
+    others = [c for name, caches in _owned.items() if name != owner for c in caches if c or c.older]
+    for cache in others:
+        cache.clear()
+    if others:
+        gc.collect()
+        with suppress(OSError, AttributeError):  # only where the C library can give memory back
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def settle(frame: DataFrame, label: str, used: list | None = None) -> DataFrame:
     """Write a working table below ``spark.checkpoint.dir`` and read it back: lineage ends here.
 

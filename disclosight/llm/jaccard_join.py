@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_words, discard, id_bitmap, id_place, in_bitmap, settle, slices
+from .common import Recent, byte_words, discard, id_bitmap, id_place, in_bitmap, owned, settle, slices, working_for
 from .components import components
 
 N, PERCENT, FRAGMENTS, PIVOTS, FIRST_SHARE = 5, 80, 8, 3, 0.25
@@ -40,15 +40,13 @@ _LONG = np.uint64
 _SIG = [f"sig{i}" for i in range(SIGNATURE_WORDS)]
 
 
-class _WordHashes(dict):
+class _WordHashes(Recent):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
+        found = self.again(word)
+        return self.keep(word, xxhash.xxh64_intdigest(word)) if found is None else found
 
 
-_words = _WordHashes()
+_words = owned("words", _WordHashes(200_000))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +58,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """One 64-bit hash per word, A-Z lowered."""
+    working_for("words")
     words = byte_words(text, lower=True)
     return np.fromiter(map(_words.__getitem__, words), _LONG, len(words))
 

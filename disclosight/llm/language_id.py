@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices
+from .common import slices, working_for
 
 BUCKETS, DIM, SIZES = 1 << 16, 16, (2, 3, 4)
 SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 400, 256
@@ -149,6 +149,7 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], dim: int = DIM, epoc
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working_for("languages")
     for part in slices(batches, 64):
         parts, totals = subwords(part.column(2).to_pylist())
         owner = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
@@ -163,6 +164,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working_for("languages")
     rows = []
     for part in batches:
         for i in range(part.num_rows):

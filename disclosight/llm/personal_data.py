@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, slices
+from .common import WORD, slices, working_for
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, EPOCHS, RATE, ROUNDS, DAMPING, BELIEF = 2000, 6, 0.2, 12, 0.3, 0.5
@@ -292,6 +292,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    working_for("personal data")
     for part in slices(batches):
         rows = []
         for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import settle, slices
+from .common import Recent, owned, settle, slices, working_for
 
 GIANT, CHUNK, BLOCK = 32768, 16384, 64
 _NONE, _LAST = -np.inf, float("inf")
@@ -45,7 +45,7 @@ FREE = ""
 class Pieces:
     """The pieces of a model file, with caches of words, of pieces and of pairs of pieces."""
 
-    def __init__(self, path: str, words: int = 250_000, pairs: int = 500_000):
+    def __init__(self, path: str, words: int = 500_000, pairs: int = 1_000_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -65,7 +65,7 @@ class Pieces:
             self.spelled[i] = bytes([byte])
         # Merge models rank their pieces by whole negative scores, unigram models by log probabilities.
         self.merges = all(float(s).is_integer() for s in self.scores.values())
-        self.words, self.pairs, self.sound, self.most = {}, {}, {}, (words, pairs)
+        self.words, self.pairs, self.sound = Recent(words), Recent(pairs), {}
         self.runs = [b""]
 
     def foreign(self, char: str) -> bytes:
@@ -125,9 +125,9 @@ class Pieces:
             return True
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= self.most[1]:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            found = self.pairs.again((left, right))
+        if found is None:
+            found = self.pairs.keep((left, right), self.merged(left + right) == [left, right])
         return found
 
     def stands(self, piece: str) -> bool:
@@ -189,12 +189,12 @@ class Pieces:
     def word(self, word: str) -> tuple[float, bytes]:
         """Weight and ids of a space and ``word`` (without spaces)."""
         found = self.words.get(word)
+        if found is None:
+            found = self.words.again(word)
         if found is None:
             found = self._path(" " + word)
             if len(word) <= 40:
-                if len(self.words) >= self.most[0]:
-                    self.words.clear()
-                self.words[word] = found
+                self.words.keep(word, found)
         return found
 
     def spaced(self, words: list[str]) -> tuple[float, bytes]:
@@ -235,8 +235,11 @@ _LOADED: dict[str, Pieces] = {}
 
 
 def pieces(path: str) -> Pieces:
+    working_for("pieces")
     if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
+        _LOADED[path] = found = Pieces(path)
+        owned("pieces", found.words)
+        owned("pieces", found.pairs)
     return _LOADED[path]
 
 
