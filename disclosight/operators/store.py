@@ -37,10 +37,14 @@ def store(spark: SparkSession, root: str, new_filings: DataFrame, new_lines: Dat
     numbered = with_batch_ids(kept, ["doc_id"], batch_no)
     for name in ("prefix", "suffix"):
         numbered = numbered.withColumn(name, F.nullif(F.col(name), F.lit("")))
+    # worked out once for filings, lines and keys
+    work = f"{root}/work/store-{batch_no}"
+    numbered.write.mode("overwrite").parquet(work)
+    numbered = spark.read.schema(numbered.schema).parquet(work)
     parents = numbered.select("doc_id", *order, F.col("id").alias("filing_id"))
     lines = with_batch_ids(new_lines.join(parents, ["doc_id", *order]), ["filing_id", "sequence"], batch_no)
     tables.write_batch(spark, root, batch_no, {stored_keys.NAME: "key_bucket"}, filings=fit(numbered, schema.FILINGS),
-                       transactions=fit(lines, schema.TRANSACTIONS), **{stored_keys.NAME: stored_keys.of(kept)})
+                       transactions=fit(lines, schema.TRANSACTIONS), **{stored_keys.NAME: stored_keys.of(numbered)})
 
 
 def fit(df: DataFrame, target) -> DataFrame:

@@ -131,6 +131,8 @@ def clusters(transactions: DataFrame, filings: DataFrame, as_of, rules: tuple[Cl
 
     ``politicians(state_district, first_name, last_name)`` keeps clusters with a trade by any of them.
     """
+    # a ticker's bursts depend on its own trades only, so the others need not be clustered
+    transactions = filters.ticker_is(transactions, ticker.strip() if ticker and ticker.strip() else None)
     find = members if politicians is None else member_table
     return clusters_of(find(transactions, filings, rules, as_of), rules, ticker, politicians, span_days_max, start, end)
 
@@ -196,10 +198,15 @@ def parse_signal_ids(ids: DataFrame) -> DataFrame:
 
 def cluster_detail(transactions: DataFrame, filings: DataFrame, ids: DataFrame, as_of,
                    rules: tuple[ClusterRule, ...] = (BUY, SELL)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Summaries, people and trades of the signals named in ``ids(signal_id)``."""
+    """Summaries, people and trades of the signals named in ``ids(signal_id)``.
+
+    Only trades of the named tickers are clustered.
+    """
     wanted = (parse_signal_ids(ids.select("signal_id").distinct())
               .select("type", F.lower("ticker").alias("_ticker"), "start_date").distinct())
-    rows = member_table(transactions, filings, rules, as_of)
+    tickers = wanted.select("_ticker").distinct()
+    named = transactions.join(tickers, F.lower(transactions["ticker"]) == tickers["_ticker"], "left_semi")
+    rows = member_table(named, filings, rules, as_of)
     table = clusters_of(rows, rules).withColumn("_ticker", F.lower("ticker"))
     found = working_table(table.join(wanted, ["type", "_ticker", "start_date"], "left_semi").drop("_ticker"), "clusters")
     return found, people_of(rows, found), evidence_of(rows, found)

@@ -59,6 +59,8 @@ def stored_among(spark: SparkSession, root: str, documents: DataFrame, schema: T
 
     At most ``BUCKETS`` numbers come to the driver, to choose the folders. Filings of batches that wrote no keys are read themselves.
     """
+    if tables.latest_versions(spark, root, "filings", before).isEmpty():
+        return documents.select("doc_id").limit(0)
     asked = documents.select("doc_id").distinct().withColumn("key_bucket", bucket())
     touched = [r[0] for r in asked.select("key_bucket").distinct().collect()]
     known = keys(spark, root, before, touched)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .. import schema
 from ..functions.identity import person_key
 from ..operators import joins, store
-from ..plans import curate, ingest, recompute, report_html, report_text
+from ..plans import burst_log, curate, ingest, recompute, report_html, report_text
 from ..session import scratch_path
 from ..sources import documents, manifest, stored_keys, tables
 from ..streaming import bursts, ingest as stream_ingest
@@ -410,6 +410,31 @@ def t2(spark, d):
     return bursts.with_people(spark.read.parquet(out), spark.read.schema(TRADE).parquet(source))
 
 
+ALL_BURSTS_SQL = BURSTS_SQL.format(keep="").rpartition(" where end_date")[0]
+
+
+@query("c1_incremental", ALL_BURSTS_SQL, FT)
+def c1_incremental(spark, d):
+    """Bursts kept up to date over three batches of trades, the earliest days last."""
+    root = scratch_path(spark, "burst-log")
+    rows = trades(spark, d).withColumn("txn_date", F.to_date("txn_time"))
+    parts = (F.col("txn_date") >= "1996-01-01", (F.col("txn_date") < "1996-01-01") & (F.col("txn_date") >= "1993-01-01"), F.col("txn_date") < "1993-01-01")
+    for number, part in enumerate(parts):
+        burst_log.add_trades(spark, root, rows.filter(part), number)
+    return burst_log.current(spark, root).drop("revision")
+
+
+@query("t3_corrections", ALL_BURSTS_SQL, FT)
+def t3_corrections(spark, d):
+    """Exchanges arrive after everything else, most of them behind any watermark; the log ends as a job over all trades would."""
+    rows = trades(spark, d)
+    root, source, checkpoint = (scratch_path(spark, n) for n in ("corrected-log", "corrected-trades", "corrected-checkpoint"))
+    for part in (F.col("txn_type") != "E", F.col("txn_type") == "E"):
+        rows.filter(part).write.mode("append").parquet(source)
+        bursts.log_bursts(spark.readStream.schema(TRADE).parquet(source), root, checkpoint).awaitTermination()
+    return burst_log.current(spark, root).drop("revision")
+
+
 LATE_SQL = "and (txn_type <> 'E' or txn_date + 7 > (select max(txn_date) - 45 from transactions where ticker is not null and txn_type <> 'E' and txn_date <= date '2000-01-01'))"
 
 
