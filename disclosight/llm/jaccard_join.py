@@ -12,7 +12,8 @@ start. The steps, all exact for links of similarity ``percent`` / 100 or more:
    summed per pair.
 3. Candidates share an n-gram of their prefixes, and pass the position bound and the bit-signature bound on
    their overlap. So that a large group of near copies is not paired with itself, every n-gram first names
-   ``PIVOTS`` of its sets, and sets are only compared with those. After these links are made into components,
+   ``PIVOTS`` of its sets, and sets are only compared with those: each with one of them first, then with the ones that this did not
+   connect it with. After these links are made into components,
    an n-gram whose sets are of one component is done; elsewhere the sets outside its largest component are
    compared with the sets of other components, whatever their number. No candidate is left out: a pair is
    skipped only when both sets are known to be connected.
@@ -156,66 +157,78 @@ def _position_bound(percent: int) -> Column:
     return _enough(most, F.col("x.n"), F.col("y.n"), percent)
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    x_first = F.col("x.sid") < F.col("y.sid")
-    pick = lambda name: (F.when(x_first, F.col(f"x.{name}")).otherwise(F.col(f"y.{name}")),
-                         F.when(x_first, F.col(f"y.{name}")).otherwise(F.col(f"x.{name}")))
-    (a, b), (na, nb) = pick("sid"), pick("n")
-    return joined.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).distinct()
+def _pairs(x: Column, y: Column) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def _likely(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, na, nb)``: the distinct pairs that pass the signature bound. Signatures are looked up once for each pair."""
+    side = lambda name, row: facts.select(F.col("sid").alias(name), F.struct(*facts.columns).alias(row))
+    both = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return both.where(_signature_bound(percent)).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
 
 def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs that are similar enough: overlaps are counted per fragment and summed per pair."""
     parts = segments.select(F.col("sid").alias("a"), "fragment", F.col("hashes").alias("ha"))
     others = segments.select(F.col("sid").alias("b"), "fragment", F.col("hashes").alias("hb"))
-    cells = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    counted = cells.join(parts, ["a", "fragment"]).join(others, ["b", "fragment"]).select(
+    counted = pairs.join(parts, "a").join(others, ["b", "fragment"]).select(
         "a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("part"))
     return counted.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o")).where(_enough(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _postings(full: DataFrame, percent: int, used: list) -> tuple[DataFrame, DataFrame]:
-    """Prefix postings and segments of the sets that may have a link."""
+def _postings(full: DataFrame, percent: int, full_used: list, used: list) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prefix postings ``(h, sid, n, pos)``, signatures ``(sid, n, sig0...)`` and segments of the sets that may have a link."""
     rows = full.select("sid", F.explode("hashes").alias("h"))
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     unit = F.shiftrightunsigned("h", 12) / F.lit(float(1 << 52))
-    ranked = settle(rows.join(shared, "h").select("sid", "h", (F.col("df") + unit).alias("key")), "jaccard-shared", used)
+    ranked = settle(rows.join(shared, "h").select("sid", "h", (F.col("df") + unit).alias("key")), "jaccard-shared", full_used)
     cuts = ranked.agg(F.percentile_approx("key", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000).alias("c")).first()["c"] or []
     fragment = sum(((F.col("key") > c).cast("int") for c in cuts), F.lit(0))
     held = ranked.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("key", "h", fragment.alias("f")))).alias("shared"))
     sets = (full.select("sid", "n", *(F.get("signature", F.lit(i)).alias(s) for i, s in enumerate(_SIG))).join(held, "sid")
             .withColumn("own", F.col("n") - F.size("shared")).where(F.col("own") <= F.col("n") - _need("n", percent)))
-    sets = settle(sets, "jaccard-sets", used)
+    own = F.transform("shared", lambda t: F.struct(t["h"].alias("h"), t["f"].cast("byte").alias("f")))
+    sets = settle(sets.withColumn("shared", own), "jaccard-sets", used)
+    discard(full_used)  # all that follows is in the sets
     prefix = F.slice("shared", F.lit(1), (F.col("n") - _need("n", percent) + 1 - F.col("own")).cast("int"))
-    postings = sets.select("sid", "n", "own", *_SIG, F.posexplode(prefix).alias("k", "t")).select(
-        F.col("t.h").alias("h"), "sid", "n", (F.col("own") + F.col("k")).alias("pos"), *_SIG)
+    postings = sets.select("sid", "n", "own", F.posexplode(prefix).alias("k", "t")).select(
+        F.col("t.h").alias("h"), "sid", "n", (F.col("own") + F.col("k")).alias("pos"))
     segments = sets.select("sid", F.explode("shared").alias("t")).groupBy("sid", F.col("t.f").alias("fragment")).agg(F.collect_list("t.h").alias("hashes"))
-    return settle(postings, "jaccard-postings", used), settle(segments, "jaccard-segments", used)
+    return settle(postings, "jaccard-postings", used), sets.select("sid", "n", *_SIG), settle(segments, "jaccard-segments", used)
+
 
+def _rooted(rows: DataFrame, stars: DataFrame, sid: str, root: str) -> DataFrame:
+    """``rows`` with the component of the set in ``sid``."""
+    known = stars.select(F.col("u").alias(sid), F.col("v").alias(root))
+    return rows.join(known, sid, "left").withColumn(root, F.coalesce(root, sid))
 
-def links(full: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(u, v)``: sets and the smallest set of their component. ``full``: ``(sid, n, hashes, signature)``, distinct sets."""
+
+def links(full: DataFrame, percent: int = PERCENT, full_used: list | None = None) -> DataFrame:
+    """``(u, v)``: sets and the smallest set of their component. ``full``: ``(sid, n, hashes, signature)``, distinct sets, whose
+    table goes with ``full_used`` once it is read."""
     used: list = []
-    postings, segments = _postings(full, percent, used)
-    facts = postings.select("sid", "n", *_SIG).distinct()
+    postings, facts, segments = _postings(full, percent, [] if full_used is None else full_used, used)
     pivots = postings.groupBy("h").agg(*(F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("r"), "sid")).alias(f"p{i}") for i in range(PIVOTS)),
                                        F.count(F.lit(1)).alias("df")).where("df > 1")
     named = pivots.select("h", F.explode(F.array_distinct(F.array(*(F.col(f"p{i}.sid") for i in range(PIVOTS))))).alias("pivot"))
-    near = postings.select("h", "sid").join(named, "h").where("sid <> pivot").select(
-        F.greatest("sid", "pivot").alias("a"), F.least("sid", "pivot").alias("b")).distinct()
-    x = near.join(facts.select(F.col("sid").alias("a"), F.struct(*facts.columns).alias("x")), "a").join(
-        facts.select(F.col("sid").alias("b"), F.struct(*facts.columns).alias("y")), "b")
-    first = linked(_pairs(x.where(_signature_bound(percent))), segments, percent)
-    first = settle(first, "jaccard-links")
+    near = settle(postings.select("h", "sid").join(named, "h").where("sid <> pivot").select("sid", "pivot").distinct(), "jaccard-near", used)
+    # at first one partner each, on which the sets of a large group mostly agree; then the others, where they may still join something
+    one = near.groupBy("sid").agg(F.min_by("pivot", F.xxhash64("pivot")).alias("pivot"))
+    first = settle(linked(_likely(one.select(*_pairs(F.col("sid"), F.col("pivot"))), facts, percent), segments, percent), "jaccard-links")
+    stars = components(first)
+    apart = _rooted(_rooted(near, stars, "sid", "r"), stars, "pivot", "s").where("r <> s")
+    more = linked(_likely(apart.select(*_pairs(F.col("sid"), F.col("pivot"))), facts, percent), segments, percent)
+    first = settle(first.unionByName(more), "jaccard-links")
     stars = components(first)
-    placed = postings.join(stars.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = _rooted(postings, stars, "sid", "root")
     sizes = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
     open_ = sizes.groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("h", "main")
     left = placed.join(open_, "h").where("root <> main").alias("x")
     right = placed.alias("y")
     rest = left.join(right, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
-                     & ((F.col("y.root") == F.col("x.main")) | (F.col("y.root") < F.col("x.root"))) & _position_bound(percent) & _signature_bound(percent))
-    second = linked(_pairs(rest), segments, percent)
+                     & ((F.col("y.root") == F.col("x.main")) | (F.col("y.root") < F.col("x.root"))) & _position_bound(percent))
+    second = linked(_likely(rest.select(*_pairs(F.col("x.sid"), F.col("y.sid"))), facts, percent), segments, percent)
     stars = components(first.union(second).select("a", "b"))
     discard(used)
     return stars
@@ -233,8 +246,7 @@ def join(documents: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
             .join(open_kinds.select("sid", "n", F.col("doc_id").alias("chosen")), "sid").where(F.col("doc_id").eqNullSafe(F.col("chosen")))
             .select("sid", "n", "hashes", "signature").dropDuplicates(["sid"]))
     used: list = []
-    stars = links(settle(full, "jaccard-full", used), percent)
-    discard(used)
+    stars = links(settle(full, "jaccard-full", used), percent, used)
     roots = summary.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(
         stars.select(F.col("u").alias("sid"), "v"), "sid", "left").withColumn("root", F.coalesce("v", "sid"))
     least = roots.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
