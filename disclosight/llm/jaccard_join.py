@@ -15,7 +15,8 @@ start. The steps, all exact for links of similarity ``percent`` / 100 or more:
    ``PIVOTS`` of its sets, and sets are only compared with those: each with one of them first, then with the ones that this did not
    connect it with. After these links are made into components,
    an n-gram whose sets are of one component is done; elsewhere the sets outside its largest component are
-   compared with the sets of other components, whatever their number. No candidate is left out: a pair is
+   candidates of the sets of other components, whatever their number. Again each is compared with a few of them first, and then
+   all pairs whose sets are still apart. No candidate is left out: a pair is
    skipped only when both sets are known to be connected.
 
 Defined cases: a NULL or wordless text has an empty set and is linked with nothing; with fewer words than ``n`` the
@@ -204,6 +205,14 @@ def _rooted(rows: DataFrame, stars: DataFrame, sid: str, root: str) -> DataFrame
     return rows.join(known, sid, "left").withColumn(root, F.coalesce(root, sid))
 
 
+def _a_few(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each set the ones whose other set comes first in ``PIVOTS`` random orders, which all sets share."""
+    ends = pairs.select(F.col("a").alias("sid"), F.col("b").alias("other"), *pairs.columns).unionByName(
+        pairs.select(F.col("b").alias("sid"), F.col("a").alias("other"), *pairs.columns))
+    first = ends.groupBy("sid").agg(*(F.min_by(F.struct(*pairs.columns), F.xxhash64("other", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)))
+    return first.select(F.inline(F.array(*(F.col(f"p{i}") for i in range(PIVOTS))))).distinct()
+
+
 def links(full: DataFrame, percent: int = PERCENT, full_used: list | None = None) -> DataFrame:
     """``(u, v)``: sets and the smallest set of their component. ``full``: ``(sid, n, hashes, signature)``, distinct sets, whose
     table goes with ``full_used`` once it is read."""
@@ -228,8 +237,13 @@ def links(full: DataFrame, percent: int = PERCENT, full_used: list | None = None
     right = placed.alias("y")
     rest = left.join(right, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
                      & ((F.col("y.root") == F.col("x.main")) | (F.col("y.root") < F.col("x.root"))) & _position_bound(percent))
-    second = linked(_likely(rest.select(*_pairs(F.col("x.sid"), F.col("y.sid"))), facts, percent), segments, percent)
-    stars = components(first.union(second).select("a", "b"))
+    open_pairs = settle(_likely(rest.select(*_pairs(F.col("x.sid"), F.col("y.sid"))), facts, percent), "jaccard-rest", used)
+    # again a few partners each first; what they connect need not be compared pair by pair
+    some = settle(linked(_a_few(open_pairs), segments, percent), "jaccard-links")
+    stars = components(first.unionByName(some))
+    left_over = _rooted(_rooted(open_pairs, stars, "a", "r"), stars, "b", "s").where("r <> s").drop("r", "s")
+    last = linked(left_over, segments, percent)
+    stars = components(first.unionByName(some).unionByName(last))
     discard(used)
     return stars
 
