@@ -71,11 +71,11 @@ class Recent(dict):
         self.older = {}
 
 
-_owned: dict[str, list[Recent]] = {}
+_owned: dict[str, list[dict]] = {}
 _owner = [""]
 
 
-def owned(owner: str, cache: Recent) -> Recent:
+def owned(owner: str, cache: dict) -> dict:
     """Register a cache of this worker process."""
     _owned.setdefault(owner, []).append(cache)
     return cache
@@ -86,7 +86,7 @@ def working_for(owner: str) -> None:
     if _owner[0] == owner:
         return
     _owner[0] = owner
-    others = [c for name, caches in _owned.items() if name != owner for c in caches if c or c.older]
+    others = [c for name, caches in _owned.items() if name != owner for c in caches if c or getattr(c, "older", None)]
     for cache in others:
         cache.clear()
     if others:

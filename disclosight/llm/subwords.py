@@ -15,7 +15,7 @@ from struct import pack
 
 import regex
 
-from .common import Recent, owned, working_for
+from .common import owned, working_for
 
 #: The white space and the pattern of the byte-level pre-tokenizer, and its map of bytes.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -33,20 +33,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in _VISIBLE else chr(next(hidden)) for b in range(256)}
 
 
-class Encoder(Recent):
+class Encoder(dict):
     """A cache from a piece of text to its ids (little-endian unsigned 32-bit, as bytes).
 
     Keys are pieces that follow a space, without the space; a piece that no space precedes is looked up by
     ``(piece,)``. At most ``entries`` pieces and ``words`` pre-tokens are kept.
     """
 
-    def __init__(self, path: str, entries: int = 250_000, words: int = 250_000):
-        super().__init__(entries)
+    def __init__(self, path: str, entries: int = 200_000, words: int = 200_000):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
-        self.letters, self.words = _byte_letters(), Recent(words)
+        self.letters, self.entries, self.words, self.most_words = _byte_letters(), entries, {}, words
         self.space = self.letters[32]
 
     def _ids(self, token: str) -> bytes:
@@ -61,15 +61,13 @@ class Encoder(Recent):
     def _word(self, token: str) -> bytes:
         found = self.words.get(token)
         if found is None:
-            found = self.words.again(token)
-        if found is None:
-            found = self.words.keep(token, self._ids(token))
+            found = self._ids(token)
+            if len(self.words) >= self.most_words:
+                self.words.clear()
+            self.words[token] = found
         return found
 
     def __missing__(self, key) -> bytes:
-        found = self.again(key)
-        if found is not None:
-            return found
         piece = key[0] if type(key) is tuple else " " + key
         # A space and letters are one pre-token, and one mark after them is another.
         if piece[0] == " " and piece[1:].isalpha():
@@ -79,9 +77,15 @@ class Encoder(Recent):
         else:
             found = b"".join(map(self._word, _TOKEN.findall(piece)))
         if len(piece) <= 40 and "\n" not in piece:
-            self.keep(key, found)
+            if len(self) >= self.entries:
+                super().clear()
+            self[key] = found
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.words.clear()
+
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
         if not text:
@@ -102,5 +106,4 @@ def encoder(path: str) -> Encoder:
     working_for("subwords")
     if path not in _ENCODERS:
         _ENCODERS[path] = owned("subwords", Encoder(path))
-        owned("subwords", _ENCODERS[path].words)
     return _ENCODERS[path]
