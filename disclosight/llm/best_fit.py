@@ -7,7 +7,9 @@ the bin that fits best is the lowest set bit at or above the length of the piece
 open, the fullest is closed. A piece gets its place when it arrives, so a packer never holds its pieces,
 and its memory is bounded by the open bins whatever it is dealt.
 
-The stream of a packer is sorted by falling length, which lets short pieces fill what long ones leave.
+Pieces arrive in the order of their ids, not of their lengths, and a packer is dealt 64 times as many pieces as it may
+hold bins, so the bound and the closing rule decide. The hash takes the row's place in the stored table in: equal rows,
+and rows without an id, are spread over all packers.
 
 Defined cases: a NULL or empty text is the end id alone; repeated rows are packed each; a NULL id is kept.
 Columns beyond id and text are not read.
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import settle, slices
 from .subwords import encoder
 
-CAPACITY, END, OPEN_BINS, PIECES_PER_PACKER = 1024, 2, 8192, 8192
+CAPACITY, END, OPEN_BINS = 1024, 2, 1024
+PIECES_PER_PACKER = 64 * OPEN_BINS
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -62,7 +65,7 @@ class Packer:
 
     def __init__(self, capacity: int, open_bins: int):
         self.capacity, self.open_bins = capacity, open_bins
-        self.free_bits, self.by_free, self.opened, self.open = 0, [[] for _ in range(capacity + 1)], 0, 0
+        self.free_bits, self.by_free, self.opened, self.open, self.closed = 0, [[] for _ in range(capacity + 1)], 0, 0, 0
 
     def _take(self, free: int) -> int:
         bins = self.by_free[free]
@@ -88,6 +91,7 @@ class Packer:
             self.open += 1
             if self.open > self.open_bins:
                 self._take((self.free_bits & -self.free_bits).bit_length() - 1)
+                self.closed += 1
         return number, self.capacity - free
 
 
@@ -109,10 +113,10 @@ def _pack(capacity: int, open_bins: int):
 
 
 def pack(cut_documents: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, pieces_per_packer: int = PIECES_PER_PACKER) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``. ``cut_documents`` is read twice, so it should be a stored table."""
+    """Pieces with ``sequence_id`` and ``offset``. ``cut_documents`` is read twice and by the place of its rows, so it must be a stored table."""
     packers = -(-max(1, cut_documents.count()) // pieces_per_packer)
-    dealt = cut_documents.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(packers)))
-    streams = dealt.repartition("packer").sortWithinPartitions("packer", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    dealt = cut_documents.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(packers)))
+    streams = dealt.repartition("packer").sortWithinPartitions("packer", "doc_id", "piece", "ids_crc32")
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_documents.schema)
     return streams.mapInArrow(_pack(capacity, open_bins), plain + ", sequence_id long, offset long")
 

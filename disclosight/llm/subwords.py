@@ -4,7 +4,8 @@ The pre-tokenizer of the file cuts a text at places that depend on the white spa
 a space that a visible character follows, and around other white space. So a text is cut at those places,
 each distinct piece is looked up in a cache of the worker process, and only pieces not met before go through
 the pre-tokenizer pattern and the BPE model of the ``tokenizers`` library. The ids equal those of
-``Tokenizer.encode`` on the whole text, with the strings of special tokens taken as ordinary text.
+``Tokenizer.encode`` on the whole text with ``add_special_tokens=False``. A text that spells out one of the
+file's added tokens is rare, and goes through the library as a whole.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters, self.entries, self.words, self.most_words = _byte_letters(), entries, {}, words
         self.space = self.letters[32]
 
@@ -90,6 +93,9 @@ class Encoder(dict):
         """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
+        if any(map(text.__contains__, self.added)):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return pack("<%dI" % len(ids), *ids)
         if _ODD_SPACE.search(text) is None:
             first, *others = text.split(" ")
             start = self[(first,)] if first else b""

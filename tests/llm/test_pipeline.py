@@ -62,6 +62,16 @@ def test_stages(spark, make_docs, rows, tmp_path):
     assert sum(x.length for x in after) == sum(len(plain.encode(x.text, add_special_tokens=False).ids) + 1 for x in before)
 
 
+def test_one_id_with_several_texts_and_passages_without_ids(spark, make_docs, prose):
+    passage = prose(70, 80)
+    rows = [(7, prose(i, 60)) for i in range(12)] + [(7, prose(3, 60)), (8, prose(100, 60)), (None, prose(200, 60)), (None, prose(200, 60))]
+    kept = corpus_pipeline.near_copies(spark, make_docs(rows), "").collect()
+    assert sorted((str(x.doc_id), x.text) for x in kept) == sorted({(str(i), t) for i, t in rows})
+    rows = [(1, prose(300, 30) + " " + passage), (None, prose(301, 30) + " " + passage), (9, prose(302, 30) + " " + passage), (9, prose(303, 40))]
+    cut = {(x.doc_id, len(x.text.split())) for x in corpus_pipeline.repeated_passages(spark, make_docs(rows), "").collect()}
+    assert cut == {(1, 110), (None, 30), (9, 30), (9, 40)}
+
+
 def test_cut_words():
     text = "a b  c\nd e f"
     assert corpus_pipeline.cut_words(text, [(1, 2)]) == "a d e f"
