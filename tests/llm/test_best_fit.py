@@ -29,6 +29,17 @@ def test_added_tokens_as_the_library_takes_them():
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == library().encode(text, add_special_tokens=False).ids
 
 
+def test_merges_equal_the_model_of_the_library():
+    mine, r = Encoder(PATH), random.Random(4)
+    assert mine.merge is not None
+    letters = [bytes([b]) for b in range(256)] + [b" ", b"e", b"t", b"th", b"ing", b"er", b"ou", b"\xc3\xa9"] * 12
+    for _ in range(20000):
+        data = b"".join(r.choice(letters) for _ in range(r.randint(1, 30)))
+        assert mine.merge(data) == [t.id for t in mine.model.tokenize(data.decode("latin-1").translate(mine.letters))], data
+    for token in ("a" * 199, "ab" * 100, "a" * 201, "xyz" * 3000):
+        assert np.frombuffer(mine.encode(token), "<u4").tolist() == library().encode(token, add_special_tokens=False).ids
+
+
 class NaiveBins:
     """The packing rule over a plain list of [free, number, age of the entry]."""
 
