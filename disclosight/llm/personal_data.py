@@ -3,8 +3,9 @@
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers found by pattern in the whole text.
 
 The field labels the words of a document that hold a digit or an ``@`` (all other words are fixed as
-"other"). Its graph has chain edges between neighbouring words and skip edges between distant words that are
-the same or similar: equal without case and outer punctuation, equal in their last seven digits, or equal up
+"other"). The words of a base span are one node, and so are neighbouring words that together spell the last
+``LEAST_DIGITS`` digits of a base phone or card: numbers are mostly written with spaces. The graph has chain edges between neighbouring words and skip edges between distant words that are
+the same or similar: equal without case and outer punctuation, equal in their last ``LEAST_DIGITS`` digits, or equal up
 to their ``@``. An occurrence is joined with the nearest one in a base span, however far away; without one, and among base
 spans, equal keys are joined from one occurrence to the next. So the graph grows with the document, and repeats that are
 tied to a base span do not outvote it. The words of base spans keep their label; loopy message
@@ -38,6 +39,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE, EPOCHS, RATE, ROUNDS, DAMPING, BELIEF = 2000, 6, 0.2, 12, 0.3, 0.5
 #: Prior mean of the skip potential between equal labels, and the characters that a word needs to be compared.
 SKIP_PRIOR, LEAST_KEY = 4.0, 6
+#: Digits that numbers must share at their end, and the most that a number written in several words has (a card's).
+LEAST_DIGITS, MOST_DIGITS = 7, 19
 
 #: The patterns; possessive repeats and the look-behind change no match, they only avoid repeated scans of long runs.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,6 +50,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = re.compile(r"^[^0-9A-Za-z+(@]+|[^0-9A-Za-z)@]+$")
+_NUMBER = re.compile(r"\+?[\x20().0-9-]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -124,31 +128,76 @@ def _keys(word: str) -> set[tuple[str, str]]:
     core = _EDGE.sub("", word).lower()
     digits = _digits(core)
     keys = {("word", core)} if sum(map(str.isalnum, core)) >= LEAST_KEY else set()
-    if len(digits) >= 7 and not any(c.isalpha() for c in core):
-        keys.add(("digits", digits[-7:]))
+    if len(digits) >= LEAST_DIGITS and not any(c.isalpha() for c in core):
+        keys.add(("digits", digits[-LEAST_DIGITS:]))
     if "@" in core:
         keys.add(("local", core.partition("@")[0]))
     return keys
 
 
+def _spelled_again(text: str, words: list[tuple[int, int]], chosen: list[int], free: np.ndarray, numbers: set[str]) -> Iterator[tuple[int, int]]:
+    """Places ``(first, last)`` in ``chosen`` of neighbouring free words that spell a base number again, from right to left.
+
+    Of the runs that end in one word, the longest whose digits are the end of a base number, but for a 0 before them, is taken, else the
+    shortest with its last ``LEAST_DIGITS`` digits. No run has more than ``MOST_DIGITS`` digits, so each word opens few.
+    """
+    ends = {n[-LEAST_DIGITS:] for n in numbers}
+    tails = {n[-size:] for n in numbers for size in range(LEAST_DIGITS, len(n) + 1)}
+    own = [_digits(text[slice(*words[i])]) if free[at] else "" for at, i in enumerate(chosen)]
+    last = len(chosen) - 1
+    while last >= 0:
+        digits, first, tail, other = own[last], last, last, last
+        while digits and len(digits) <= MOST_DIGITS:
+            if digits[-LEAST_DIGITS:] in ends and (first == last or _NUMBER.fullmatch(_EDGE.sub("", text[words[chosen[first]][0]:words[chosen[last]][1]]))):
+                if digits in tails or digits.removeprefix("0") in tails:
+                    tail = first
+                elif other == last and len(own[last]) < LEAST_DIGITS:
+                    other = first
+            before = first - 1
+            if before < 0 or not own[before] or chosen[before] != chosen[first] - 1 or text[words[chosen[before]][1]:words[chosen[first]][0]] != " ":
+                break
+            digits, first = own[before] + digits, before
+        begin = tail if tail < last else other
+        if begin < last:
+            yield begin, last
+        last = begin - 1
+
+
 def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     chosen = [i for i, (a, b) in enumerate(words) if "@" in text[a:b] or _DIGIT.search(text, a, b)]
-    spell = lambda i: text[words[i][0]:words[i][1]] if 0 <= i < len(words) else ""
-    places, rows, edges, held = [words[i] for i in chosen], [], [], {}
-    labels = np.zeros(len(chosen), np.int64)
-    for at, i in enumerate(chosen):
-        rows.append(_features(spell(i), spell(i - 1), spell(i + 1)))
-        if at and chosen[at - 1] == i - 1:
+    spell = lambda i, j: text[words[i][0]:words[j][1]] if 0 <= i and j < len(words) else ""
+    starts, ends = (np.array([words[i][side] for i in chosen], np.int64) for side in (0, 1))
+    kinds, inner, more = np.zeros(len(chosen), np.int64), np.zeros(len(chosen), bool), {}
+    for kind, a, b in reversed(spans):
+        first, last = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b))
+        kinds[first:last] = kind + 1
+        inner[first + 1:last] = True
+    numbers = {d for kind, a, b in spans if KINDS[kind] in ("card", "phone") and len(d := _digits(text[a:b])) >= LEAST_DIGITS}
+    if numbers:
+        for kind, a, b in spans:
+            if KINDS[kind] in ("card", "phone"):
+                more.setdefault(int(np.searchsorted(ends, a, "right")), set()).add(("digits", _digits(text[a:b])[-LEAST_DIGITS:]))
+        for first, last in _spelled_again(text, words, chosen, kinds == 0, numbers):
+            inner[first + 1:last + 1] = True
+    heads = np.flatnonzero(~inner)
+    tails = np.append(heads[1:], len(chosen)) - 1
+    places, rows, edges, held = [], [], [], {}
+    labels = kinds[heads]
+    for at, (first, last) in enumerate(zip(heads.tolist(), tails.tolist())):
+        i, j = chosen[first], chosen[last]
+        places.append((words[i][0], words[j][1]))
+        rows.append(_features(spell(i, j), spell(i - 1, i - 1), spell(j + 1, j + 1)))
+        if at and chosen[first - 1] == i - 1:
             edges.append((at - 1, at, 0))
-        for key in sorted(_keys(spell(i))):
+        keys = _keys(spell(i, j))
+        for member in range(first, last + 1) if first < last else ():
+            keys |= _keys(spell(chosen[member], chosen[member]))
+        for member in range(first, last + 1):
+            keys |= more.get(member, set())
+        for key in sorted(keys):
             held.setdefault(key, []).append(at)
-    starts = np.array([a for a, _ in places], np.int64)
-    for kind, a, b in reversed(spans):
-        for at in range(max(0, int(np.searchsorted(starts, a, "right")) - 1), int(np.searchsorted(starts, b))):
-            if places[at][1] > a:
-                labels[at] = kind + 1
-    tied, loose = np.zeros(len(chosen), bool), []
+    tied, loose = np.zeros(len(places), bool), []
     for at in map(np.array, held.values()):
         known, free = at[labels[at] > 0], at[labels[at] == 0]
         loose.append(free if not len(known) else known)
@@ -159,7 +208,7 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
             edges += [(min(i, j), max(i, j), 1) for i, j in zip(free.tolist(), near.tolist())]
             tied[free] = True
     edges += [(i, j, 1) for at in loose for i, j in zip(at[:-1].tolist(), at[1:].tolist()) if not (tied[i] and tied[j])]
-    return Graph(places, np.array(rows, np.float64).reshape(len(rows), N_FEATURES), labels, np.array(sorted(set(edges)), np.int64).reshape(-1, 3))
+    return Graph(places, np.array(rows, np.float64).reshape(-1, N_FEATURES), labels, np.array(sorted(set(edges)), np.int64).reshape(-1, 3))
 
 
 class Weights(NamedTuple):

@@ -99,6 +99,60 @@ def test_repeats_far_from_the_base_span(learned, prose):
             assert len(g.edges) <= 3 * len(g.places)
 
 
+@pytest.mark.parametrize("base, again", [
+    ("+1 415 555 0134", "4155550134"), ("+1 415 555 0134", "415 555 0134"), ("+1 415 555 0134", "(415) 555-0134"), ("+1 415 555 0134", "555 01 34"),
+    ("+1 415 555 0134", "415-555-0134"), ("+49 (30) 555-7713", "555 7713"), ("4012 8888 8888 1881", "8888 8888 1881"), ("4012 8888 8888 1881", "40128888 88881881"), ("+4930 5557713", "030 5557713")])
+def test_numbers_in_several_words(learned, prose, base, again):
+    _, weights = learned
+    for times in (1, 3, 40):
+        text = " ".join([prose(3, 10), "in 2024,", base, prose(4, 20), *[f"{again}, {prose(i, 20)}" for i in range(times)]])
+        spans = pii.base_spans(text)
+        found = [text[a:b] for _, a, b in sorted(pii.added_spans(text, spans, weights), key=lambda s: s[1])]
+        assert found == ([again] * times if pii.base_spans(again) == [] else []), (spans, found)
+    others = f"{base} {prose(5, 5)} 2 555 0135 and 415 555, 2024 0134 or 99 0 1 2 3 4"
+    assert pii.added_spans(others, pii.base_spans(others), weights) == []
+    untied = f"{prose(5, 5)} {again} and {again}"
+    assert pii.base_spans(untied) or not pii.added_spans(untied, [], weights)
+
+
+def test_numbers_next_to_other_numbers(learned):
+    """The end of a base number is taken as far as it goes and no farther."""
+    text = "call +1 415 555 0134 or 7 415 555 0134 12 and 22 555 0134"
+    found = [text[a:b] for _, a, b in pii.added_spans(text, pii.base_spans(text), learned[1])]
+    assert found == ["415 555 0134", "555 0134"]
+
+
+def test_added_spans_against_all_labellings():
+    """The spans added are those whose belief, from all labellings of the graph, is high; close calls may differ."""
+    r, clear = random.Random(5), 0
+    for seed in range(60):
+        weights = pii.start_weights()
+        draw = np.random.default_rng(seed)
+        weights.words[:] = draw.normal(size=weights.words.shape) * 0.3
+        weights.pairs[0] = draw.normal(size=weights.pairs[0].shape) * 0.3
+        pieces = ["+1 415 555 0134", "a.bcd@mail.example"] + r.sample(["415 555 0134", "5550134", "a.bcd@mail", "12 34", "x9", "A.BCD@other"], 3)
+        r.shuffle(pieces)
+        text = " and ".join(pieces)
+        spans = pii.base_spans(text)
+        g = pii.graph(text, spans)
+        assert len(g.places) <= 6
+        unary = g.features @ weights.words.T
+        for at in np.flatnonzero(g.labels):
+            unary[at] = -1000.0
+            unary[at, g.labels[at]] = 0.0
+        own = exact_beliefs(unary, g.edges.tolist(), weights.pairs)
+        added = {(k, a) for k, a, _ in pii.added_spans(text, spans, weights)}
+        for at in np.flatnonzero(g.labels == 0):
+            for kind in range(1, 5):
+                tied = pii._tied(g, kind)[at]
+                if not tied:
+                    assert (kind - 1, g.places[at][0]) not in added
+                elif abs(own[at, kind] - pii.BELIEF) > 0.15:
+                    assert ((kind - 1, g.places[at][0]) in added) == (own[at, kind] > pii.BELIEF)
+                    clear += 1
+    assert clear > 60
+
+
 def test_columns(make_docs, learned, prose):
     rows, weights = learned
     rows = rows[:40] + [(900, None), (901, ""), (None, "x@y.zz"), (1, rows[1][1]), (902, prose(1, 30000) + " 9.9.9.9 " + prose(2, 10)), (903, "é +49 30 1234567 é")]
