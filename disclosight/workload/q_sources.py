@@ -273,18 +273,30 @@ def k4(spark, d):
     return spark.read.schema(snapshot.schema).json(path).select("bioguide_id", "last_name", "first_name")
 
 
-@query("j12_snapshot_diff", """select bioguide_id, case state when 'AF' then 'added' when 'AS' then 'removed' else 'changed' end as kind,
+DIFF_SQL = """select bioguide_id, case state when 'AF' then 'added' when 'AS' then 'removed' else 'changed' end as kind,
       case when state not in ('AF', 'AS') then 'party' end as field from members
       where state in ('AF', 'AS') or first_name = 'Edward'
-    union all select bioguide_id, 'changed', 'terms' from members where state not in ('AF', 'AS') and end2 is null""", ("members",))
-def j12(spark, d):
+    union all select bioguide_id, 'changed', 'terms' from members where state not in ('AF', 'AS') and end2 is null"""
+
+
+def _two_snapshots(spark, d):
     now = landing.roster(spark, d)
     old = now.filter("state <> 'AF'")
     ended = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.coalesce(t["end"], F.lit("2009-01-03").cast("date")).alias("end"),
                                                     t["district"].alias("district")))
     new = (now.filter("state <> 'AS'").withColumn("party", F.when(F.col("first_name") == "Edward", "I").otherwise(F.col("party")))
            .withColumn("terms", ended))
-    return roster.snapshot_diff(old, new).select("bioguide_id", "kind", "field")
+    return old, new
+
+
+@query("j12_snapshot_diff", DIFF_SQL, ("members",))
+def j12(spark, d):
+    return roster.snapshot_diff(*_two_snapshots(spark, d)).select("bioguide_id", "kind", "field")
+
+
+@query("j12_bucket_diff", DIFF_SQL, ("members",))
+def j12_buckets(spark, d):
+    return roster.bucket_diff(*_two_snapshots(spark, d)).select("bioguide_id", "kind", "field")
 
 
 @query("j12_senate_snapshot_diff", """select bioguide_id, 'changed' as kind, 'given_name' as field from members

@@ -122,3 +122,38 @@ def test_unusable_records_and_stale_corrections_fail(spark):
     sen = spark.createDataFrame([record("V000137", "J", "Vance", "J Vance", [("sen", "2023-01-04", "2025-01-09", None, "OH", "R")])], RAW)
     with pytest.raises(Exception, match="stale service correction"):
         roster.senate_snapshot(sen, "2026-01-01", roster.verified_corrections(spark)).collect()
+
+
+def test_bucket_diff(spark):
+    """The differences of two large snapshots, from the buckets that differ alone."""
+    rows = [(f"M{i}", f"Name{i % 50}", None if i % 9 == 0 else "Ann", "A", [], "NJ", "I" if i % 7 else None, [(day("2001-01-03"), None, i % 12)]) for i in range(3000)]
+    old = spark.createDataFrame(rows, MEMBER)
+    assert roster.differing_buckets(old, old.repartition(5), roster.HOUSE_FIELDS, 64).count() == 0
+    assert roster.bucket_diff(old, old.repartition(5)).count() == 0
+    changed = [list(r) for r in rows if r[0] not in ("M5", "M6")] + [["N1", "New", "Eve", "E", [], "TX", None, []]]
+    changed[0][2], changed[0][6] = "I", "I"
+    changed[20][7] = [(day("2001-01-03"), day("2005-01-03"), 20 % 12)]
+    changed[30][5], changed[30][6] = None, "NJ"
+    changed[31][4] = ["not compared"]
+    new = spark.createDataFrame(changed, MEMBER)
+    for fields in (roster.HOUSE_FIELDS, roster.SENATE_FIELDS):
+        want = {tuple(r) for r in roster.snapshot_diff(old, new, fields).collect()}
+        for buckets in (1, 64, 4096):
+            got = [tuple(r) for r in roster.bucket_diff(old, new, fields, buckets).collect()]
+            assert set(got) == want and len(got) == len(want)
+    assert {(r[0], r[1]) for r in want} == {("M5", "removed"), ("M6", "removed"), ("N1", "added"), (changed[0][0], "changed"), (changed[20][0], "changed"), (changed[30][0], "changed")}
+    open_ = roster.differing_buckets(old, new, roster.HOUSE_FIELDS, 4096)
+    assert open_.count() <= 6
+    empty = old.limit(0)
+    assert roster.bucket_diff(empty, empty).count() == 0
+    assert {r.kind for r in roster.bucket_diff(empty, old).collect()} == {"added"} and roster.bucket_diff(old, empty).count() == 3000
+
+
+def test_bucket_diff_filters_before_the_join(spark, capsys):
+    """Both sides are filtered by the sent table of differing buckets, and nothing is compared row by row with all rows."""
+    old = spark.createDataFrame([(f"M{i}", "A", "B", "B", [], "NJ", None, []) for i in range(200)], MEMBER)
+    new = old.withColumn("party", F.when(F.col("bioguide_id") == "M7", "I").otherwise(F.col("party")))
+    roster.bucket_diff(old, new).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("BroadcastHashJoin [bucket") + plan.count("LeftSemi") >= 2
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
