@@ -56,7 +56,7 @@ def parse_sort(sort: str | None, keys: dict, default: str) -> tuple[str, Column,
     return key, keys[key](key), descending
 
 
-def _nulls_last(col: Column, descending: bool) -> Column:
+def nulls_last(col: Column, descending: bool) -> Column:
     return col.desc_nulls_last() if descending else col.asc_nulls_last()
 
 
@@ -76,7 +76,7 @@ def transaction_keys(sort: str | None) -> list[tuple[Column, bool]]:
 
 
 def transaction_order(sort: str | None) -> list[Column]:
-    return [*(_nulls_last(col, descending) for col, descending in transaction_keys(sort)[:-1]), F.col("id").asc()]
+    return [*(nulls_last(col, descending) for col, descending in transaction_keys(sort)[:-1]), F.col("id").asc()]
 
 
 def beyond(keys: list[tuple[Column, bool]], last: list) -> Column:
@@ -92,18 +92,18 @@ def beyond(keys: list[tuple[Column, bool]], last: list) -> Column:
 
 def page_after(df: DataFrame, keys: list[tuple[Column, bool]], last: list, limit: int = PAGE_LIMIT_DEFAULT) -> DataFrame:
     """The page after the row with the key values ``last``: as cheap far behind as in front, unlike an offset."""
-    return page(df.filter(beyond(keys, last)), [_nulls_last(col, descending) for col, descending in keys], limit)
+    return page(df.filter(beyond(keys, last)), [nulls_last(col, descending) for col, descending in keys], limit)
 
 
 def signal_order(sort: str | None) -> list[Column]:
     _, col, descending = parse_sort(sort, SIGNAL_SORTS, "politician_count")
-    return [_nulls_last(col, descending), F.col("ticker").asc(), F.col("start_date").asc()]
+    return [nulls_last(col, descending), F.col("ticker").asc(), F.col("start_date").asc()]
 
 
 def politician_order(sort: str | None) -> list[Column]:
     _, col, descending = parse_sort(sort, POLITICIAN_SORTS, "last_name")
     names = ["last_name", "first_name", "state_district"]
-    return [_nulls_last(col, descending), *[F.lower(n).asc() for n in names],
+    return [nulls_last(col, descending), *[F.lower(n).asc() for n in names],
             *[F.col(n).asc() for n in names]]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import lag_days
 from ..functions.identity import person_key, resolve_person_ids
-from ..operators import aggregates, filters, joins, ordering
+from ..operators import aggregates, filters, joins, order_index, ordering
 from ..plans import browse
 from ..session import working_table
 from .adapters import filings, table, transactions
@@ -353,6 +353,21 @@ _AFTER_SQL = """select sort_key, id, row_number() over (partition by sort_key or
 _AFTER_KEYS = {"-amount_max": "amount_max desc nulls last", "ticker": "lower(ticker) asc nulls last", "-amount_min": "amount_min desc, amount_max desc nulls last"}
 
 
+@query("o6_deep_page", " union all ".join(
+    f"select '{key}' as sort_key, id, row_number() over (order by {order}, id) as pos, count(*) over () as total from transactions qualify pos > total - 50"
+    for key, order in _AFTER_KEYS.items()), ("transactions",))
+def o6_deep(spark, d):
+    """The last 50 rows of each order, found in its index, with the number of all rows."""
+    rows, pages = transactions(spark, d), []
+    for sort in _AFTER_KEYS:
+        index = order_index.build(rows, ordering.transaction_keys(sort), 32)
+        offset = max(0, index.total - 50)
+        found = order_index.page(rows, "id", index, 50, offset)
+        pages.append(ranked(found, ordering.transaction_order(sort)).withColumn("pos", F.col("pos") + F.lit(offset).cast("long"))
+                     .withColumn("sort_key", F.lit(sort)).withColumn("total", F.lit(index.total).cast("long")))
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
 @query("o6_page_after", _AFTER_SQL.format(parts=" union all ".join(
     f"select '{key}' as sort_key, id, row_number() over (order by {order}, id) as pos from transactions" for key, order in _AFTER_KEYS.items())),
        ("transactions",))

@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 from conftest import BASE
 
-from disclosight.operators import ordering
+from disclosight.operators import order_index, ordering
 from disclosight.plans import signals
 
 AS_OF = dt.date(2024, 9, 1)
@@ -135,3 +135,27 @@ def test_pages_after_a_row_follow_each_other(spark):
             got += [r["id"] for r in rows]
             last = list(rows[-1])[1:]
         assert got == want
+
+
+def test_deep_pages_from_an_order_index(spark):
+    """A third of the rows share their leading keys, others have none; every page equals its part of the sorted table."""
+    df = spark.createDataFrame([(i, 7 if i % 3 == 0 else (i * 7) % 50 or None, (i * 3) % 4 or None) for i in range(600)],
+                               "id long, amount_min long, amount_max long").repartition(4)
+    for sort in ("amount_min", "-amount_min", "-amount_max"):
+        want = [r["id"] for r in df.orderBy(*ordering.transaction_order(sort)).collect()]
+        index = order_index.build(df, ordering.transaction_keys(sort), 8)
+        assert index.total == 600 and max(index.counts) < 200
+        for limit, offset in ((50, 0), (50, 550), (100, 333), (1, 599), (100, 590), (10, 600), (10, 5000)):
+            keys = order_index.page_keys(index, limit, offset).collect()
+            assert [list(r)[-1] for r in keys] == want[offset:offset + limit]
+            ranges, before = order_index.touched(index, limit, offset)
+            read = sum(index.counts[i] for i in ranges)
+            assert before <= offset and (offset >= 600) == (not ranges) and read <= limit + 2 * max(index.counts)
+        assert {r["id"] for r in order_index.page(df, "id", index, 20, 300).collect()} == set(want[300:320])
+        plan = order_index.page_keys(index, 1, 599)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters" in plan and "range" in plan.split("PartitionFilters")[1].split("]")[0]
+    nothing = order_index.build(df.limit(0), ordering.transaction_keys("amount_min"), 4)
+    assert nothing.total == 0 and order_index.page_keys(nothing, 5, 0).collect() == []
+    for bad in ((0, 0), (101, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            order_index.page_keys(nothing, *bad)
