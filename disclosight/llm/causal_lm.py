@@ -7,8 +7,12 @@ Frequent ids are classes of their own; the others share classes of about equal m
 each begins ``STRIDE`` ids after the last one and scores only its last ``STRIDE`` ids, so every id is
 scored once, with at least ``WINDOW - STRIDE`` ids of context (start symbols before the text begins).
 
-What comes from where: word counts, id counts and classes come from *all* training documents; the weights of the
-attention layer are trained on a bounded sample of them (``SAMPLE`` documents by a hash of the id, ``STEPS`` batches).
+What comes from where: word counts, id counts, classes and the weights of the attention layer come from *all* training
+documents; every window of every one of them is in a batch. Training goes in rounds over parts of the documents by a hash of
+the id: the first round sees about ``FIRST`` windows, the next one goes up to an eighth of all, the last one sees all others. In a
+round each task goes on from the same weights over the documents of its partition, and the means of the results, by the
+windows that they saw, are the weights of the next round. A corpus of fewer than ``LEAST`` windows is gone over several times.
+Which documents are trained on together follows the partitions of the table, so scores depend on them a little.
 
 The base score is a smoothed unigram score over words. Words that hold at least 1 / ``HEAD`` of all training
 tokens (there can be at most ``HEAD`` of them) are sent to every task; counts of all other words are joined by
@@ -28,13 +32,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import lower_words, settle, slices
 from .subwords import encoder
 
 WINDOW, STRIDE, DIM, CLASSES, OWN_CLASSES, OWN_INPUTS, SHARED_INPUTS = 24, 16, 16, 96, 64, 1023, 256
-SAMPLE, STEPS, BATCH, RATE, SEED, AT_ONCE = 600, 1500, 64, 0.01, 11, 128
+FIRST, LEAST, BATCH, RATE, SEED, AT_ONCE = 200_000, 96_000, 128, 0.01, 11, 128
+#: Parts of the documents that the rounds end at, after the first one, the pace at which each round begins, and the last pace.
+ROUNDS, PACES, LAST_PACE = (0.125, 1.0), (1.0, 0.3, 0.1), 0.02
 VOCABULARY, HEAD, HELD_OUT, SMOOTH = 50257, 500_000, 10, 0.1
 END, MOST_COUNTED = VOCABULARY - 1, 250_000
 
@@ -74,55 +81,57 @@ def fresh_weights(seed: int = SEED) -> dict[str, np.ndarray]:
     return {n: random.normal(0, 0.1 if n in ("tokens", "places") else DIM ** -0.5, s).astype(np.float32) for n, s in _SHAPES.items()}
 
 
-def _attend(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Masked attention over a batch of windows, for their last ``STRIDE`` places.
+def _gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss and gradients of masked attention over a batch of windows, for their last ``STRIDE`` places; ``weight`` is 0 for padding.
 
-    inputs: (windows, WINDOW) rows of the input table. The sums of the softmax come out of the same product as the
-    mean of the values.
+    inputs: (windows, WINDOW) rows of the input table. Products over all places are taken at once, keys and values together.
     """
-    x = w["tokens"][inputs]
+    kind, count = w["q"].dtype, len(inputs)
+    scale = kind.type(DIM ** -0.5)
+    x = w["tokens"].take(inputs, axis=0)
     x += w["places"]
-    own = x[:, CONTEXT:]
-    q, k = own @ (w["q"] * np.float32(DIM ** -0.5)), x @ w["k"]
-    v = np.ones((*inputs.shape, DIM + 1), x.dtype)
-    np.matmul(x, w["v"], out=v[..., :DIM])
+    every, own = x.reshape(-1, DIM), np.ascontiguousarray(x[:, CONTEXT:]).reshape(-1, DIM)
+    to_kv = np.concatenate([w["k"], w["v"]], axis=1)
+    kv = (every @ to_kv).reshape(count, WINDOW, 2 * DIM)
+    k, v = (np.ascontiguousarray(part) for part in (kv[..., :DIM], kv[..., DIM:]))
+    q = (own @ (w["q"] * scale)).reshape(count, STRIDE, DIM)
     a = q @ k.transpose(0, 2, 1)
     np.clip(a, -60.0, 60.0, out=a)
     np.exp(a, out=a)
     a *= _PAST
-    c = a @ v
-    total = c[..., DIM:]
-    c = c[..., :DIM] / total
-    return x, q, k, v[..., :DIM], a, total, c, own + c @ w["o"]
-
-
-def _gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradients of a batch; ``weight`` is 0 for padding."""
-    x, q, k, v, a, sums, c, h = _attend(w, inputs)
-    a = a / sums
-    p = np.exp(np.clip(h @ w["out"], -60.0, 60.0))
-    p /= p.sum(axis=-1, keepdims=True)
+    a /= a @ np.ones((WINDOW, 1), kind)
+    c = (a @ v).reshape(-1, DIM)
+    h = own + c @ w["o"]
+    p = h @ w["out"]
+    np.clip(p, -60.0, 60.0, out=p)
+    np.exp(p, out=p)
+    sums = p @ np.ones(CLASSES, kind)
+    rows, targets, weight = np.arange(len(p)), targets.ravel(), weight.ravel()
     total = max(1.0, float(weight.sum()))
-    rows, places = np.indices(targets.shape)
-    loss = float(-(np.log(p[rows, places, targets] + 1e-12) * weight).sum() / total)
-    d = p
-    d[rows, places, targets] -= 1.0
-    d *= (weight / total)[..., None].astype(np.float32)
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    g = {"out": flat(h).T @ flat(d)}
-    dh = d @ w["out"].T
-    g["o"] = flat(c).T @ flat(dh)
-    dc = dh @ w["o"].T
-    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
-    scale = np.float32(DIM ** -0.5)
-    dq, dk = (ds @ k) * scale, ds.transpose(0, 2, 1) @ q
-    g |= {"q": flat(x[:, CONTEXT:]).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, CONTEXT:] += dh + dq @ w["q"].T
+    loss = float(-(np.log(p[rows, targets] / sums + 1e-12) * weight).sum() / total)
+    share = (weight / total).astype(kind)
+    p *= (share / sums)[:, None]
+    p[rows, targets] -= share
+    g = {"out": h.T @ p}
+    dh = p @ w["out"].T
+    g["o"] = c.T @ dh
+    flat_dc = dh @ w["o"].T
+    dc = flat_dc.reshape(count, STRIDE, DIM)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= (flat_dc * c).sum(axis=1).reshape(count, STRIDE, 1)
+    ds *= a
+    dq = (ds @ k).reshape(-1, DIM) * scale
+    dkv = np.empty((count, WINDOW, 2 * DIM), kind)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :DIM])
+    np.matmul(a.transpose(0, 2, 1), dc, out=dkv[..., DIM:])
+    dkv = dkv.reshape(-1, 2 * DIM)
+    both = every.T @ dkv
+    g |= {"q": own.T @ dq, "k": both[:, :DIM], "v": both[:, DIM:]}
+    dx = (dkv @ to_kv.T).reshape(count, WINDOW, DIM)
+    dx[:, CONTEXT:] += (dh + dq @ w["q"].T).reshape(count, STRIDE, DIM)
     g["places"] = dx.sum(axis=0)
-    g["tokens"] = np.zeros_like(w["tokens"])
-    np.add.at(g["tokens"], inputs.ravel(), flat(dx))
+    cells = (inputs.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+    g["tokens"] = np.bincount(cells, weights=dx.ravel(), minlength=w["tokens"].size).reshape(w["tokens"].shape).astype(kind)
     return loss, g
 
 
@@ -153,26 +162,45 @@ def laid_out(sequences: list[np.ndarray], vocab: Vocabulary) -> Layout:
     return Layout(flat, before, first[owner] + start, first[owner] + gap * owner + start, lengths[owner] - start, owner)
 
 
-def train(sequences: list[np.ndarray], vocab: Vocabulary, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Attention weights fitted to the sequences by Adam."""
-    w = fresh_weights(seed)
+class Adam:
+    """Weights and what Adam remembers of their gradients; the pace falls from ``begin`` to ``end`` over ``windows`` windows."""
+
+    def __init__(self, weights: dict[str, np.ndarray], windows: float, begin: float = RATE, end: float = 0.0, seed: int = SEED):
+        self.weights, self.windows, self.begin, self.end = {n: x.copy() for n, x in weights.items()}, max(1.0, windows), begin, end
+        self.mean, self.square = ({n: np.zeros_like(x) for n, x in weights.items()} for _ in range(2))
+        self.random, self.step, self.seen = np.random.default_rng(seed), 0, 0
+
+    def learn(self, lay: Layout, chosen: np.ndarray, vocab: Vocabulary) -> None:
+        """One step, from the chosen windows."""
+        span = np.arange(STRIDE)
+        weight = (span < lay.left[chosen, None]).astype(np.float32)
+        _, g = _gradients(self.weights, lay.before[lay.source[chosen, None] + np.arange(WINDOW)], vocab.classes[lay.flat[lay.place[chosen, None] + span]], weight)
+        pace = self.begin + (self.end - self.begin) * min(1.0, self.seen / self.windows)
+        self.step, self.seen = self.step + 1, self.seen + len(chosen)
+        for n, w in self.weights.items():
+            self.mean[n] += 0.1 * (g[n] - self.mean[n])
+            self.square[n] += 0.01 * (g[n] ** 2 - self.square[n])
+            w -= (pace * (self.mean[n] / (1 - 0.9 ** self.step)) / (np.sqrt(self.square[n] / (1 - 0.99 ** self.step)) + 1e-8)).astype(np.float32)
+
+
+def go_over(sequences: list[np.ndarray], vocab: Vocabulary, adam: Adam, windows: int | None = None, batch: int = BATCH) -> None:
+    """Steps over all windows of the sequences in random order; over ``windows`` of them, none twice before all were seen."""
     sequences = [s for s in sequences if len(s)]
     if not sequences:
-        return w
+        return
     lay = laid_out(sequences, vocab)
-    random = np.random.default_rng(seed)
-    mean, square = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
-    span, wide = np.arange(STRIDE), np.arange(WINDOW)
-    for step in range(1, steps + 1):
-        chosen = random.integers(0, len(lay.place), batch)
-        weight = (span < lay.left[chosen, None]).astype(np.float32)
-        _, g = _gradients(w, lay.before[lay.source[chosen, None] + wide], vocab.classes[lay.flat[lay.place[chosen, None] + span]], weight)
-        pace = rate * (1 - step / (steps + 1))
-        for n in w:
-            mean[n] += 0.1 * (g[n] - mean[n])
-            square[n] += 0.01 * (g[n] ** 2 - square[n])
-            w[n] -= (pace * (mean[n] / (1 - 0.9 ** step)) / (np.sqrt(square[n] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-    return w
+    count = len(lay.place)
+    windows = count if windows is None else windows
+    order = np.concatenate([adam.random.permutation(count) for _ in range(-(-windows // count))])[:windows]
+    for low in range(0, windows, batch):
+        adam.learn(lay, order[low:low + batch], vocab)
+
+
+def train(sequences: list[np.ndarray], vocab: Vocabulary, steps: int = LEAST // BATCH, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> dict[str, np.ndarray]:
+    """Attention weights fitted to the sequences alone, in a number of steps."""
+    adam = Adam(fresh_weights(seed), steps * batch, rate, 0.0, seed)
+    go_over(sequences, vocab, adam, steps * batch, batch)
+    return adam.weights
 
 
 def _window_scores(lay: Layout, part: slice, vocab: Vocabulary, w: dict[str, np.ndarray], bound: float) -> np.ndarray:
@@ -182,7 +210,7 @@ def _window_scores(lay: Layout, part: slice, vocab: Vocabulary, w: dict[str, np.
     window may overflow, which shows as a value that is not finite.
     """
     span = np.arange(STRIDE)
-    x = w["tokens"][lay.before[lay.source[part, None] + np.arange(WINDOW)]]
+    x = w["tokens"].take(lay.before[lay.source[part, None] + np.arange(WINDOW)], axis=0)
     x += w["places"]
     count, own = len(x), x[:, CONTEXT:]
     kv = (x.reshape(-1, DIM) @ w["kv"]).reshape(count, WINDOW, 2 * DIM)
@@ -193,7 +221,7 @@ def _window_scores(lay: Layout, part: slice, vocab: Vocabulary, w: dict[str, np.
     np.exp(a, out=a)
     a *= _PAST
     c = a @ kv[:, :, DIM:]
-    c /= a.sum(axis=-1, keepdims=True)
+    c /= a @ np.ones((WINDOW, 1), a.dtype)
     z = (own + (c.reshape(-1, DIM) @ w["o"]).reshape(count, STRIDE, DIM)).reshape(-1, DIM) @ w["out"]
     if bound < np.inf:
         np.clip(z, -bound, bound, out=z)
@@ -264,21 +292,75 @@ def _count_ids(path: str):
     return run
 
 
-def _spell(path: str):
+def _packed(weights: dict[str, np.ndarray], kind: str) -> bytes:
+    return np.concatenate([weights[n].ravel() for n in _SHAPES]).astype(kind).tobytes()
+
+
+def _unpacked(cells: np.ndarray) -> dict[str, np.ndarray]:
+    ends = np.cumsum([math.prod(s) for s in _SHAPES.values()])
+    return {n: part.reshape(s).astype(np.float32) for (n, s), part in zip(_SHAPES.items(), np.split(cells, ends[:-1]))}
+
+
+_PARTS = "task int, windows long, cells binary"
+
+
+def _parts(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["task", "windows", "cells"])
+
+
+def _train_task(path: str, vocab: Vocabulary, weights: dict[str, np.ndarray], windows: float, passes: int, pace: tuple[float, float]):
+    """Go on from ``weights`` over all documents of a partition; the weights come times the windows that they saw.
+
+    Texts are read piece by piece. Only a corpus that is gone over several times is held, which is short.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, adam = encoder(path), Adam(weights, windows * passes, RATE * pace[0], RATE * pace[1])
+        held: list[np.ndarray] = []
         for part in slices(batches):
-            ids = [spelled(lower_words(t), encode).astype("<u4").tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            held += [spelled(lower_words(t), encode) for t in part.column(0).to_pylist()]
+            if passes == 1:
+                go_over(held, vocab, adam)
+                held = []
+        if held:
+            go_over(held, vocab, adam, passes * sum(-(-len(s) // STRIDE) for s in held))
+        if adam.seen:
+            yield _parts([(TaskContext.get().partitionId(), adam.seen, _packed({n: adam.seen * x.astype(np.float64) for n, x in adam.weights.items()}, "<f8"))])
     return run
 
 
-def _train_task(vocab: Vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r["doc_id"], bytes(r["ids"])) for batch in batches for r in batch.to_pylist())
-        w = train([np.frombuffer(ids, "<u4").astype(np.int64) for _, ids in rows], vocab)
-        yield pa.RecordBatch.from_arrays([pa.array(list(w)), pa.array([x.astype("<f4").tobytes() for x in w.values()], pa.binary())], ["name", "cells"])
-    return run
+def _add(rows: list[tuple[int, int, bytes]]) -> tuple[int, int, bytes]:
+    """The sum of some parts, always in the same order."""
+    rows = sorted(rows, key=lambda r: r[0])
+    return rows[0][0], sum(r[1] for r in rows), sum((np.frombuffer(r[2], "<f8") for r in rows), np.zeros(1)).tobytes()
+
+
+def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+    if rows:
+        yield _parts([_add(rows)])
+
+
+def fit(documents: DataFrame, path: str, vocab: Vocabulary, windows: float) -> dict[str, np.ndarray]:
+    """Attention weights from all windows of ``documents``, of which there are about ``windows``."""
+    facts = documents.select(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("p")).alias("p")).first()
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    passes = max(1, math.ceil(LEAST / max(1.0, windows)))
+    weights, low = fresh_weights(), 0.0
+    for number, high in enumerate((FIRST / windows if passes == 1 else 1.0, *ROUNDS)):
+        if high <= low:
+            continue
+        chosen, tasks = documents.where((place >= low) & (place < high)), max(1, facts["p"])
+        share, low = min(1.0, high) - low, high
+        if number == 0:  # seen by one task, but where many rows have one id
+            tasks = max(1, int(chosen.count() / max(1.0, 2 * share * facts["n"])))
+            chosen = chosen.repartition(tasks)
+        pace = PACES[number], LAST_PACE if high >= 1 else PACES[number + 1]
+        stepped = chosen.select("text").mapInArrow(_train_task(path, vocab, weights, windows * share / tasks, passes, pace), _PARTS)
+        parts = [tuple(r) for r in stepped.repartition(math.isqrt(tasks) + 1, "task").mapInArrow(_add_parts, _PARTS).collect()]
+        if parts:
+            _, seen, cells = _add(parts)
+            weights = _unpacked(np.frombuffer(cells, "<f8") / seen)
+    return weights
 
 
 class LanguageModel(NamedTuple):
@@ -293,7 +375,7 @@ class LanguageModel(NamedTuple):
     ends: int
 
 
-def learn(documents: DataFrame, path: str, counts: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+def learn(documents: DataFrame, path: str, counts: DataFrame) -> LanguageModel:
     """Fit the model; ``documents`` are the training documents, ``counts`` their stored word counts."""
     ends = documents.count()
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -304,10 +386,7 @@ def learn(documents: DataFrame, path: str, counts: DataFrame, sample: int = SAMP
     by_id[END] += ends
     vocab = vocabulary(by_id)
     head = {r["word"]: r["c"] for r in counts.where(F.col("c") * HEAD >= tokens).collect()}
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    chosen = documents.where(place < sample / max(1, ends)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).limit(2 * sample)
-    trained = chosen.mapInArrow(_spell(path), "doc_id long, ids binary").coalesce(1).mapInArrow(_train_task(vocab), "name string, cells binary").collect()
-    weights = {r["name"]: np.frombuffer(bytes(r["cells"]), "<f4").reshape(_SHAPES[r["name"]]) for r in trained} or fresh_weights()
+    weights = fit(documents, path, vocab, by_id.sum() / STRIDE + ends / 2)
     return LanguageModel(path, vocab, weights, head, tokens, kinds, ends)
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -6,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from disclosight.llm import causal_lm as lm
 
@@ -110,3 +112,49 @@ def test_empty_table(make_docs):
     assert lm.score(make_docs([]), PATH).count() == 0
     (row,) = lm.score(make_docs([(None, "a b")]), PATH).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.held_out) == (3, 0, 0, False)
+
+
+def test_weights_come_from_all_documents(make_docs):
+    """What most documents say is learned, though the documents with the smallest hashes say something else."""
+    r = random.Random(4)
+    names = ["red", "blue", "green", "white", "black", "gray", "pink", "gold"]
+    ring = lambda start, n: " ".join(names[(start + i) % 8] for i in range(n))
+    docs = make_docs([(i, "") for i in range(2600)])
+    hashed = docs.select("doc_id", (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)).alias("place")).collect()
+    rows = [(x.doc_id, " ".join(r.choices(names, k=24)) if x.place < 0.5 else ring(x.doc_id, 24)) for x in hashed]
+    docs = make_docs(rows)
+    counts = lm.word_counts(docs)
+    model = lm.learn(docs, PATH, counts)
+    encode = lm.encoder(PATH)
+    score = lambda text: lm.log_probabilities([lm.spelled(text.split(), encode)], model.vocab, model.weights)[0]
+    assert score(ring(3, 24)) > 0.75 * score(" ".join(r.choices(names, k=24)))
+
+
+def test_rounds_see_every_window_once(make_docs, prose, monkeypatch):
+    rows = [(i, prose(i, 1 + 7 * i % 90)) for i in range(150)] + [(7, prose(7, 50))] * 300 + [(200, None), (201, "")]
+    docs = make_docs(rows).repartition(5)
+    encode, seen, add = lm.encoder(PATH), [], lm._add
+    every = sum(-(-len(lm.spelled(words(t), encode)) // lm.STRIDE) for _, t in rows)
+    monkeypatch.setattr(lm, "_add", lambda rows: seen.append(add(rows)[1]) or add(rows))
+    vocab = lm.vocabulary(np.arange(lm.VOCABULARY, dtype=float) % 97)
+    for first, rounds in ((100, 3), (every // 3, 2), (2 * every, 1)):
+        monkeypatch.setattr(lm, "FIRST", first)
+        monkeypatch.setattr(lm, "LEAST", 1)
+        seen.clear()
+        weights = lm.fit(docs, PATH, vocab, every)
+        assert len(seen) == rounds and sum(seen) == every
+        assert all(np.isfinite(w).all() and w.dtype == np.float32 and w.shape == lm._SHAPES[n] for n, w in weights.items())
+    monkeypatch.setattr(lm, "LEAST", 4 * every)  # a short corpus is gone over several times
+    seen.clear()
+    lm.fit(docs, PATH, vocab, every)
+    assert seen == [4 * every]
+
+
+def test_sums_of_parts():
+    """The means of the weights of several tasks, by the windows that they saw, whatever the order of the parts."""
+    w = [lm.fresh_weights(seed) for seed in (1, 2, 3)]
+    parts = [(i, 10 * i + 5, lm._packed({n: (10 * i + 5) * x.astype(np.float64) for n, x in v.items()}, "<f8")) for i, v in enumerate(w)]
+    _, seen, cells = lm._add(parts[::-1])
+    got = lm._unpacked(np.frombuffer(cells, "<f8") / seen)
+    for n in got:
+        assert got[n] == pytest.approx(sum((10 * i + 5) * v[n] for i, v in enumerate(w)) / 45, abs=1e-6)
