@@ -84,7 +84,7 @@ def filing_detail(filings: DataFrame, transactions: DataFrame, doc_ids: DataFram
     chosen = filings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     full = joins.with_amended_doc(joins.with_line_counts(chosen, transactions), filings)
     own = transactions.join(chosen.select(F.col("id").alias("filing_id")), "filing_id", "left_semi")
-    lines = line_rows(joins.lines(joins.with_evidence_flag(own, filings), filings))
+    lines = line_rows(joins.with_evidence_flags(joins.lines(own, filings), filings))
     later = joins.amendments_of(chosen, filings)
     later = later.withColumn("amends_doc_id", F.col("original_doc_id")).withColumn(
         "name", filing_name(*[F.col(c) for c in ("prefix", "first_name", "last_name", "suffix")]))

@@ -158,7 +158,7 @@ def flat_lines(rows):
 @query("f21_transaction_row", LINES_SQL + LINE_SQL, FT)
 def f21(spark, d):
     f = filings(spark, d)
-    return flat_lines(browse.line_rows(joins.with_evidence_flag(lines(spark, d, True), f)))
+    return flat_lines(browse.line_rows(joins.with_evidence_flags(lines(spark, d, True), f)))
 
 
 POLITICIAN_SQL = f"""select {sql_key()} as id, trim(first_name || ' ' || last_name) as name, cast(null as varchar) as party,

@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import pytest
 from conftest import BASE
+from pyspark.sql import functions as F
 
-from disclosight.operators import bursts
-from disclosight.plans import signals
+from disclosight.operators import bursts, joins
+from disclosight.plans import browse, signals
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +59,29 @@ def test_windows_see_one_row_per_day(make_tables, lines):
     days = bursts.trading_days(transactions)
     assert days.groupBy("txn_type", "ticker", "txn_date").count().filter("count > 1").count() == 0
     assert days.filter("ticker = 'HOT'").count() < transactions.filter("ticker = 'HOT'").count()
+
+
+def test_lines_without_evidence_are_not_moved(spark):
+    """The flag of whole tables is that of one page, and only lines that cite a document meet the documents."""
+    rows = [(1, "7", "a"), (2, None, "b"), (2, None, "b"), (3, " ", "c"), (4, "unknown", "d"), (None, "7", "e"), (None, None, None), (1, "7", "a")]
+    t = spark.createDataFrame(rows, "id long, verification_source_doc_id string, asset_name string")
+    f = spark.createDataFrame([(70, "7"), (71, "7"), (72, None), (73, "9")], "id long, doc_id string")
+    want = joins.with_evidence_flag(t, f)
+    got = joins.with_evidence_flags(t, f)
+    assert got.columns == want.columns
+    key = lambda row: tuple(map(str, row))
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    moved = got._jdf.queryExecution().optimizedPlan().toString()
+    branch = moved[moved.rindex("isnull(verification_source_doc_id"):]
+    assert "Join" not in branch
+
+
+def test_filing_detail_moves_lines_once(make_tables):
+    """Lines of a whole table that cite nothing are joined with filings only."""
+    f, t = make_tables([{}, {"person": "B", "ticker": None}, {"person": "C", "ticker": "00000001", "amends_filing_id": 1}])
+    t = t.withColumn("verification_source_doc_id", F.col("ticker"))
+    lines = browse.filing_detail(f, t, f.select("doc_id")).lines
+    assert sorted((r["doc_id"], r["verification_source_doc_exists"]) for r in lines.collect()) == [("00000001", False), ("00000002", False), ("00000003", True)]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    plain = plan[plan.rindex("Project [", 0, plan.rindex("isnull(ticker")):]
+    assert "_present" in plan and "_present" not in plain
