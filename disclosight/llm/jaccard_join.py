@@ -97,22 +97,13 @@ def _in_first(hashes: np.ndarray) -> np.ndarray:
 
 
 def _summaries(n: int):
+    """``(doc_id, n, sid, firsts)``: size and fingerprint of every set, and its n-grams in the first share of the hash space."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [ngram_set(t, n) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["doc_id", "n", "sid"])
-    return run
-
-
-def _first_ngrams(n: int):
-    """``(sid, h)``: the n-grams of every set in the first share of the hash space."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [ngram_set(t, n) for t in part.column(1).to_pylist()]
-            firsts = [_in_first(s).view(np.int64) for s in sets]
-            ids = np.array([set_id(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(f) for f in firsts])), pa.array(np.concatenate(firsts))], ["sid", "h"])
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
+                 pa.array([_in_first(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "sid", "firsts"])
     return run
 
 
@@ -218,12 +209,14 @@ def links(full: DataFrame, percent: int = PERCENT, full_used: list | None = None
     table goes with ``full_used`` once it is read."""
     used: list = []
     postings, facts, segments = _postings(full, percent, [] if full_used is None else full_used, used)
-    pivots = postings.groupBy("h").agg(*(F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("r"), "sid")).alias(f"p{i}") for i in range(PIVOTS)),
-                                       F.count(F.lit(1)).alias("df")).where("df > 1")
-    named = pivots.select("h", F.explode(F.array_distinct(F.array(*(F.col(f"p{i}.sid") for i in range(PIVOTS))))).alias("pivot"))
-    near = settle(postings.select("h", "sid").join(named, "h").where("sid <> pivot").select("sid", "pivot").distinct(), "jaccard-near", used)
+    # the first of the pivots is the set with the least before the n-gram: in a group of near copies, the one that differs least from the others
+    order = lambda i: F.struct((F.col("pos") if i == 0 else F.lit(0).cast("long")).alias("pos"), F.xxhash64("sid", F.lit(i)).alias("r"), "sid")
+    pivots = postings.groupBy("h").agg(*(F.min(order(i)).alias(f"p{i}") for i in range(PIVOTS)), F.count(F.lit(1)).alias("df")).where("df > 1")
+    named = pivots.select("h", F.explode(F.array(*(F.struct(F.col(f"p{i}.sid").alias("pivot"), F.lit(i).alias("place")) for i in range(PIVOTS)))).alias("p"), F.col("p0.pos").alias("before"))
+    near = settle(postings.select("h", "sid").join(named.select("h", "p.*", "before"), "h").where("sid <> pivot").groupBy("sid", "pivot").agg(
+        F.min(F.when(F.col("place") == 0, F.col("before"))).alias("before")), "jaccard-near", used)
     # at first one partner each, on which the sets of a large group mostly agree; then the others, where they may still join something
-    one = near.groupBy("sid").agg(F.min_by("pivot", F.xxhash64("pivot")).alias("pivot"))
+    one = near.groupBy("sid").agg(F.min_by("pivot", F.struct(F.col("before").isNull(), "before", F.xxhash64("pivot"))).alias("pivot"))
     first = settle(linked(_likely(one.select(*_pairs(F.col("sid"), F.col("pivot"))), facts, percent), segments, percent), "jaccard-links")
     stars = components(first)
     apart = _rooted(_rooted(near, stars, "sid", "r"), stars, "pivot", "s").where("r <> s")
@@ -251,11 +244,14 @@ def links(full: DataFrame, percent: int = PERCENT, full_used: list | None = None
 def join(documents: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document."""
     columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summary = settle(columns.mapInArrow(_summaries(n), "doc_id long, n long, sid long"), "jaccard-documents")
-    # the sets are made again rather than stored: the texts are there, and a stored share would double the disk
-    own = _own_counts(columns.mapInArrow(_first_ngrams(n), "sid long, h long"))
+    first_used: list = []
+    # only the first share is stored, until it is counted: the whole sets are made again for the documents that stay open
+    hashed = settle(columns.mapInArrow(_summaries(n), "doc_id long, n long, sid long, firsts array<long>"), "jaccard-firsts", first_used)
+    summary = settle(hashed.select("doc_id", "n", "sid"), "jaccard-documents")
+    own = _own_counts(hashed.select("sid", F.explode("firsts").alias("h")))
     kinds = summary.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"))
     open_kinds = settle(kinds.join(own, "sid", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - _need("n", percent)).drop("own"), "jaccard-open")
+    discard(first_used)
     full = (columns.withColumn("place", id_place("doc_id")).mapInArrow(_full_sets(n, id_bitmap(open_kinds, "doc_id")), "doc_id long, sid long, hashes array<long>, signature array<long>")
             .join(open_kinds.select("sid", "n", F.col("doc_id").alias("chosen")), "sid").where(F.col("doc_id").eqNullSafe(F.col("chosen")))
             .select("sid", "n", "hashes", "signature").dropDuplicates(["sid"]))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from disclosight.llm import jaccard_join
@@ -92,3 +93,27 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert {i: got.get(i, i) for i in root} == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_of_one_group_are_not_compared_pair_by_pair(make_docs, prose, monkeypatch):
+    base = prose(5000, 150)
+    rows = [(200, base)] + [(i, edited(base, 9000 + i, 1 + i % 4)) for i in range(200)]
+    counts, likely = [], jaccard_join._likely
+
+    def counted(pairs, facts, percent):
+        counts.append(pairs.distinct().count())
+        return likely(pairs, facts, percent)
+
+    monkeypatch.setattr(jaccard_join, "_likely", counted)
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard_join.join(make_docs(rows)).collect()) == brute(rows)
+    assert counts[-1] <= 2 * len(rows)
+
+
+def test_texts_are_read_once_for_sizes_and_first_ngrams(make_docs, prose):
+    doc = [prose(5200, 60), "a b", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(doc)], ["doc_id", "text"])
+    (out,) = jaccard_join._summaries(5)(iter([batch]))
+    for text, row in zip(doc, out.to_pylist()):
+        own = jaccard_join.ngram_set(text)
+        assert row["n"] == len(own) and row["sid"] == jaccard_join.set_id(own)
+        assert row["firsts"] == [h - (1 << 64) if h >= 1 << 63 else h for h in own.tolist() if h < 1 << 62]
