@@ -53,12 +53,13 @@ def _with_texts(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatc
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with a number per document: its id, or one above all ids that its text (and its id) decides.
 
-    Ids that hold different texts are found by one row per id, whatever the number of its rows.
+    Ids that hold different texts are found by one row per id, whatever the number of its rows. They are stored, so that the
+    texts, which are read several times, are not shuffled each time to meet what mostly are few ids.
     """
     ident, mark, first = F.col("doc_id").cast("long"), F.xxhash64("text"), _free_name(docs, "first_text")
     held = _free_name(docs, "held_id")
-    several = docs.where(ident.isNotNull()).groupBy(ident.alias(held)).agg(F.min(mark).alias(first), F.max(mark).alias("last_text")).where(
-        F.col(first) < F.col("last_text")).select(held, first)
+    several = settle(docs.where(ident.isNotNull()).groupBy(ident.alias(held)).agg(F.min(mark).alias(first), F.max(mark).alias("last_text")).where(
+        F.col(first) < F.col("last_text")).select(held, first), "several-texts")
     above = F.lit(1 << 62) + F.pmod(F.xxhash64(ident, "text"), F.lit(1 << 62))
     number = F.when(ident.isNull() | (F.col(first) < mark), above).otherwise(ident)
     return docs.join(several, ident == F.col(held), "left").withColumn(key, number).drop(held, first)

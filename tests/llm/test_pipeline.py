@@ -72,6 +72,13 @@ def test_one_id_with_several_texts_and_passages_without_ids(spark, make_docs, pr
     assert cut == {(1, 110), (None, 30), (9, 30), (9, 40)}
 
 
+def test_texts_are_not_shuffled_for_their_keys(make_docs, prose):
+    keyed = corpus_pipeline._keyed(make_docs([(i, prose(i, 20)) for i in range(5)] + [(3, prose(9, 20))]), "key")
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert keyed.select("key").distinct().count() == 6
+
+
 def test_cut_words():
     text = "a b  c\nd e f"
     assert corpus_pipeline.cut_words(text, [(1, 2)]) == "a d e f"
