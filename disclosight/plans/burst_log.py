@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as fv
 from ..operators import bursts
 from ..operators.bursts import DAY, SERIES
+from ..session import working_table
 from ..sources import tables
 
 BUCKETS = 64
@@ -75,18 +76,20 @@ def add_trades(spark: SparkSession, root: str, trades: DataFrame, batch_no: int,
     touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
     series = fresh.select(*SERIES).distinct()
     earlier = _rows(spark, root, DAYS, DAY_ROWS, touched, batch_no).join(series, SERIES, "left_semi").select(*DAY_ROWS.names)
-    days = earlier.unionByName(fresh).groupBy(*DAY, "person_key").agg(F.sum("trades").alias("trades"))
-    numbered = bursts.number_bursts(days.groupBy(*DAY).agg(F.sum("trades").alias("day_trades")), max_gap_days)
+    # each of these tables is read several times, so it is worked out once
+    days = working_table(earlier.unionByName(fresh).groupBy(*DAY, "person_key").agg(F.sum("trades").alias("trades")), "burst-days")
+    numbered = working_table(bursts.number_bursts(days.groupBy(*DAY).agg(F.sum("trades").alias("day_trades")), max_gap_days), "burst-numbers")
     mine = [*SERIES, "burst_id"]
     hit = numbered.join(fresh.select(*DAY).distinct(), DAY, "left_semi").select(*mine).distinct()
-    spans = bursts.burst_spans(numbered).join(hit, mine, "left_semi")
-    people = (days.join(numbered.join(hit, mine, "left_semi").select(*DAY, "burst_id"), DAY).select(*mine, "person_key").distinct()
+    chosen = working_table(numbered.join(hit, mine, "left_semi"), "burst-chosen")
+    spans = bursts.burst_spans(chosen)
+    people = (days.join(chosen.select(*DAY, "burst_id"), DAY).select(*mine, "person_key").distinct()
               .groupBy(*mine).agg(F.count(F.lit(1)).alias("politician_count")))
     # one row per batch
     clock = tables.read_table(spark, root, CLOCK, CLOCK_ROWS, before=batch_no)
     newest = clock.agg(F.max("newest")).first()[0]
     closed = F.coalesce(F.date_add("end_date", max_gap_days) < F.date_sub(F.lit(newest).cast("date"), lateness_days), F.lit(False))
-    changed = spans.join(people, mine).select(*BURST, "end_date", "span_days", "transaction_count", "politician_count")
+    changed = working_table(spans.join(people, mine).select(*BURST, "end_date", "span_days", "transaction_count", "politician_count"), "burst-changes")
     around = changed.select(*SERIES, F.col("start_date").alias("_from"), F.col("end_date").alias("_to"))
     # what the log says so far about the stretches of the changed bursts
     before = (current(spark, root, touched, batch_no).withColumn("_closed", closed).join(around, SERIES)

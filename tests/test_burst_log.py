@@ -91,3 +91,22 @@ def test_stream_with_late_trades(spark, tmp_path):
         bursts.log_bursts(stream, root, str(tmp_path / "checkpoint")).awaitTermination()
     assert shown(burst_log.current(spark, root)) == plain([(k, t, d.date(), w) for k, t, d, w in first + late])
     assert [(r["start_date"], r["politician_count"]) for r in burst_log.corrections(spark, root).collect()] == [(D(2024, 1, 1), 2)]
+
+
+def test_bursts_are_worked_out_once_per_batch(spark, tmp_path, monkeypatch):
+    numbered, seen = burst_log.bursts.number_bursts, spark.sparkContext.accumulator(0)
+
+    def counted(days, gap):
+        out = numbered(days, gap)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        return out.mapInArrow(count, out.schema)
+
+    monkeypatch.setattr(burst_log.bursts, "number_bursts", counted)
+    rows = [("P", "T", D(2024, 1, 1) + dt.timedelta(10 * n), "a") for n in range(5)]
+    burst_log.add_trades(spark, str(tmp_path / "log"), spark.createDataFrame(rows, KIND), 0)
+    assert seen.value == 5
+    assert shown(burst_log.current(spark, str(tmp_path / "log"))) == plain(rows)
