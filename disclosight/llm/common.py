@@ -116,6 +116,21 @@ def discard(used: list) -> None:
     used.clear()
 
 
+#: Blocks of a grid that one task takes in turn, at most on average, and blocks that it holds to meet them.
+TAKEN, HELD = 8, 32
+
+
+def grid(taken: DataFrame, held: DataFrame, key: Column) -> DataFrame:
+    """Every block of ``taken`` with every block of ``held``; a task meets one block of ``taken`` after the other with the same blocks of ``held``.
+
+    Both are dealt out once and read by each task that needs them. A join on repeated blocks would shuffle them as often as they meet, or, as
+    their size before they are repeated looks small, send them all through the driver.
+    """
+    blocks, others = max(1, taken.count()), max(1, held.count())
+    tasks = max(-(-blocks // TAKEN), min(blocks, 4 * taken.sparkSession.sparkContext.defaultParallelism))
+    return taken.repartition(tasks, key).hint("shuffle_replicate_nl").crossJoin(held.repartition(-(-others // HELD)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

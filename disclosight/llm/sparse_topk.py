@@ -7,8 +7,8 @@ another: the query weights of the term are scattered, times the posting weights
 array of scores (queries x candidates). Then a partition selection keeps the best ``k`` of the block, and
 a ranked merge over all blocks gives the result. Nothing is pruned, so the result is exact.
 
-Blocks meet in a grid: a query block is sent once to each group of candidate blocks and a candidate block
-once to each query block, so each cell is a bounded piece of work whatever the numbers of rows are.
+Blocks meet in a grid: each task takes candidate blocks one after the other and a bounded number of query blocks, so
+each cell is a bounded piece of work whatever the numbers of rows are, and no table passes the driver.
 
 Defined cases: a vector that is NULL or holds NULL, NaN or an infinite component, or whose id is NULL,
 takes no part. Vectors of different lengths are compared as if the shorter one ended in zeros. Equal
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import settle
+from .common import grid, settle
 
 #: Rows of a block, and queries that share one dense score array.
 CANDIDATE_ROWS, QUERY_ROWS, QUERIES_AT_ONCE = 8192, 1024, 32
@@ -66,13 +66,24 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(_packer(size), _BLOCK)
 
 
-def best_of_cell(q_ids, q_starts, q_terms, q_weights, c_ids, c_starts, c_terms, c_weights, k: int):
+def postings(count: int, starts, terms, weights) -> dict[int, tuple[np.ndarray | None, np.ndarray]]:
+    """Rows and weights of each term of a block; where most of the ``count`` rows have it, no rows but a weight for each of them, 0 where it is none."""
+    owner = np.repeat(np.arange(count, dtype=np.int64), np.diff(starts))
+    by_term = np.argsort(terms, kind="stable")
+    found, first = np.unique(terms[by_term], return_index=True)
+    out = {}
+    for t, rows in zip(found, np.split(by_term, first[1:])):
+        at, posted = owner[rows], weights[rows]
+        if 2 * len(at) > count:
+            dense = np.zeros(count, np.int64)
+            dense[at] = posted
+            at, posted = None, dense
+        out[int(t)] = at, posted
+    return out
+
+
+def best_of_cell(q_ids, q_starts, q_terms, q_weights, c_ids, posted_by_term: dict, k: int):
     """The ``k`` best candidates of each query within one cell: ``(query position, id, score)`` arrays."""
-    owner = np.repeat(np.arange(len(c_ids), dtype=np.int64), np.diff(c_starts))
-    by_term = np.argsort(c_terms, kind="stable")
-    terms, first = np.unique(c_terms[by_term], return_index=True)
-    last = np.append(first[1:], len(by_term))
-    postings = {int(t): (owner[by_term[a:b]], c_weights[by_term[a:b]]) for t, a, b in zip(terms, first, last)}
     out = []
     for low in range(0, len(q_ids), QUERIES_AT_ONCE):
         high = min(low + QUERIES_AT_ONCE, len(q_ids))
@@ -80,15 +91,15 @@ def best_of_cell(q_ids, q_starts, q_terms, q_weights, c_ids, c_starts, c_terms,
         q_owner = np.repeat(np.arange(high - low), np.diff(q_starts[low:high + 1]))
         scores = np.zeros((high - low, len(c_ids)), np.int64)
         for t in np.unique(q_terms[a:b]):
-            if int(t) not in postings:
+            if int(t) not in posted_by_term:
                 continue
-            at, posted = postings[int(t)]
+            at, posted = posted_by_term[int(t)]
             mine = q_terms[a:b] == t
             asked, weight = q_owner[mine], q_weights[a:b][mine]
             gain = np.multiply.outer(weight, posted)
-            if len(at) == len(c_ids) and len(asked) == high - low:
+            if at is None and len(asked) == high - low:
                 scores += gain
-            elif len(at) == len(c_ids):
+            elif at is None:
                 scores[asked] += gain
             else:
                 scores[asked[:, None], at] += gain
@@ -107,10 +118,15 @@ def best_of_cell(q_ids, q_starts, q_terms, q_weights, c_ids, c_starts, c_terms,
 def _scorer(k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = lambda column, i: column[i].values.to_numpy(zero_copy_only=False)
+        last, posted = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 parts = [array(batch.column(j), i) for j in range(8)]
-                at, found, scores = best_of_cell(*parts, k)
+                block = parts[4:]
+                # a task meets one block of candidates with several blocks of queries
+                if last is None or not all(np.array_equal(x, y) for x, y in zip(block, last)):
+                    last, posted = block, postings(len(block[0]), *block[1:])
+                at, found, scores = best_of_cell(*parts[:4], block[0], posted, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(parts[0][at]), pa.array(array(batch.column(8), i)[at]), pa.array(found), pa.array(scores)],
                     ["query_id", "query_key", "vec_id", "score"])
@@ -124,19 +140,12 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k:
     queries = weighted_rows(vectors.where(is_query), id_col, vector_col, scale).distinct()
     c = settle(blocks(rows, candidate_rows), "topk-candidates")
     q = settle(blocks(queries, query_rows), "topk-queries")
-    c_groups, q_groups = max(1, c.count()), max(1, q.count())
-    spread = lambda n: F.pmod(F.xxhash64("block", "ids"), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     fields = ("ids", "starts", "terms", "weights")
-    left = (q.withColumn("q_group", spread(q_groups)).withColumn("c_group", each(c_groups))
-            .select("q_group", "c_group", *(F.col(f).alias(f"q_{f}") for f in fields)))
-    right = (c.withColumn("c_group", spread(c_groups)).withColumn("q_group", each(q_groups))
-             .select("q_group", "c_group", *(F.col(f).alias(f"c_{f}") for f in fields)))
-    cells = left.join(right, ["q_group", "c_group"]).select(
-        *(f"q_{f}" for f in fields), *(f"c_{f}" for f in fields),
-        F.transform(F.slice(F.col("q_starts"), 1, F.size("q_ids")), lambda s, i: F.xxhash64(
-            F.slice(F.col("q_terms"), s + 1, F.get("q_starts", i + 1) - s),
-            F.slice(F.col("q_weights"), s + 1, F.get("q_starts", i + 1) - s))).alias("q_keys"))
+    keys = F.transform(F.slice(F.col("starts"), 1, F.size("ids")), lambda s, i: F.xxhash64(
+        F.slice(F.col("terms"), s + 1, F.get("starts", i + 1) - s), F.slice(F.col("weights"), s + 1, F.get("starts", i + 1) - s)))
+    asked = q.select(*(F.col(f).alias(f"q_{f}") for f in fields), keys.alias("q_keys"))
+    cells = grid(c.select("block", *fields), asked, F.xxhash64("block", "ids")).select(
+        *(f"q_{f}" for f in fields), *(F.col(f).alias(f"c_{f}") for f in fields), "q_keys")
     found = cells.mapInArrow(_scorer(k), "query_id long, query_key long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

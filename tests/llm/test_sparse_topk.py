@@ -33,3 +33,17 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert sparse_topk.top_k(frame, "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_blocks_do_not_pass_the_driver(spark):
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(400)], "vec_id long, embedding array<float>")
+    found = sparse_topk.top_k(frame, "vec_id", "embedding", F.col("vec_id") % 100 == 0, candidate_rows=20, query_rows=1)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40
+
+
+def test_rare_and_common_terms():
+    starts, terms, weights = np.array([0, 2, 3, 4, 4]), np.array([0, 5, 0, 0]), np.array([3, 4, 5, -6])
+    posted = sparse_topk.postings(4, starts, terms, weights)
+    assert posted[0][0] is None and posted[0][1].tolist() == [3, 5, -6, 0]
+    assert posted[5][0].tolist() == [0] and posted[5][1].tolist() == [4]
