@@ -14,7 +14,7 @@ outside the windows that are still open, whose labels are all of the wrong kind
 ``k``-th found, and verifies the rows of leaves by exact integer scores.
 
 Blocks meet in a grid: each block of queries once with each block of candidates, so a cell is a bounded piece of
-work whatever label or vector a third of the rows has. Trees are built once and stored with their block.
+work whatever label or vector a third of the rows has, and no table passes the driver. Trees are built once and stored with their block.
 
 Defined cases: a row whose id, label or vector is NULL, or whose vector holds NULL, NaN or an infinite component, takes no part.
 Vectors of different lengths are compared as if the shorter one ended in zeros. Rows that repeat id, label and
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import settle
+from .common import grid, settle
 
 #: Rows of a block with a tree, anchors of a block, rows of a leaf, and nodes that are opened at a time.
 CANDIDATE_ROWS, QUERY_ROWS, LEAF_ROWS, OPENED = 4096, 256, 24, 12
@@ -249,15 +249,18 @@ def _searcher(same: bool, k: int, floor: int, ceiling: int):
     """Searches of cells: for positives one open window, else a window for every positive of the anchor."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lambda column, i: column[i].values.to_numpy(zero_copy_only=False)
+        last = found = None
         for batch in batches:
             columns = {name: batch.column(j) for j, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 one = lambda name: flat(columns[name], i)
                 ids, keys, labels = one("q_ids"), one("q_keys"), one("q_labels")
                 queries = one("q_weights").reshape(len(ids), columns["q_dims"][i].as_py())
-                own = one("ids")
-                found = Search(own, one("keys"), one("labels"), one("weights").reshape(len(own), columns["dims"][i].as_py()),
-                               *(one(n) for n in ("centre", "radius", "child", "children", "low", "high")))
+                tree = [one(n) for n in ("ids", "keys", "labels", "weights", "centre", "radius", "child", "children", "low", "high")]
+                # a task meets one block of candidates with several blocks of queries
+                if last is None or not all(np.array_equal(x, y) for x, y in zip(tree, last)):
+                    last = tree
+                    found = Search(*tree[:3], tree[3].reshape(len(tree[0]), columns["dims"][i].as_py()), *tree[4:])
                 pairs = None if same else [x.as_py() for x in columns["pairs"][i].values]
                 out = []
                 for n in range(len(ids)):
@@ -275,19 +278,15 @@ def _searcher(same: bool, k: int, floor: int, ceiling: int):
 
 def _grid(queries: DataFrame, candidates: DataFrame, fields: list[str], search) -> DataFrame:
     """Every block of ``queries`` with every block of ``candidates``, each pair in a cell of its own."""
-    q_groups, c_groups = max(1, queries.count()), max(1, candidates.count())
-    spread = lambda n: F.pmod(F.xxhash64("ids", "keys"), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = (queries.withColumn("q_group", spread(q_groups)).withColumn("c_group", each(c_groups))
-            .select("q_group", "c_group", *(F.col(f).alias(f"q_{f}" if f != "pairs" else f) for f in fields)))
-    right = candidates.withColumn("c_group", spread(c_groups)).withColumn("q_group", each(q_groups))
-    return left.join(right, ["q_group", "c_group"]).drop("q_group", "c_group").mapInArrow(search, _FOUND)
+    asked = queries.select(*(F.col(f).alias(f"q_{f}" if f != "pairs" else f) for f in fields))
+    return grid(candidates, asked, F.xxhash64("ids", "keys")).mapInArrow(search, _FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` best distinct rows per anchor and target."""
     order = Window.partitionBy("anchor_id", "anchor_key", "target_id", "target_key").orderBy(F.desc("score"), "id", "key")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # repeated rows share a rank, so each task can leave out what is not among its own best before anything is shuffled
+    return found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).distinct()
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label: Column, scale: int) -> DataFrame:
@@ -313,7 +312,7 @@ def mine(vectors: DataFrame, id_col: str, vector_col: str, label: Column, is_anc
     # at most `positives` pairs an anchor
     pairs = near.groupBy(F.col("anchor_id").alias("id"), F.col("anchor_key").alias("key")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("id"), F.col("key"), F.col("score")))).alias("pairs"))
-    paired = settle(_blocks_with_pairs(anchors.join(pairs, ["id", "key"]), query_rows), "negatives-pairs")
+    paired = settle(_blocks_with_pairs(anchors.hint("merge").join(pairs, ["id", "key"]), query_rows), "negatives-pairs")
     found = _best(_grid(paired, candidates, [*flat, "pairs"], _searcher(False, k, floor, ceiling)), k)
     return found.select("anchor_id", F.col("target_id").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),
                         F.col("target_score").alias("positive_score"), F.col("score").alias("negative_score"))

@@ -94,3 +94,18 @@ def test_descent_covers_and_prunes():
     got = searched.find(weights[0], 0, int(labels[0]), False, [(None, int(scores.max() * 0.9))], 10)[0]
     assert got[0].tolist() == want.tolist() and got[1].tolist() == scores[want].tolist()
     assert sum(looked) < len(weights) / 3  # the bounds leave most rows out
+
+
+def test_blocks_do_not_pass_the_driver(spark, monkeypatch):
+    plans, best = [], hn._best
+    monkeypatch.setattr(hn, "_best", lambda found, k: plans.append(found._jdf.queryExecution().executedPlan().toString()) or best(found, k))
+    frame = spark.createDataFrame(random_rows(3, 300), "vec_id long, embedding array<float>, label int")
+    found = hn.mine(frame, "vec_id", "embedding", F.col("label"), F.col("vec_id") % 100 == 0, candidate_rows=20, query_rows=1)
+    assert found.count() > 0 and len(plans) == 2
+    assert not any("Broadcast" in plan for plan in plans)
+
+
+def test_best_with_repeated_rows(spark):
+    rows = [(1, 1, 2, 2, 50, i, 0, s) for i, s in ((5, 9), (5, 9), (6, 9), (7, 8), (7, 8), (8, 7))]
+    found = hn._best(spark.createDataFrame(rows, hn._FOUND), 3)
+    assert sorted((r["rank"], r["id"]) for r in found.collect()) == [(1, 5), (2, 6), (3, 7)]
