@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from disclosight import schema
 from disclosight.operators.store import fit
 from disclosight.sources import manifest, stored_keys, tables
+from disclosight.workload import adapters, q_ingest
 
 D = dt.date
 
@@ -135,3 +136,45 @@ def test_only_touched_folders_are_read(spark, tmp_path):
     assert folders >= 64 and {r[0] for r in some.select("key_bucket").distinct().collect()} == {3, 20}
     plan = some._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "key_bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def test_columns_are_worked_out_behind_the_shuffle(spark):
+    view = {"id": "k * 10", "ticker": "concat('P', k % 9)", "txn_date": "date '2024-01-01' + cast(k % 31 as int)", "notes": "repeat(cast(k as string), 40)"}
+    given = spark.range(500).selectExpr("case when id % 50 <> 7 then id end as k")
+    placed = manifest.laid_out(given, "transactions", view)
+    assert placed.columns == list(view)
+    # below the exchange there is the given column only
+    lines = placed._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = next(i for i, line in enumerate(lines) if "Exchange rangepartitioning" in line)
+    assert "repeat" in "".join(lines[:moved]) and "repeat" not in "".join(lines[moved:])
+    plain = given.selectExpr(*[f"{e} as {c}" for c, e in view.items()])
+    assert sorted(placed.collect(), key=str) == sorted(plain.collect(), key=str)
+    by_part = placed.withColumn("part", F.spark_partition_id()).collect()
+    order = lambda r: tuple((x is not None, x) for x in (r["ticker"], r["txn_date"], r["id"]))
+    for part in {r["part"] for r in by_part}:
+        own = [order(r) for r in by_part if r["part"] == part]
+        assert own == sorted(own)
+
+
+def test_store_moves_given_columns(spark, monkeypatch, tmp_path):
+    write = lambda name, rows, kinds: spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("region", [(0, "EUROPE")], "r_regionkey int, r_name string")
+    write("nation", [(3, 0)], "n_nationkey int, n_regionkey int")
+    write("customer", [(n, f"C{n}", "AUTO", 3) for n in range(5)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey int")
+    # an order that occurs twice, and one without a customer
+    write("orders", [(n, n % 5, dt.datetime(1995, 1, 1 + n % 28)) for n in [*range(1, 30), 8]] + [(40, 99, dt.datetime(1995, 2, 1))],
+          "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    write("part", [(n, f"part {n}") for n in range(1, 60)], "p_partkey long, p_name string")
+    write("lineitem", [(n % 45, 1 + n % 57, 2, n % 7, "N", "O", dt.datetime(1996, 1, 1 + n % 28), 5.0, 900.5) for n in range(300)] + [(8, 99, 2, 1, "N", "O", dt.datetime(1996, 1, 1), 5.0, 1.0)],
+          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_shipdate timestamp, l_quantity double, l_extendedprice double")
+    moved, laid = [], manifest.laid_out
+    monkeypatch.setattr(manifest, "laid_out", lambda rows, *a: moved.append(set(rows.columns)) or laid(rows, *a))
+    root = q_ingest.laid_out_store(spark, str(tmp_path), "moved")
+    assert len(moved) == 4 and not any({"pdf_url", "verification_note", "amount_raw"} & columns for columns in moved)
+    f, t = adapters.filings(spark, str(tmp_path)), adapters.transactions(spark, str(tmp_path), assets=True)
+    own = f.filter("source = 'senate_efd'").select(F.col("id").alias("filing_id"))
+    for name, kind, parts in (("filings", schema.FILINGS, (f.filter("source = 'senate_efd'"), f.filter("source <> 'senate_efd'"))),
+                              ("transactions", schema.TRANSACTIONS, (t.join(own, "filing_id", "left_semi"), t.join(own, "filing_id", "left_anti")))):
+        for number, part in enumerate(parts):
+            stored = spark.read.schema(kind).parquet(f"{root}/{name}/batch_no={number}/version=0")
+            assert sorted(stored.collect(), key=str) == sorted(fit(part, kind).collect(), key=str)
